@@ -87,27 +87,29 @@ class Mix:
         small = F.broadcast(self.targets) if n_sources <= BROADCAST_SOURCES else self.targets
         known = sizes.join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         order = F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED)), 2)
-        self.documents = running_total(known, ["number"], [F.col("id"), F.col("size")], order, F.col("size"), n, "start")
+        self.empty = known.where("size = 0").select("id", "source", "size", "source_size", "target")
+        self.documents = running_total(known.where("size > 0"), ["number"], [F.col("id"), F.col("size")], order, F.col("size"), n, "start")
 
     @property
     def taken(self) -> DataFrame:
         """id, source, size, source_size, target, taken: the words the mix takes of each document, repeats counted."""
         visits = self.schedule.groupBy("number", "block").agg(F.count("*").alias("visits"))
         b = self.block
-        first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1) / b)
+        first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
         parts = self.documents.withColumn("block", F.explode(F.sequence(first, last)))
         words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
-        got = parts.withColumn("words", F.greatest(words, F.lit(0))).join(visits, ["number", "block"], "left")
+        got = parts.withColumn("words", words).join(visits, ["number", "block"], "left")
         keys = ["id", "source", "size", "source_size", "target", "number", "start"]
-        return got.groupBy(*keys).agg(F.coalesce(F.sum(F.col("words") * F.col("visits")), F.lit(0)).cast("long").alias("taken")).drop("number", "start")
+        taken = got.groupBy(*keys).agg(F.coalesce(F.sum(F.col("words") * F.col("visits")), F.lit(0)).cast("long").alias("taken")).drop("number", "start")
+        return taken.unionByName(self.empty.withColumn("taken", F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs.
 
     Null text has size 0, as an empty one; rows of size 0 take nothing. A null source is a source like any other,
-    numbered last. Rows repeated with the same id, source and size share the order among themselves, and only rows of
-    size 0 that are equal in all of these are merged with each other into one. Other columns are ignored.
+    numbered last. Rows repeated with the same id, source and size each take a stretch of their own. Other columns
+    are ignored. An empty table gives an empty result.
     """
     return Mix(docs, weights, ceiling, id_col, text_col, source_col).taken.withColumnRenamed("id", id_col)
 

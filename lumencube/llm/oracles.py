@@ -10,3 +10,45 @@ FROM d WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id)
 """
 
 ORACLES = {"op8_exact_dedup": OP8}
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT doc_id, 0 AS no, text, regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS a,
+    regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
+    string_split_regex(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS g FROM d
+  UNION ALL SELECT doc_id, 1, text, regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, text, regexp_extract_all(text, '[0-9a-f]+', 0), regexp_extract_all(text, '[0-9a-f]+', 0), string_split_regex(text, '[0-9a-f]+') FROM d
+  UNION ALL SELECT doc_id, 3, text, regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0), regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0), string_split_regex(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') FROM d
+  UNION ALL SELECT doc_id, 4, text, regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 0), regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 0), string_split_regex(text, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}') FROM d),
+x AS (SELECT doc_id, no, unnest(generate_series(1, len(a))) AS i, a, v, g FROM m WHERE len(a) > 0),
+y AS (SELECT doc_id, no, i, length(g[i]) AS gap, length(a[i]) AS n, length(v[i]) AS vn FROM x),
+z AS (SELECT doc_id, no, n, vn, CAST(sum(gap + n) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS e FROM y),
+s AS (SELECT doc_id, no, e - n AS b, e, ['assign', 'access', 'hex', 'pem', 'jwt'][no + 1] || ':' || (e - n) || ':' || e AS t
+      FROM z WHERE vn >= [12, 18, 16, 1, 1][no + 1])
+SELECT d.doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+  sha256(coalesce(string_agg(t, ',' ORDER BY b, no) FILTER (no < 3), '')) AS base_sha256, coalesce(string_agg(t, ',' ORDER BY b, no), '') AS spans
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+ORACLES["op9_secret_scan"] = OP9
+
+ORACLES["op1_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+ORACLES["op5_chat_format"] = """
+WITH c AS (
+  SELECT conv_id, count(*) AS n_turns, list(coalesce(role, '') || chr(1) || coalesce(text, '') ORDER BY turn) AS t,
+    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
+  FROM conversations GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, t, min(rendered) AS rendered FROM c GROUP BY t, n_turns),
+p AS (SELECT DISTINCT list_slice(t, 1, i) AS t FROM (SELECT t, unnest(generate_series(1, n_turns - 1)) AS i FROM u))
+SELECT conv_id, n_turns, copies, rendered FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.t = u.t)
+"""

@@ -14,12 +14,24 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_bpe import encode_digests
 
@@ -32,8 +44,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
     "op4_source_mix": op4_source_mix,
+    "op5_chat_format": op5_chat_format,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secret_scan": op9_secret_scan,
 }
