@@ -50,6 +50,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op4_source_mix": op4_source_mix,
@@ -57,4 +63,5 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_html_text": op10_html_text,
 }
