@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE_MARK = "▁"
+#: Latin letters, as a character class. Where no piece goes on from one of them to another character, a word ends there.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Segments and token pairs that a worker remembers; beyond, it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Longest run of one segment that is remembered; longer ones are encoded each time.
 LONG_SEGMENT = 256
 
@@ -48,15 +50,20 @@ class Model:
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.control = {i for i, p in enumerate(spec.pieces) if p.type == 3}
         joined = {c for p in self.ids if len(p) > 1 for c in p}
-        stops = "".join(c for c in "\n\t\r" if c not in joined)
-        stop = re.escape(stops)
-        self.segments = re.compile(f"[{stop}]|{SPACE_MARK}*[^{SPACE_MARK}{stop}]+|{SPACE_MARK}+" if stops else f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+").findall
+        stop = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
+        letters = LATIN if not any(re.search(f"[{LATIN}][^{LATIN}]", p) for p in self.ids) else ""
+        rest = f"[^{SPACE_MARK}{stop}{letters}]"
+        word = f"{SPACE_MARK}*{rest}*[{letters}]+|" if letters else ""
+        self.segments = re.compile((f"[{stop}]|" if stop else "") + f"{word}{SPACE_MARK}*{rest}+|{SPACE_MARK}+").findall
+        self.sizes = [len(p) for p in self.pieces]
+        self.sizes[0] = 1  # <unk> stands for one character without a piece
+        self.known = {p for p in self.ids if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
+        for p, i in self.ids.items():
             if self.merged(p) == [p]:
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memory = _Memory(self)
 
     def merged(self, text: str) -> list[str]:
@@ -73,45 +80,43 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the characters of both tokens gives these two tokens again."""
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        found = left == 0 or self.merged(self.pieces[left] + self.pieces[right]) == [self.pieces[left], self.pieces[right]]
+        self.pairs[left << 32 | right] = found
         return found
 
-    def tokens(self, segment: str) -> list[str]:
-        """The tokens of a segment, from the table of last tokens of its prefixes."""
-        n = len(segment)
-        last: list[str | None] = [None] * n
-        ending: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(segment):
-            ending[end].append(piece)
-        for end in range(n):
-            here = ending[end]
-            if segment[end] not in self.ids:
-                here = [segment[end]]  # a character that no piece has stands alone
-            for piece in here:
-                start = end - len(piece)
-                if start < 0 or self.compatible(last[start], piece):
-                    last[end] = piece
-                    break
-        out, at = [], n - 1
-        while at >= 0:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
     def segment_ids(self, segment: str) -> list[int]:
-        out: list[int] = []
-        for t in self.tokens(segment):
-            i = self.ids.get(t)
-            if i is None:
-                out.extend(self.byte_ids[b] for b in t.encode())
+        """The ids of a segment, from the table of last tokens of its prefixes."""
+        last, sizes, pairs = [-1] * len(segment), self.sizes, self.pairs
+        strange = not self.known.issuperset(segment)
+        if strange:
+            for at, c in enumerate(segment):
+                if c not in self.known:
+                    last[at] = 0
+        for end, token in self.automaton.iter(segment):
+            if last[end] >= 0:
+                continue
+            start = end - sizes[token]
+            if start < 0:
+                last[end] = token
+                continue
+            fits = pairs.get(last[start] << 32 | token)
+            if fits is None:
+                fits = self.compatible(last[start], token)
+            if fits:
+                last[end] = token
+        out, at = [], len(segment) - 1
+        while at >= 0:
+            token = last[at]
+            if token:
+                out.append(token)
             else:
-                out.append(i)
-        return out
+                out.extend(self.byte_ids[b] for b in reversed(segment[at].encode()))
+            at -= sizes[token]
+        return out[::-1]
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a text; null counts as empty, and an empty text has none."""
