@@ -66,7 +66,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: Column, n_ro
     return hot.unionByName(cold)
 
 
-def running_total(df: DataFrame, group: list[str], order: list[Column], spread: Column, value: Column, n_rows: int, out: str, rows_each: int = 50_000) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order: list[Column], spread: Column, value: Column, n_rows: int, out: str, rows_each: int = 4096) -> DataFrame:
     """Exclusive running total of `value` within each group, in the order of (spread, *order), without one task per group.
 
     `spread` is a long in [0, 2**62) that orders the rows and is spread evenly. The rows are dealt to slices of it;
