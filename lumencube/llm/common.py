@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Characters of [\x20\x09-\x0D]; everything between them is a word.
@@ -87,3 +90,59 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], spread:
         .withColumn(out, (F.col("__local") + F.col("__offset")).cast("long"))
         .drop("__slice", "__local", "__offset", "__at", *[f"__{g}" for g in group])
     )
+
+
+#: Bits of a Bloom filter that each key sets, bits per key, and bounds of the size (a filter is sent to every executor).
+PROBES, BITS_PER_ROW = 4, 24
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
+
+
+class Bloom:
+    """A Bloom filter over a key column, made by DataFrame aggregation and tested inside mapInArrow.
+
+    at_least=2 keeps only the bits that at least two rows set. The size is bounded by MAX_BITS; over more rows than that
+    suits, more rows test true. Whoever uses it must be right whatever rows test true beyond those that must.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, n_rows: int, at_least: int = 1):
+        self.bits = int(min(MAX_BITS, max(MIN_BITS, 1 << int(np.ceil(np.log2(max(1, n_rows) * BITS_PER_ROW))))))
+        bit = keys.select(F.explode(F.array(*self.positions(column))).alias("bit"))
+        bit = bit.groupBy("bit").count().where(F.col("count") >= at_least).withColumn("bit", F.col("bit") + 1)  # Spark numbers bitmap bits from 1 on
+        packed = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        self.field = np.zeros(self.bits // 8, np.uint8)
+        for r in packed.toLocalIterator():  # at most MAX_BITS / 8 bytes in all
+            part = np.frombuffer(bytes(r["bits"]), np.uint8)
+            start = (r["bucket"] - 1) * len(part)
+            end = min(start + len(part), len(self.field))
+            self.field[start:end] |= part[: end - start]
+        self.shared = keys.sparkSession.sparkContext.broadcast(self.field)
+
+    def positions(self, column: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(self.bits)).alias(f"__p{i}") for i in range(PROBES)]
+
+    def mark(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """rows with a boolean column: whether the key may be in the filter."""
+        shared = self.shared
+        schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BooleanType())])
+
+        def test(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-PROBES], pa.array(hits(shared.value, b))], [*b.schema.names[:-PROBES], name])
+
+        return rows.select("*", *self.positions(column)).mapInArrow(test, schema)
+
+
+def hits(field: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """For a batch whose last PROBES columns are positions: whether all bits of a row are set."""
+    found = np.ones(batch.num_rows, bool)
+    for c in batch.columns[-PROBES:]:
+        p = c.to_numpy(zero_copy_only=False).astype(np.int64)
+        found &= (field[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    return found
+
+
+def without_ids(rows: DataFrame, id_col: str, dropped: DataFrame, n_dropped: int) -> DataFrame:
+    """The rows whose id is not in dropped(id_col). Only rows that a Bloom filter of the dropped ids marks are shuffled."""
+    marked = Bloom(dropped, id_col, n_dropped).mark(rows, id_col, "__hit")
+    passed = marked.where("not __hit").drop("__hit")
+    return passed.unionByName(marked.where("__hit").drop("__hit").join(dropped.select(id_col), id_col, "left_anti"))

@@ -1,10 +1,10 @@
 """Exact duplicates by two-pass Bloom filtering.
 
-Pass 1 sets, for every text's hash, PROBES bits of a filter and keeps those bits that at least two rows have set.
+Pass 1 sets, for every text's hash, a few bits of a filter and keeps those bits that at least two rows have set.
 Pass 2 tests each row against the kept bits: a row with a bit that no other row set has no equal and passes straight
 through; the others, real repeats and a few false alarms, are shuffled by hash and grouped exactly.
 
-The filter is broadcast, so its size is bounded (MAX_BITS). Over more rows than that suits, more rows are
+The filter is broadcast, so its size is bounded (common.MAX_BITS). Over more rows than that suits, more rows are
 shuffled; the result is the same.
 """
 
@@ -12,17 +12,13 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, join_groups, stored
+from .common import SPACE, Bloom, join_groups, stored
 
-PROBES = 4
-BITS_PER_ROW = 24
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 _DELETE = SPACE.encode()
 
 
@@ -47,49 +43,6 @@ def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(add, schema)
 
 
-def _filter_bits(n_rows: int) -> int:
-    return int(min(MAX_BITS, max(MIN_BITS, 1 << int(np.ceil(np.log2(max(1, n_rows) * BITS_PER_ROW))))))
-
-
-def repeated_bits(digests: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
-    """Pass 1: the bits that at least two rows set, packed as bytes (at most MAX_BITS / 8 of them)."""
-    bits = _filter_bits(n_rows)
-    probe = F.explode(F.array(*[F.pmod(F.xxhash64("__sha", F.lit(i)), F.lit(bits)) for i in range(PROBES)]))
-    twice = digests.select(probe.alias("bit")).groupBy("bit").count().where("count > 1")
-    packed = twice.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in packed.toLocalIterator():
-        # Spark numbers bitmap bits from 1 on
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        start = (r["bucket"] - 1) * len(part)
-        end = min(start + len(part), len(out))
-        out[start:end] |= part[: end - start]
-    return out, bits
-
-
-def _positions(bits: int):
-    return [(F.pmod(F.xxhash64("__sha", F.lit(i)), F.lit(bits))).alias(f"__p{i}") for i in range(PROBES)]
-
-
-def mark_candidates(digests: DataFrame, bits: np.ndarray, n_bits: int) -> DataFrame:
-    """Pass 2: adds __again, true where every bit of the row was set by at least two rows."""
-    spark = digests.sparkSession
-    shared = spark.sparkContext.broadcast(bits)
-    rows = digests.select("*", *_positions(n_bits))
-    schema = T.StructType([*digests.schema.fields, T.StructField("__again", T.BooleanType())])
-
-    def test(batches):
-        field = shared.value
-        for b in batches:
-            again = np.ones(b.num_rows, bool)
-            for i in range(PROBES):
-                p = b.column(b.schema.get_field_index(f"__p{i}")).to_numpy(zero_copy_only=False).astype(np.int64)
-                again &= (field[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:-PROBES], pa.array(again)], [*b.schema.names[:-PROBES], "__again"])
-
-    return rows.mapInArrow(test, schema)
-
-
 def _best():
     """Sorts first: most code points, then the smallest id (a null id last)."""
     return F.struct((-F.col("__points")).alias("p"), F.col("__id").isNull().alias("n"), F.col("__id").alias("i"))
@@ -106,8 +59,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = docs.count()
     slim = with_digest(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
     digests = stored(slim.select("__id", "__sha", "__points"), "digests")
-    bits, n_bits = repeated_bits(digests, n)
-    marked = mark_candidates(digests, bits, n_bits)
+    marked = Bloom(digests, "__sha", n, at_least=2).mark(digests, "__sha", "__again")
     single = marked.where("not __again").select("__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__sha")
     again = marked.where("__again").drop("__again")
     groups = again.groupBy("__sha").agg(F.min(_best()).alias("__best"), F.count("*").alias("group_size"))
@@ -123,8 +75,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     n = docs.count()
     with_sha = with_digest(docs, text_col)
-    bits, n_bits = repeated_bits(with_digest(docs.select(F.col(text_col).alias("__text")), "__text").select("__sha"), n)
-    marked = mark_candidates(with_sha, bits, n_bits)
+    digests = with_digest(docs.select(F.col(text_col).alias("__text")), "__text")
+    marked = Bloom(digests, "__sha", n, at_least=2).mark(with_sha, "__sha", "__again")
     single = marked.where("not __again").select(docs.columns)
     order = F.struct((-F.col("__points")).alias("p"), F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
     repeats = marked.where("__again").groupBy("__sha").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
