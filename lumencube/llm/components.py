@@ -25,3 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
         if moved.where("label < old").limit(1).count() == 0:
             return moved.select("node", "label")
         labels = moved.select("node", "label")
+
+
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Labels after more edges: these connect components, so only the table of components is worked on."""
+    if labels is None:
+        return components(edges)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    lifted = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    roots = components(lifted.where("a <> b")).select(F.col("node").alias("root"), F.col("label").alias("above"))
+    known = labels.join(roots, F.col("label") == F.col("root"), "left").select("node", F.coalesce("above", "label").alias("label"))
+    fresh = roots.join(labels, F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("above").alias("label"))
+    return stored(known.unionByName(fresh), "labels")

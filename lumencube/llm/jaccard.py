@@ -6,10 +6,10 @@ of their hashed shingles. Two sets of similarity s share none of them with proba
 are compared: the bits in which two bitmaps differ bound the overlap from above, and most pairs end there. Pairs that
 pass are settled by intersecting the sorted arrays of both.
 
-What is sought are components, so pairs that are already connected need no test. In a first round every node is
-compared with the tile mate that leads most of its tiles, which settles groups of thousands of copies at a cost linear
-in their size. Then tiles that still hold several components are compared in full: first every node's best mate, and at
-last whatever pair of different components passes the bound.
+What is sought are components, so pairs that are already connected need no test. First every node is compared with the
+node that leads most of its tiles, which settles groups of thousands of copies at a cost linear in their size. Then tiles
+that still hold several components are compared in full: bitmaps say which nodes have a possible partner in another
+component, and only these meet again with their arrays.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Bloom, hits, join_groups, stored
-from .components import components
+from .components import components, merged
 from .words import mix, window_hashes, word_hashes
 
 WORDS, PERCENT, KEYS = 5, 75, 16
-#: Nodes of a piece of a tile.
-TILE = 1024
+#: Nodes of a piece of a tile, and nodes of it that are compared at once.
+TILE, ROWS = 1024, 256
+#: Bits of a bitmap per shingle at least.
+SPARE = 4
 _ODD = np.random.default_rng(5).integers(1, 1 << 62, KEYS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = np.random.default_rng(6).integers(1, 1 << 62, KEYS, dtype=np.int64).astype(np.uint64)
 
@@ -40,8 +42,8 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit or more per shingle, a power of two of them; a larger bitmap folds to a smaller one by halves."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    """SPARE to 2 * SPARE bits per shingle, a power of two of them; a larger bitmap folds to a smaller one by halves."""
+    bits = max(64, SPARE << int(len(s) - 1).bit_length())
     at = ((s >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64)
     out = np.zeros(bits, bool)
     out[at] = True
@@ -129,64 +131,135 @@ def _bounded(percent: int):
     return run
 
 
-def _compare(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, percent: int):
-    """Pairs (i, j, bits apart) of left x right, of different components, whose sizes and bitmaps leave room."""
+def _compare(comps: np.ndarray, sizes: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, percent: int):
+    """Pairs (i, j, bits apart) of left x right, of different components, whose sizes and bitmaps leave room.
+
+    Both sides are taken in the order of size, so that a few rows meet only the stretch of the other side whose sizes
+    suit. Their bitmaps are compared twice: folded to about a bit per shingle, and those that pass in full.
+    """
     out = []
-    width = np.array([len(m) for m in maps])
-    for size in np.unique(width[np.r_[left, right]]):
-        # pairs whose smaller bitmap has this width
-        wide = lambda s: s[width[s] >= size]
-        xs, ys = wide(left), wide(right)
-        if not len(xs) or not len(ys):
-            continue
-        if not (width[xs] == size).any() and not (width[ys] == size).any():
+    left, right = left[np.argsort(sizes[left], kind="stable")], right[np.argsort(sizes[right], kind="stable")]
+    known = sizes[right]
+    for lo in range(0, len(left), ROWS):
+        xs = left[lo : lo + ROWS]
+        first = np.searchsorted(known, -(-percent * sizes[xs[0]] // 100))
+        last = np.searchsorted(known, 100 * sizes[xs[-1]] // percent, side="right")
+        ys = right[first:last]
+        if not len(ys):
             continue
-        fold = lambda s: np.stack([_fold(np.frombuffer(maps[i], np.uint8), size) for i in s]).view(np.uint64)
-        mx, my = fold(xs), fold(ys)
-        step = max(1, (1 << 22) // max(1, my.size))
-        for lo in range(0, len(xs), step):
-            part = xs[lo : lo + step]
-            nx, ny = sizes[part][:, None], sizes[ys][None, :]
-            ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (comps[part][:, None] != comps[ys][None, :])
-            ok &= (width[part][:, None] == size) | (width[ys][None, :] == size)
-            i, j = np.nonzero(ok)
-            for at in range(0, len(i), 1 << 16):
-                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                apart = np.bitwise_count(mx[lo + p] ^ my[q]).sum(1, dtype=np.int64)
-                a, b = sizes[part[p]], sizes[ys[q]]
-                good = similar((a + b - apart) // 2, a, b, percent)
-                if good.any():
-                    out.append((part[p[good]], ys[q[good]], apart[good]))
+        nx, ny = sizes[xs][:, None], sizes[ys][None, :]
+        i, j = np.nonzero((100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (comps[xs][:, None] != comps[ys][None, :]))
+        full = min(len(maps[k]) for k in (xs[0], ys[0]))
+        for size in (max(8, full // SPARE), full):
+            if not len(i):
+                break
+            mx, my = (np.stack([_fold(np.frombuffer(maps[k], np.uint8), size) for k in s]).view(np.uint64) for s in (xs, ys))
+            keep, apart = [], []
+            step = max(1024, (1 << 22) // size)
+            for at in range(0, len(i), step):
+                p, q = i[at : at + step], j[at : at + step]
+                d = np.bitwise_count(mx[p] ^ my[q]).sum(1, dtype=np.int64)
+                n, m = sizes[xs[p]], sizes[ys[q]]
+                keep.append(similar((n + m - d) // 2, n, m, percent))
+                apart.append(d)
+            good = np.concatenate(keep)
+            i, j, d = i[good], j[good], np.concatenate(apart)[good]
+        if len(i):
+            out.append((xs[i], ys[j], d))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
 
-def _tiles(percent: int, best_only: bool):
+def _by_tile(t: pa.Table):
+    """The table in the order of its tiles, and the rows of each tile's left and right side (both all rows of a single piece)."""
+    tile, side = t.column("tile").to_numpy(), t.column("side").to_numpy()
+    order = np.lexsort((side, tile))
+    tile, side = tile[order], side[order]
+    starts = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
+    parts = []
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        here, two = np.arange(lo, hi), side[lo:hi] == 2
+        parts.append((here[~two], here[two]) if two.any() else (here, here))
+    return t.take(pa.array(order)), parts
+
+
+def _candidates(percent: int):
+    """Rows of tiles with bitmaps: those rows that are in a pair whose bitmaps leave room. A pair counts in the first tile that it shares."""
+
     def run(t: pa.Table) -> pa.Table:
-        tile, side = t.column("tile").to_numpy(), t.column("side").to_numpy()
-        order = np.lexsort((side, tile))
-        tile, side = tile[order], side[order]
-        nodes, comps, sizes = (t.column(c).to_numpy()[order] for c in ("node", "comp", "n"))
-        maps = t.column("map").take(pa.array(order)).to_pylist()
-        starts = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
+        t, parts = _by_tile(t)
+        comps, sizes, k = (t.column(c).to_numpy() for c in ("comp", "n", "k"))
+        maps = t.column("map").to_pylist()
+        mins = np.array(t.column("mins").combine_chunks().flatten()).reshape(-1, KEYS)
+        wanted = np.zeros(t.num_rows, bool)
+        for left, right in parts:
+            i, j, _ = _compare(comps, sizes, maps, left, right, percent)
+            before = k[left[0]]
+            if before and len(i):
+                first = ~(mins[i, :before] == mins[j, :before]).any(1)
+                i, j = i[first], j[first]
+            wanted[i] = wanted[j] = True
+        return t.select(["tile", "side", "node", "comp", "n"]).filter(pa.array(wanted))
+
+    return run
+
+
+def _exact_pairs(comps: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int):
+    """Pairs (i, j) of left x right of different components whose sets overlap enough.
+
+    The shingles that several sets hold are numbered, so that each sorted array becomes exact bits among these and an
+    intersection is a bit count.
+    """
+    every = np.unique(np.r_[left, right])
+    values, count = np.unique(np.concatenate([sets[i] for i in every]), return_counts=True)
+    values = values[count > 1]
+    width = -(-max(1, len(values)) // 64) * 8
+    bits = np.zeros((len(every), width), np.uint8)
+    for row, i in enumerate(every):
+        flags = np.zeros(width * 8, bool)
+        flags[np.flatnonzero(np.isin(values, sets[i], assume_unique=True))] = True
+        bits[row] = np.packbits(flags, bitorder="little")
+    bits, place = bits.view(np.uint64), {i: r for r, i in enumerate(every.tolist())}
+    out = []
+    left, right = left[np.argsort(sizes[left], kind="stable")], right[np.argsort(sizes[right], kind="stable")]
+    known = sizes[right]
+    own = {c: np.array([place[i] for i in s.tolist()]) for c, s in (("l", left), ("r", right))}
+    for at, i in enumerate(left):
+        first = np.searchsorted(known, -(-percent * sizes[i] // 100))
+        last = np.searchsorted(known, 100 * sizes[i] // percent, side="right")
+        j = right[first:last]
+        other = comps[j] != comps[i]
+        if other.any():
+            inter = np.bitwise_count(bits[own["r"][first:last][other]] & bits[own["l"][at]]).sum(1, dtype=np.int64)
+            j = j[other]
+            j = j[similar(inter, sizes[i], sizes[j], percent)]
+            out.append((np.full(len(j), i), j))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2
+
+
+def _linked(percent: int):
+    """Rows of tiles with sorted arrays: links enough to connect whatever of a tile is connected."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t, parts = _by_tile(t)
+        nodes, comps = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
         found = []
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            here = np.arange(lo, hi)
-            two = side[lo:hi] == 2
-            left, right = (here[side[lo:hi] == 1], here[two]) if two.any() else (here, here)
-            i, j, apart = _compare(nodes, comps, sizes, maps, left, right, percent)
-            if not two.any():
-                keep = nodes[i] < nodes[j]
-                i, j, apart = i[keep], j[keep], apart[keep]
-            if len(i):
-                share = 1 - apart / (sizes[i] + sizes[j])
-                if best_only:
-                    i, j, share = np.r_[i, j], np.r_[j, i], np.r_[share, share]
-                    by = np.lexsort((nodes[j], -share, i))
-                    by = by[np.r_[True, i[by][1:] != i[by][:-1]]]
-                    i, j, share = i[by], j[by], share[by]
-                found.append((nodes[i], nodes[j], share))
-        a, b, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "share": pa.array(s, pa.float64())})
+        for left, right in parts:
+            i, j = _exact_pairs(comps, sizes, sets, left, right, percent)
+            parent: dict[int, int] = {}
+
+            def root(c):
+                while parent.get(c, c) != c:  # noqa: B023
+                    parent[c] = c = parent.get(parent[c], parent[c])  # noqa: B023
+                return c
+
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                a, b = root(int(comps[p])), root(int(comps[q]))
+                if a != b:
+                    parent[b] = a
+                    found.append((nodes[p], nodes[q]))
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
     return run
 
@@ -214,19 +287,20 @@ class JaccardJoin:
         rows = pairs.join(of("a", "na", "ma"), "a").join(of("b", "nb", "mb"), "b").select("a", "b", "na", "nb", "ma", "mb")
         return rows.mapInArrow(_bounded(self.percent), "a long, b long, ok boolean").where("ok").drop("ok")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets overlap enough, by intersecting their sorted arrays.
+    def arrays(self, ids: DataFrame) -> DataFrame:
+        """id, set: the sorted arrays of the nodes in ids(id), hashed anew from their texts.
 
-        The arrays are hashed anew from the texts of the nodes in question, found by a Bloom filter, so that neither all
-        arrays are stored nor all texts shuffled.
+        A Bloom filter finds the texts, so that neither all arrays are stored nor all texts shuffled; a few other nodes
+        may come along.
         """
+        wanted = Bloom(ids, "id", ids.count())
+        return self.docs.select("*", *wanted.positions("id")).mapInArrow(_arrays(wanted.shared, self.words), "id long, set binary").dropDuplicates(["id"])
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets overlap enough, by intersecting their sorted arrays."""
         pairs = stored(pairs.select("a", "b"), "pairs")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        n = ids.count()
-        if n == 0:
-            return pairs
-        wanted = Bloom(ids, "id", n)
-        arrays = self.docs.select("*", *wanted.positions("id")).mapInArrow(_arrays(wanted.shared, self.words), "id long, set binary").dropDuplicates(["id"])
+        arrays = self.arrays(ids)
         both = pairs.join(arrays.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(arrays.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         checked = both.select("a", "b", "sa", "sb").mapInArrow(_intersect(self.percent), "a long, b long, ok boolean")
         return stored(checked.where("ok").drop("ok"), "links")
@@ -238,11 +312,10 @@ class JaccardJoin:
         else:
             rows = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
         several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        rows = rows.join(several, "key", "left_semi").join(self.nodes.select("node", "n", "map"), "node")
-        rows = stored(rows, "tiles")
+        rows = rows.join(several, "key", "left_semi")
         # pieces: of one tile, in the order of component and size, so that pieces of one component need not meet themselves
         place = F.row_number().over(Window.partitionBy("key").orderBy("comp", "n", "node")) - 1
-        rows = rows.withColumn("piece", F.floor(place / TILE).cast("int"))
+        rows = stored(rows.withColumn("piece", F.floor(place / TILE).cast("int")), "tiles")
         pieces = rows.groupBy("key", "piece").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         others = pieces.select("key", *[F.col(c).alias(f"{c}_") for c in ("piece", "c0", "c1", "n0", "n1")])
         room = (100 * F.col("n1") >= self.percent * F.col("n0_")) & (100 * F.col("n1_") >= self.percent * F.col("n0"))
@@ -251,36 +324,44 @@ class JaccardJoin:
         met = met.withColumn("tile", F.xxhash64("key", "piece", "piece_"))
         first = met.select("key", "piece", "tile", F.lit(1).alias("side"))
         second = met.where("piece < piece_").select("key", F.col("piece_").alias("piece"), "tile", F.lit(2).alias("side"))
-        return rows.join(first.unionByName(second), ["key", "piece"]).select("tile", "side", "node", "comp", "n", "map")
-
-    def _tile_pairs(self, shared: DataFrame, labels: DataFrame | None, best_only: bool) -> DataFrame:
-        rows = stored(self._mixed_tiles(shared, labels), "pieces")
-        many = max(8, rows.count() // 20_000)
-        pairs = rows.withColumn("part", F.pmod("tile", F.lit(many))).groupBy("part").applyInArrow(_tiles(self.percent, best_only), "a long, b long, share double")
-        if best_only:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return ordered.distinct()
-
-    def links(self) -> DataFrame:
-        """Verified pairs of nodes (a, b), enough to connect whatever is connected."""
-        keys = self.nodes.select("node", F.posexplode("mins").alias("k", "m")).select("node", F.xxhash64("k", "m").alias("key"))
-        groups = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("mates")).where("mates > 1")
-        shared = stored(join_groups(keys, stored(groups, "groups"), "key", F.col("mates"), self.n_nodes), "shared")
-        led = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("tiles"))
-        leads = led.groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("tiles", -F.col("lead"))).alias("a"))
-        shared = shared.select("key", "node")
+        placed = rows.join(first.unionByName(second), ["key", "piece"]).select("tile", "side", "k", "node", "comp", "n")
+        return placed.join(self.nodes.select("node", "map", "mins"), "node")
+
+    def _tile_links(self, shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Links between nodes of different components that share a tile."""
+        many = max(8, self.n_nodes * 4 // 20_000)
+        part = F.pmod("tile", F.lit(many))
+        rows = self._mixed_tiles(shared, labels).withColumn("part", part).groupBy("part")
+        near = stored(rows.applyInArrow(_candidates(self.percent), "tile long, side int, node long, comp long, n long"), "candidates")
+        arrays = self.arrays(near.select(F.col("node").alias("id")).distinct())
+        full = near.join(arrays, F.col("node") == F.col("id")).select("tile", "side", "node", "comp", "set", part.alias("part"))
+        return stored(full.groupBy("part").applyInArrow(_linked(self.percent), "a long, b long").distinct(), "links")
+
+    def links(self) -> tuple[DataFrame, DataFrame | None]:
+        """Verified pairs of nodes (a, b), enough to connect whatever is connected, and the labels (node, label)."""
+        keys = self.nodes.select("node", "n", F.posexplode("mins").alias("k", "m")).select("node", "n", "k", F.xxhash64("k", "m").alias("key"))
+        groups = stored(keys.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1"), "groups")
+        shared = stored(join_groups(keys, groups, "key", F.col("mates"), self.n_nodes), "shared")
+        # a tile is led by the node with the most mates over all its tiles: the one from which the others were made
+        weight = shared.groupBy("node").agg(F.sum(F.log("mates")).alias("weight"))
+        lead = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("lead"), F.count("*").alias("mates"))
+        led = join_groups(shared.drop("mates"), stored(lead, "leads"), "key", F.col("mates"), self.n_nodes).where("node <> lead")
+        mates = led.groupBy("node", "lead").agg(F.count("*").alias("tiles"))
+        leads = mates.groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("tiles", -F.col("lead"))).alias("a"))
+        shared = shared.select("key", "k", "node", "n")
         links = self.verified(self._passing(leads))
-        for best_only in (True, False):
-            labels = components(links) if links.limit(1).count() else None
-            more = self.verified(self._tile_pairs(shared, labels, best_only))
-            links = stored(links.unionByName(more).distinct(), "links")
-        return links
+        labels = components(links) if links.limit(1).count() else None
+        more = self._tile_links(shared, labels)
+        if more.limit(1).count():
+            links = links.unionByName(more).distinct()
+            labels = merged(labels, more)
+        return links, labels
 
     def documents(self) -> DataFrame:
         """id, n_shingles, component_id for every document."""
-        links = self.links()
-        labels = components(links)
+        _, labels = self.links()
+        if labels is None:
+            labels = self.nodes.select("node", F.col("node").alias("label")).limit(0)
         same = self.same.join(labels, "node", "left").select("same", "copies", F.coalesce("label", "node").alias("component_id"))
         known = self.sets.where("n > 0 and id is not null")
         found = join_groups(known, stored(same, "same"), "same", F.col("copies"), self.n_nodes).select("id", F.col("n").alias("n_shingles"), "component_id")
