@@ -104,7 +104,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         out: dict[str, list] = {"query_id": [], "key": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             dim = left.column("dim")[0].as_py()
-            matrix = lambda t: np.frombuffer(b"".join(t.column("vec").to_pylist()), "<i8").reshape(-1, dim)
+            matrix = lambda t: np.frombuffer(b"".join(t.column("vec").to_pylist()), "<i8").reshape(t.num_rows, dim)
             block = Lists(left.column("id").to_numpy(), matrix(left))
             for own, key, q in zip(right.column("id").to_numpy(), right.column("key").to_numpy(), matrix(right), strict=True):
                 at, scores = block.top(own, q, k)
