@@ -4,7 +4,7 @@ Every word and every word shape (letters, digits and signs as patterns) has a sp
 vector is the sum of the index vectors of the words and shapes around it in the fit's texts, set to unit length, beside
 the index vector of its own shape; a word that the fit has not seen has its shape only. A document's vector is the mean
 of its words' vectors, with its length, share of distinct words and share of words that follow themselves. A network with one hidden layer turns it into a logit, and a
-temperature, found on labelled rows that the weights were not fitted on, turns that into a probability.
+temperature, found on labelled rows that its weights were not fitted on, turns that into a probability.
 
 The fit reads a bounded sample of labelled rows (FIT_ROWS) on the driver; scoring reads every whole text where it is.
 """
@@ -113,16 +113,26 @@ class Vectors:
 class Network:
     """standardised input -> tanh layer -> logit / temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, check: np.ndarray, epochs: int = 60, batch: int = 64, rate: float = 0.004, decay: float = 1e-4, seed: int = 1):
-        rng = np.random.default_rng(seed)
+    def __init__(self, x: np.ndarray, y: np.ndarray, check: np.ndarray, **how):
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        self.temperature = 1.0
+        if check.any():  # the temperature comes from weights that have not seen the rows to check
+            self._fit(x[~check], y[~check], **how)
+            logits = self.logits(x[check])
+            loss = lambda t: np.mean(np.logaddexp(0, np.where(y[check] > 0.5, -1, 1) * logits / t))
+            self.temperature = float(min(np.exp(np.linspace(-1.5, 2.5, 81)), key=loss))
+        self._fit(x, y, **how)
+
+    def _fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, steps: int = 1500, batch: int = 64, rate: float = 0.004, decay: float = 1e-4, seed: int = 1) -> None:
+        """Adam over at least `epochs` passes and `steps` steps."""
+        rng = np.random.default_rng(seed)
         n = x.shape[1]
         self.p = [rng.standard_normal((n, HIDDEN)) / np.sqrt(n), np.zeros(HIDDEN), rng.standard_normal(HIDDEN) / np.sqrt(HIDDEN), np.zeros(1)]
         first, second, step = [np.zeros_like(v) for v in self.p], [np.zeros_like(v) for v in self.p], 0
-        z, fit = (x - self.mean) / self.scale, np.flatnonzero(~check)
-        self.temperature = 1.0
+        z = (x - self.mean) / self.scale
+        epochs = max(epochs, -(-steps // -(-len(x) // batch)))
         for epoch in range(epochs):
-            order = rng.permutation(fit)
+            order = rng.permutation(len(x))
             for at in range(0, len(order), batch):
                 i = order[at : at + batch]
                 h = np.tanh(z[i] @ self.p[0] + self.p[1])
@@ -134,10 +144,6 @@ class Network:
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     lr = rate * (1 - epoch / epochs)
                     self.p[k] -= lr * (first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8) + decay * self.p[k])
-        if check.any():
-            logits = self.logits(x[check])
-            loss = lambda t: np.mean(np.logaddexp(0, np.where(y[check] > 0.5, -1, 1) * logits / t))
-            self.temperature = float(min(np.exp(np.linspace(-1.5, 2.5, 81)), key=loss))
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
