@@ -10,6 +10,22 @@ from ..functions.exprs import NAN, divide
 CODES = {"I": 0, "Q": 1, "U": 2, "V": 3}
 
 
+COMPUTED = ("Ptotal", "Plinear", "PFtotal", "PFlinear", "Pangle")
+
+
+def parse_coordinate(text: str) -> tuple[str, str]:
+    """(stokes, axis) of a profile request such as "x", "Qz" or "Ptotalz"; no stokes: the current one (empty)."""
+    stokes, axis = text[:-1], text[-1:]
+    if axis not in ("x", "y", "z") or stokes not in ("", *CODES, *COMPUTED):
+        raise ValueError(f"unknown profile {text}")
+    return stokes, axis
+
+
+def fits_code(code: int) -> int:
+    """FITS codes -1..-8 and 5..12 of circular and linear products, into each other."""
+    return 4 - code
+
+
 def side_by_side(cube: DataFrame, at: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
     """i, q, u, v of each position (NaN where missing), by one aggregate instead of joins."""
     plane = lambda s: F.max(F.when(F.col("stokes") == s, F.col("v").cast("double")))

@@ -79,6 +79,11 @@ def line_boxes(points: list[tuple[float, float]]) -> list[tuple[float, float, fl
     return out
 
 
+def is_linear(separations: list[float], pixel: float) -> bool:
+    """Whether steps along a line differ by at most a hundredth of a pixel's size, so that pixel spacing will do."""
+    return not separations or max(separations) - min(separations) <= 0.01 * pixel
+
+
 def box_pixels(spark: SparkSession, points: list[tuple[float, float]], width: int) -> DataFrame:
     """(box, x, y) of the pixels whose centres lie in the boxes of a line: `width` across, 1 along (3 if oblique).
 

@@ -80,6 +80,13 @@ def percentiles(cube: DataFrame, ranks: tuple[float, ...], *by: str) -> DataFram
     return got.select(*by, F.posexplode("p").alias("i", "value")).withColumn("rank", F.element_at(F.array(*[F.lit(r) for r in ranks]), F.col("i") + 1)).drop("i")
 
 
+def exact_percentiles(cube: DataFrame, ranks: tuple[float, ...], *by: str) -> DataFrame:
+    """Exact, interpolated percentiles of the finite pixels, one row per rank."""
+    v = only_finite(F.col("v")).cast("double")
+    got = cube.groupBy(*by).agg(F.percentile(v, list(ranks)).alias("p"))
+    return got.select(*by, F.posexplode("p").alias("i", "value")).withColumn("rank", F.element_at(F.array(*[F.lit(r) for r in ranks]), F.col("i") + 1)).drop("i")
+
+
 def mad(cube: DataFrame, *by: str) -> DataFrame:
     """Median absolute deviation of the finite pixels, scaled to a Gaussian's sigma."""
     v = cube.where(finite(F.col("v"))).withColumn("d", F.col("v").cast("double"))

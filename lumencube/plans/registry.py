@@ -513,3 +513,68 @@ def image_arithmetic(spark, d):
 @query("finite_pixels", f"WITH {CEV} SELECT stokes, count(*) AS n FROM ev WHERE NOT isnan(v) GROUP BY stokes")
 def finite_pixels(spark, d):
     return cube_of_events(spark, d).where(finite(F.col("v"))).groupBy("stokes").agg(F.count("*").alias("n"))
+
+
+@query(
+    "percentiles",
+    f"""WITH {CLI}, q AS (SELECT z, quantile_cont(CAST(v AS DOUBLE), [0.25, 0.5, 0.9]) AS q FROM li WHERE NOT isnan(v) GROUP BY z)
+SELECT z, unnest([CAST(0.25 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE)]) AS rank, round(unnest(q), 6) AS value FROM q""",
+)
+def percentiles(spark, d):
+    return rounded(stats.exact_percentiles(cube_of_lineitem(spark, d), (0.25, 0.5, 0.9), "z"), "value").select("z", "rank", "value")
+
+
+# --- view requests ------------------------------------------------------------------------------------------------
+
+
+@query("latest_requests", "SELECT CAST(user_id AS VARCHAR) AS file_id, event_type AS kind, max(event_id) AS seq, arg_max(props, event_id) AS value FROM events GROUP BY ALL")
+def latest_requests(spark, d):
+    from ..streaming.reactive import latest
+
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("file_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("props").alias("value"))
+    return latest(e)
+
+
+@query("animation_frames", "SELECT event_id, CAST(2 + ((event_id + 1) % 4) * 2 AS INTEGER) AS frame, CAST(CASE WHEN event_id % 6 < 4 THEN event_id % 6 ELSE 6 - event_id % 6 END AS INTEGER) AS swing FROM events")
+def animation_frames(spark, d):
+    from ..streaming.reactive import frame_of
+
+    t = F.col("event_id")
+    return table(spark, d, "events").select("event_id", frame_of(t, 2, 8, 4, 2).alias("frame"), frame_of(t, 0, 3, 0, 1, reverse=True).alias("swing"))
+
+
+@query("matched_channels", "SELECT event_id, CAST(least(greatest(round((value - 20.0) / 7.0), 0), 40) AS INTEGER) AS matched FROM events")
+def matched_channels(spark, d):
+    from ..streaming.reactive import matched_frames
+
+    return matched_frames(table(spark, d, "events").select("event_id", F.col("value").alias("coordinate")), 20.0, 7.0, 41).select("event_id", "matched")
+
+
+# --- without SQL: iterative or ordered results --------------------------------------------------------------------
+
+
+@query("gaussian_fit")
+def gaussian_fit(spark, d):
+    """A Gaussian fitted to every channel."""
+    from ..operators.fit import fit_gaussians
+
+    return fit_gaussians(cube_of_lineitem(spark, d), [(16.0, 16.0, 50.0, 20.0, 20.0, 0.0)], {"pa"}, fit_background=True)
+
+
+@query("contour_lines")
+def contour_lines(spark, d):
+    from ..operators.contour import contours
+
+    return contours(profiles.plane(cube_of_lineitem(spark, d)), [10.0, 100.0])
+
+
+@query("raster_tiles")
+def raster_tiles(spark, d):
+    return resample.tile_rows(image_of_embeddings(spark, d), 2, 16)
+
+
+@query("common_beam")
+def common_beam(spark, d):
+    from ..operators.fit import convolve_planes
+
+    return convolve_planes(cube_of_lineitem(spark, d), {z: (2.0 + z / 4, 2.0, 0.0) for z in range(LI[2])}, (5.0, 4.0, 0.0))

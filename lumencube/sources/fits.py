@@ -112,6 +112,39 @@ def hdu_list(path: str) -> list[tuple[int, str, list[int]]]:
     return [(i, str(h.header.get("EXTNAME", "")), h.shape) for i, h in enumerate(hdus(path)) if h.is_image]
 
 
+def file_info(spark, path: str, hdu: int = -1) -> DataFrame:
+    """section, key, value: the header's cards, and entries computed from them."""
+    units = hdus(path)
+    number = hdu if hdu >= 0 else next(i for i, u in enumerate(units) if u.is_image)
+    unit = units[number]
+    h, roles = unit.header, axis_roles(unit.header)
+    size = lambda r: unit.shape[roles[r]] if roles[r] >= 0 else 1
+    scaled = h.get("BITPIX", 0) > 0 and (h.get("BSCALE", 1) != 1 or h.get("BZERO", 0) != 0)
+    computed = {
+        "Name": os.path.basename(path),
+        "HDU": number,
+        "Extension name": h.get("EXTNAME", ""),
+        "Data type": "float" if scaled or h.get("BITPIX") == -32 else "double" if h.get("BITPIX") == -64 else f"int{h.get('BITPIX')}",
+        "Shape": unit.shape,
+        "Number of channels": size("z"),
+        "Number of polarizations": size("stokes"),
+        "Pixel increment": [h.get(f"CDELT{roles[r] + 1}") for r in "xy"],
+        "Pixel unit": h.get("BUNIT", ""),
+        "Celestial frame": h.get("RADESYS", ""),
+        "Spectral frame": h.get("SPECSYS", ""),
+        "Beam": [h[k] for k in ("BMAJ", "BMIN", "BPA") if k in h],
+    }
+    rows = [("header", k, str(v)) for k, v in h.items()] + [("computed", k, str(v)) for k, v in computed.items()]
+    return spark.createDataFrame(rows, "section string, key string, value string")
+
+
+def beam_area(header: dict) -> float | None:
+    """Pixels under the restoring beam; None without one."""
+    if not all(k in header for k in ("BMAJ", "BMIN", "CDELT1", "CDELT2")):
+        return None
+    return math.pi / (4 * math.log(2)) * header["BMAJ"] * header["BMIN"] / abs(header["CDELT1"] * header["CDELT2"])
+
+
 def axis_roles(header: dict) -> dict[str, int]:
     """0-based axes: x and y are the first two that are not stokes, z the next, stokes by name."""
     n = header.get("NAXIS", 0)

@@ -365,3 +365,21 @@ def test_convolution(spark):
     assert out[0, 10, 12] == pytest.approx(out[0, 12, 10], rel=1e-4)
     with pytest.raises(Exception, match="smaller"):
         convolve_planes(cube(spark, data), beams, (3.0, 3.0, 0.0)).collect()
+
+
+def test_percentiles_and_mad(spark, noise):
+    c = cube(spark, noise)
+    ok = noise[np.isfinite(noise)].astype(float)
+    got = {r["rank"]: r["value"] for r in stats.exact_percentiles(c, (0.1, 0.5)).collect()}
+    assert got[0.1] == pytest.approx(np.quantile(ok, 0.1)) and got[0.5] == pytest.approx(np.median(ok))
+    near = {r["rank"]: r["value"] for r in stats.percentiles(c, (0.1, 0.5)).collect()}
+    assert near[0.5] == pytest.approx(np.median(ok), abs=0.01)
+    assert stats.mad(c).first()["mad"] == pytest.approx(1.4826 * np.median(np.abs(ok - np.median(ok))))
+
+
+def test_small_helpers():
+    assert polarization.parse_coordinate("Qz") == ("Q", "z") and polarization.parse_coordinate("Ptotalz") == ("Ptotal", "z") and polarization.parse_coordinate("x") == ("", "x")
+    assert [polarization.fits_code(c) for c in (-1, 5)] == [5, -1]
+    assert profiles.is_linear([1.0, 1.005], 1.0) and not profiles.is_linear([1.0, 1.02], 1.0)
+    with pytest.raises(ValueError):
+        polarization.parse_coordinate("Zz")

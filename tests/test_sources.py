@@ -154,3 +154,13 @@ def test_animation_and_matching(spark):
     assert [(share, df.count()) for share, df in reactive.progressive(cube, 30, lambda c: c)] == [(1 / 3, 10), (1.0, 20)]
     log = spark.createDataFrame([("f", 1, "channel", "1"), ("f", 2, "channel", "2"), ("f", 0, "open", "f"), ("t", 3, "catalog", "t")], reactive.REQUEST)
     assert [r["value"] for r in reactive.replay(log).collect()] == ["f", "2", "t"]
+
+
+def test_file_info(spark, tmp_path):
+    path = tmp_path / "i.fits"
+    write_fits(path, np.zeros((3, 4, 5)), "i2", [("BSCALE", 0.5), ("BUNIT", "Jy"), ("BMAJ", 0.002), ("BMIN", 0.001), ("CDELT1", -0.0005), ("CDELT2", 0.0005)])
+    info = {(r["section"], r["key"]): r["value"] for r in fits.file_info(spark, str(path)).collect()}
+    assert info["computed", "Data type"] == "float" and info["computed", "Shape"] == "[5, 4, 3]" and info["computed", "Number of channels"] == "3"
+    assert info["header", "BUNIT"] == "Jy"
+    header = fits.hdus(str(path))[0].header
+    assert fits.beam_area(header) == pytest.approx(math.pi / (4 * math.log(2)) * 8) and fits.beam_area({}) is None
