@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, text_batches
+
 #: Pages whose blocks the composed pages are filled with, and the number of composed pages.
 SAMPLE_PAGES, COMPOSED = 256, 3000
-PATH_DIM, WORD_DIM, SIZES, HIDDEN = 40, 16, 4, 20
-DIM = PATH_DIM + WORD_DIM + SIZES
+PATH_DIM, LEAF_DIM, WORD_DIM, SIZES, HIDDEN = 40, 32, 16, 4, 20
+DIM = PATH_DIM + LEAF_DIM + WORD_DIM + SIZES
 #: Characters of a sampled page that are kept for composing, so that the fit's memory is bounded.
 SAMPLE_CHARS = 20_000
 
@@ -122,11 +124,12 @@ def _bucket(word: str) -> int:
 
 @lru_cache(maxsize=1 << 14)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    near = path[-24:]
-    total = np.zeros(PATH_DIM, np.float32)
-    for x in near:
+    """The sum of the path's hashed vectors, and a second one in which what stands nearer to the leaf counts more."""
+    total, leaf = np.zeros(PATH_DIM, np.float32), np.zeros(LEAF_DIM, np.float32)
+    for far, x in enumerate(reversed(path[-24:])):
         total += _hashed(x, PATH_DIM)
-    return total / 2.0
+        leaf += 0.6**far * _hashed("leaf " + x, LEAF_DIM)
+    return np.concatenate([total / 2.0, leaf])
 
 
 def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
@@ -143,9 +146,9 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
             hi = min(lo + (1 << 16), last)
             owner = np.searchsorted(starts, np.arange(lo, hi), side="right") - 1
             np.add.at(sums, owner, _TABLE[ids[lo:hi]]) if hi - lo < 64 else _add_runs(sums, owner, _TABLE[ids[lo:hi]])
-    out[:, PATH_DIM : PATH_DIM + WORD_DIM] = sums / np.sqrt(counts)[:, None] / 2
+    out[:, PATH_DIM + LEAF_DIM : -SIZES] = sums / np.sqrt(counts)[:, None] / 2
     for i, (path, text, links) in enumerate(page):
-        out[i, :PATH_DIM] = _path_vector(path)
+        out[i, : PATH_DIM + LEAF_DIM] = _path_vector(path)
         out[i, -SIZES:] = (np.log1p(counts[i]) / 4, min(1.0, links / len(text)), text[-1] in ".!?", text[:1].isupper())
     return out
 
@@ -233,7 +236,7 @@ class Labeller:
         z = fore @ self.p["out"][:HIDDEN] + rear @ self.p["out"][HIDDEN:] + self.p["bias"]
         return [z[:n, k] for k, n in enumerate(lengths)]
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 7, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         for epoch in range(epochs):
@@ -322,7 +325,7 @@ def compose(texts: list[str], n: int = COMPOSED, seed: int = 11) -> tuple[list[l
             some(pick(BEFORE), 0, base, page, labels)
         place = base + _path("<article>" if rng.random() < 0.35 else pick(ARTICLE))
         for k in range(1 + int(rng.integers(14)) if rng.random() < 0.9 else 30 + int(rng.integers(60))):
-            if rng.random() < 0.07:
+            if rng.random() < 0.12:
                 some(pick(INSIDE), 0, place, page, labels)
             opened = "<h1>" if k == 0 and rng.random() < 0.7 else pick(TEXT)
             extra = ("<div>", pick(NEUTRAL)) if rng.random() < 0.05 else ()
@@ -342,8 +345,11 @@ def compose(texts: list[str], n: int = COMPOSED, seed: int = 11) -> tuple[list[l
 
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
     """A labeller fitted on composed pages that hold blocks of at most `sample` pages (by the hash of the id)."""
-    chosen = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.substring(html_col, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(sample)
-    texts = [t for r in chosen.collect() for _, t, _ in blocks(r["t"])]
+    key = F.xxhash64(id_col, html_col).alias("key")
+    known = pages.where(F.col(html_col).isNotNull())
+    keys = F.broadcast(known.select(key).distinct().orderBy("key").limit(sample))  # at most `sample` hashes
+    chosen = known.select(key, F.substring(html_col, 1, SAMPLE_CHARS).alias("t")).join(keys, "key").dropDuplicates(["key"])
+    texts = [t for r in sorted(chosen.collect(), key=lambda r: r["key"]) for _, t, _ in blocks(r["t"])]
     composed, labels = compose(texts)
     model = Labeller()
     model.fit([vectors(p) for p in composed], labels)
@@ -368,6 +374,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null html counts as empty and gives an empty text. Whole pages are read, however long; repeated rows and ids
     give repeated rows; other columns are dropped. No shuffle but the ordering of the fit's sample.
     """
+    text_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(fit_labeller(pages, id_col, html_col).p)
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -380,4 +387,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = extract(labeller, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, schema)
+    return pages.select(id_col, url_col, html_col).mapInArrow(lean(run), schema)
