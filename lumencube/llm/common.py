@@ -7,10 +7,9 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Characters of [\x20\x09-\x0D]; everything between them is a word.
@@ -36,6 +35,48 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches for rows that hold texts: the default of 10,000 rows would take tens of MB several times over in each task.
+
+    A session that has set another value than the default keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def lean(run):
+    """A mapInArrow or applyInArrow function after which the worker gives freed memory back to the system.
+
+    Workers are reused and wait idle between stages; without this each of them keeps the most that it has ever used.
+    """
+    import ctypes
+    import inspect
+
+    def give_back() -> None:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    if inspect.isgeneratorfunction(run):
+
+        def batches_then_back(batches):
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return batches_then_back
+
+    def group_then_back(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return group_then_back
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -98,7 +139,7 @@ MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 
 
 class Bloom:
-    """A Bloom filter over a key column, made by DataFrame aggregation and tested inside mapInArrow.
+    """A Bloom filter over a key column, made by DataFrame aggregation and tested by a vectorised function.
 
     at_least=2 keeps only the bits that at least two rows set. The size is bounded by MAX_BITS; over more rows than that
     suits, more rows test true. Whoever uses it must be right whatever rows test true beyond those that must.
@@ -121,24 +162,19 @@ class Bloom:
         return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(self.bits)).alias(f"__p{i}") for i in range(PROBES)]
 
     def mark(self, rows: DataFrame, column: str, name: str) -> DataFrame:
-        """rows with a boolean column: whether the key may be in the filter."""
+        """rows with a boolean column: whether the key may be in the filter. Only the positions go to Python, not the rows."""
         shared = self.shared
-        schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BooleanType())])
-
-        def test(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns[:-PROBES], pa.array(hits(shared.value, b))], [*b.schema.names[:-PROBES], name])
-
-        return rows.select("*", *self.positions(column)).mapInArrow(test, schema)
 
+        @F.pandas_udf("boolean")
+        def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+            field = shared.value
+            found = np.ones(len(a), bool)
+            for p in (a, b, c, d):
+                p = p.to_numpy(np.int64)
+                found &= (field[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            return pd.Series(found)
 
-def hits(field: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-    """For a batch whose last PROBES columns are positions: whether all bits of a row are set."""
-    found = np.ones(batch.num_rows, bool)
-    for c in batch.columns[-PROBES:]:
-        p = c.to_numpy(zero_copy_only=False).astype(np.int64)
-        found &= (field[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-    return found
+        return rows.withColumn(name, test(*self.positions(column)))
 
 
 def without_ids(rows: DataFrame, id_col: str, dropped: DataFrame, n_dropped: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,9 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
         of = labels.select(F.col("node").alias("root"), F.col("label").alias("above"))
         moved = least.join(of, F.col("next") == F.col("root")).select("node", F.col("label").alias("old"), F.least("next", "above").alias("label"))
         moved = stored(moved, "labels")
-        if moved.where("label < old").limit(1).count() == 0:
-            return moved.select("node", "label")
+        done = moved.where("label < old").limit(1).count() == 0
+        drop_stored(labels)
         labels = moved.select("node", "label")
+        if done:
+            drop_stored(both)
+            return labels
 
 
 def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:

@@ -10,37 +10,18 @@ shuffled; the result is the same.
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .common import SPACE, Bloom, join_groups, stored
-
-_DELETE = SPACE.encode()
 
+from .common import Bloom, join_groups, stored
 
-def _digest(texts: pa.Array) -> tuple[list[bytes], list[int]]:
-    shas, points = [], []
-    for t in texts.to_pylist():
-        t = t or ""
-        shas.append(hashlib.sha256(t.encode().translate(None, _DELETE)).digest())
-        points.append(len(t))
-    return shas, points
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __sha (SHA-256 of the text without white space; null counts as empty) and __points (code points)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__sha", T.BinaryType()), T.StructField("__points", T.LongType())])
-
-    def add(batches):
-        for b in batches:
-            shas, points = _digest(b.column(b.schema.get_field_index(text_col)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shas, pa.binary()), pa.array(points, pa.int64())], [*b.schema.names, "__sha", "__points"])
-
-    return docs.mapInArrow(add, schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.withColumns({"__sha": F.unhex(F.sha2(F.regexp_replace(text, WHITE, ""), 256)), "__points": F.length(text).cast("long")})
 
 
 def _best():

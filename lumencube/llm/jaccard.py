@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Bloom, hits, join_groups, stored
+from .common import Bloom, join_groups, lean, stored, text_batches
 from .components import components, merged
 from .words import mix, window_hashes, word_hashes
 
@@ -89,15 +89,12 @@ def _sketch(percent: int, n: int):
     return run
 
 
-def _arrays(shared, n: int):
+def _arrays(n: int):
     def run(batches):
         for b in batches:
-            found = hits(shared.value, b)
             for lo in range(0, b.num_rows, 256):
-                i = np.flatnonzero(found[lo : lo + 256]) + lo
-                if len(i):
-                    part = b.take(pa.array(i))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in part.column(1)], pa.binary())], ["id", "set"])
+                part = b.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in part.column(1)], pa.binary())], ["id", "set"])
 
     return run
 
@@ -270,9 +267,10 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT):
         if dict(docs.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
             raise ValueError("ids must be integers")
+        text_batches(docs.sparkSession)
         self.words, self.percent = words, percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        sets = self.docs.mapInArrow(_sketch(percent, words), "id long, n long, same binary, map binary, mins array<long>")
+        sets = self.docs.mapInArrow(lean(_sketch(percent, words)), "id long, n long, same binary, map binary, mins array<long>")
         sets = stored(sets, "sets")
         self.sets = sets.select("id", "n", "same")
         full = sets.where("n > 0 and id is not null")
@@ -285,7 +283,7 @@ class JaccardJoin:
         """Pairs (a, b) whose bitmaps leave room."""
         of = lambda c, n, m: self.nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("map").alias(m))
         rows = pairs.join(of("a", "na", "ma"), "a").join(of("b", "nb", "mb"), "b").select("a", "b", "na", "nb", "ma", "mb")
-        return rows.mapInArrow(_bounded(self.percent), "a long, b long, ok boolean").where("ok").drop("ok")
+        return rows.mapInArrow(lean(_bounded(self.percent)), "a long, b long, ok boolean").where("ok").drop("ok")
 
     def arrays(self, ids: DataFrame) -> DataFrame:
         """id, set: the sorted arrays of the nodes in ids(id), hashed anew from their texts.
@@ -293,8 +291,8 @@ class JaccardJoin:
         A Bloom filter finds the texts, so that neither all arrays are stored nor all texts shuffled; a few other nodes
         may come along.
         """
-        wanted = Bloom(ids, "id", ids.count())
-        return self.docs.select("*", *wanted.positions("id")).mapInArrow(_arrays(wanted.shared, self.words), "id long, set binary").dropDuplicates(["id"])
+        found = Bloom(ids, "id", ids.count()).mark(self.docs.where("id is not null"), "id", "hit").where("hit").drop("hit")
+        return found.mapInArrow(lean(_arrays(self.words)), "id long, set binary").dropDuplicates(["id"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets overlap enough, by intersecting their sorted arrays."""
@@ -302,7 +300,7 @@ class JaccardJoin:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         arrays = self.arrays(ids)
         both = pairs.join(arrays.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(arrays.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-        checked = both.select("a", "b", "sa", "sb").mapInArrow(_intersect(self.percent), "a long, b long, ok boolean")
+        checked = both.select("a", "b", "sa", "sb").mapInArrow(lean(_intersect(self.percent)), "a long, b long, ok boolean")
         return stored(checked.where("ok").drop("ok"), "links")
 
     def _mixed_tiles(self, shared: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -329,13 +327,13 @@ class JaccardJoin:
 
     def _tile_links(self, shared: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Links between nodes of different components that share a tile."""
-        many = max(8, self.n_nodes * 4 // 20_000)
+        many = max(8, self.n_nodes // 1000)
         part = F.pmod("tile", F.lit(many))
         rows = self._mixed_tiles(shared, labels).withColumn("part", part).groupBy("part")
-        near = stored(rows.applyInArrow(_candidates(self.percent), "tile long, side int, node long, comp long, n long"), "candidates")
+        near = stored(rows.applyInArrow(lean(_candidates(self.percent)), "tile long, side int, node long, comp long, n long"), "candidates")
         arrays = self.arrays(near.select(F.col("node").alias("id")).distinct())
         full = near.join(arrays, F.col("node") == F.col("id")).select("tile", "side", "node", "comp", "set", part.alias("part"))
-        return stored(full.groupBy("part").applyInArrow(_linked(self.percent), "a long, b long").distinct(), "links")
+        return stored(full.groupBy("part").applyInArrow(lean(_linked(self.percent)), "a long, b long").distinct(), "links")
 
     def links(self) -> tuple[DataFrame, DataFrame | None]:
         """Verified pairs of nodes (a, b), enough to connect whatever is connected, and the labels (node, label)."""

@@ -117,9 +117,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix itself, with the columns of docs: a document's whole repeats, then the words left over from its start.
 
-    Words that a partial repeat takes are joined by one space; whole repeats are the text unchanged.
+    Words that a partial repeat takes are joined by one space; whole repeats are the text unchanged. Rows repeated with one
+    id and text share what is taken of them evenly, to a word each.
     """
-    taken = mix(docs, weights, ceiling, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0")
+    per_id = mix(docs, weights, ceiling, id_col, text_col).groupBy(F.col(id_col).alias("__id"))
+    taken = per_id.agg(F.max("size").alias("__size"), F.floor(F.sum("taken") / F.count("*")).alias("__taken")).where("__taken > 0")
     whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
     rest = (F.col("__taken") - whole * F.col("__size")).cast("int")
     words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), 1, rest)

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, text_batches
+
 #: Labelled rows that the fit reads at most, and words that have a vector of their own.
 FIT_ROWS, VOCABULARY = 4000, 30_000
 #: Bytes of fit texts collected at most; rows beyond are left out of the fit (in the order of a hash).
@@ -29,7 +31,7 @@ FIT_BYTES = 60_000_000
 DIM, SHAPE_DIM, NONZERO, HIDDEN = 48, 32, 6, 32
 WINDOW = 2
 #: Words that a worker remembers beyond the vocabulary; beyond, it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 
 _SHAPE = bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -53,19 +55,25 @@ class Vectors:
     """Word vectors; `rows` maps a word to its row, and unseen words to the row of their shape."""
 
     def __init__(self, texts: list[bytes]):
-        split = [t.split() for t in texts]
-        counts: dict[bytes, int] = {}
-        for words in split:
-            for w in words:
-                counts[w] = counts.get(w, 0) + 1
-        every = sorted(counts)
+        seen: dict[bytes, int] = {}  # words in the order in which they come
+        parts = [np.fromiter((seen.setdefault(w, len(seen)) for w in t.split()), np.int32) for t in texts]
+        total = np.zeros(len(seen), np.int64)
+        for p in parts:
+            total += np.bincount(p, minlength=len(seen))
+        every = sorted(seen)
+        counts = {w: int(total[seen[w]]) for w in every}
         number = {w: i + 1 for i, w in enumerate(every)}  # 0 stands between documents
+        renumber = np.zeros(len(seen), np.int32)
+        for w, i in seen.items():
+            renumber[i] = number[w]
+        del seen
         shapes = sorted({shape(w) for w in every})
         shape_index = {s: index_vector(b"s" + s, DIM) for s in shapes}
         index = np.zeros((len(every) + 1, DIM), np.float32)
         for w, i in number.items():
             index[i] = shape_index[shape(w)] + (index_vector(b"w" + w, DIM) if counts[w] > 1 else 0)
-        ids = np.fromiter((i for words in split for i in (*(number[w] for w in words), *[0] * WINDOW)), np.int64)
+        gap = np.zeros(WINDOW, np.int32)
+        ids = np.concatenate([x for p in parts for x in (renumber[p], gap)])
         context = np.zeros((len(every) + 1, DIM), np.float32)
         for d in range(DIM):
             values = index[ids, d].astype(np.float64)
@@ -195,6 +203,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, usable: Column, id_col: s
 
 def score_documents(docs: DataFrame, model: Classifier, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score column; every whole text is read, null and empty texts get a score as well. No shuffle."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
@@ -206,8 +215,10 @@ def score_documents(docs: DataFrame, model: Classifier, text_col: str = "text",
                 part = b.slice(lo, 256)
                 scores = classifier.scores([(t or "").encode() for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], schema.names)
+        if classifier.vectors is not None:
+            classifier.vectors.memory.clear()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

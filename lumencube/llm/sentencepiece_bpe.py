@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import lean, text_batches
+
 SPACE_MARK = "▁"
 #: Latin letters, as a character class. Where no piece goes on from one of them to another character, a word ends there.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Segments and token pairs that a worker remembers; beyond, it starts anew.
-REMEMBERED = 1 << 19
+#: Segments and token pairs that a worker remembers at most.
+REMEMBERED = 1 << 17
 #: Longest run of one segment that is remembered; longer ones are encoded each time.
-LONG_SEGMENT = 256
+LONG_SEGMENT = 64
 
 
 class Model:
@@ -55,6 +57,8 @@ class Model:
         rest = f"[^{SPACE_MARK}{stop}{letters}]"
         word = f"{SPACE_MARK}*{rest}*[{letters}]+|" if letters else ""
         self.segments = re.compile((f"[{stop}]|" if stop else "") + f"{word}{SPACE_MARK}*{rest}+|{SPACE_MARK}+").findall
+        self.shown = [str(i) for i in range(len(self.pieces))]
+        self.plain = [p.piece if p.type == 1 else None for p in spec.pieces]
         self.sizes = [len(p) for p in self.pieces]
         self.sizes[0] = 1  # <unk> stands for one character without a piece
         self.known = {p for p in self.ids if len(p) == 1}
@@ -126,6 +130,10 @@ class Model:
         return self.segments(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
 
     def _plain(self, ids: list[int]) -> str:
+        try:
+            return "".join([self.plain[i] for i in ids])
+        except TypeError:  # there are bytes or control ids among them
+            pass
         out, raw = [], bytearray()
         for i in ids:
             if i in self.bytes_of:
@@ -171,22 +179,39 @@ def _utf8(raw: bytes) -> str:
 
 
 class _Memory(dict):
-    """Segment -> (ids joined by commas, text decoded from the ids)."""
+    """Segment -> (ids joined by commas, text decoded from the ids), in two generations.
+
+    When the young one is full it becomes the old one, out of which segments that come again are taken back; what has
+    not come again by then is forgotten.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.old: dict[str, tuple[str, str]] = {}
 
     def __missing__(self, segment: str) -> tuple[str, str]:
-        ids = self.model.segment_ids(segment)
-        value = ",".join(map(str, ids)), self.model._plain(ids)
-        if len(segment) <= LONG_SEGMENT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[segment] = value
+        value = self.old.pop(segment, None)
+        if value is None:
+            ids = self.model.segment_ids(segment)
+            shown = self.model.shown
+            value = ",".join([shown[i] for i in ids]), self.model._plain(ids)
+            if len(segment) > LONG_SEGMENT:
+                return value
+        if len(self) >= REMEMBERED // 2:
+            self.old = dict(self)
+            self.clear()
+        self[segment] = value
         return value
 
 
+    def forget(self) -> None:
+        """Free what is remembered: a worker that waits or does other work next should not hold it."""
+        self.clear()
+        self.old = {}
+        self.model.pairs.clear()
+
+
 @lru_cache(maxsize=2)
 def load(proto: bytes) -> Model:
     return Model(proto)
@@ -199,6 +224,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     No shuffle: each task encodes the rows it reads. The model file is read by the driver and sent along, since
     executors need not have it.
     """
+    text_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         proto = f.read()
     kind = docs.schema[id_col].dataType
@@ -218,12 +244,14 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 if keep_ids:
                     columns.append(pa.array([[int(i) for i in x[0].split(",")] if x[0] else [] for x in both], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        model.memory.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, text_col).mapInArrow(lean(run), T.StructType(fields))
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode_documents() reduced to id, n_tokens, ids_sha256 and decoded_sha256 where the texts are, for checks."""
+    text_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         proto = f.read()
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -234,5 +262,6 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
         for b in batches:
             rows = [(i.count(",") + 1 if i else 0, sha(i), sha(d)) for i, d in (model.encode_text(t.as_py()) for t in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], schema.names)
+        model.memory.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)

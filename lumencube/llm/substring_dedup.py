@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Bloom, stored
+from .common import Bloom, lean, stored, text_batches
 from .words import mix, window_hashes, word_hashes
 
 LENGTH, SHORT = 13, 7
@@ -231,13 +231,13 @@ def repeated_paths(docs: DataFrame, length: int = LENGTH, short: int = SHORT) ->
     """
     buckets = max(16, docs.count() // DOCS_PER_BUCKET)
     bits = min(BUCKET_BITS, 1 << (MAX_BITS // buckets).bit_length() - 1)
-    counted = docs.mapInArrow(_emit_minimizers(length, short, buckets), "bucket int, rest binary").groupBy("bucket").applyInArrow(_repeated(bits), "bucket int, bits binary")
+    counted = docs.mapInArrow(lean(_emit_minimizers(length, short, buckets)), "bucket int, rest binary").groupBy("bucket").applyInArrow(_repeated(bits), "bucket int, bits binary")
     field = np.zeros((buckets, bits // 8), np.uint8)
     for r in counted.toLocalIterator():  # at most MAX_BITS / 8 bytes in all
         field[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    windows = docs.mapInArrow(_emit_windows(length, short, buckets, bits, shared), "bucket int, hash binary, doc binary, start binary, paths binary")
-    pieces = windows.groupBy("bucket").applyInArrow(_paths, PATH)
+    windows = docs.mapInArrow(lean(_emit_windows(length, short, buckets, bits, shared)), "bucket int, hash binary, doc binary, start binary, paths binary")
+    pieces = windows.groupBy("bucket").applyInArrow(lean(_paths), PATH)
     order = Window.partitionBy("doc").orderBy("start")
     end = F.lag(F.col("start") + F.col("n")).over(order)
     follows = (end == F.col("start")) & (F.lag("source").over(order) == F.col("source")) & (F.lag(F.col("at") + F.col("n")).over(order) == F.col("at"))
@@ -253,18 +253,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lose anything. Rows repeated with one id and text lose the same words, none to each other; ids are meant to be
     unique otherwise. Other columns are ignored; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     paths = stored(repeated_paths(texts, length, short), "paths")
     n = paths.count()
     spans = paths.select("source", "at", "n").distinct().groupBy("source").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     holding = Bloom(paths.select("source").distinct(), "source", n).mark(texts, "id", "__hit").where("__hit").drop("__hit").dropDuplicates(["id"])
-    digests = holding.join(spans, F.col("id") == F.col("source")).select("id", "text", "spans").mapInArrow(_source_digests(length), "source long, at long, n long, digest binary")
+    digests = holding.join(spans, F.col("id") == F.col("source")).select("id", "text", "spans").mapInArrow(lean(_source_digests(length)), "source long, at long, n long, digest binary")
     verified = paths.join(digests, ["source", "at", "n"]).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "digest")).alias("paths"))
     marked = Bloom(paths.select("doc").distinct(), "doc", n).mark(texts, "id", "__hit")
     none = F.lit(None).cast("array<struct<start: long, n: long, digest: binary>>")
     rows = marked.where("__hit").join(verified, F.col("id") == F.col("doc"), "left").select("id", "text", "paths")
     rest = marked.where("not __hit").select("id", "text", none.alias("paths"))
     result = "id long, n_words long, n_removed long, kept string"
-    out = rows.mapInArrow(_remove(length), result).unionByName(rest.mapInArrow(_remove(length), result))
+    out = rows.mapInArrow(lean(_remove(length)), result).unionByName(rest.mapInArrow(lean(_remove(length)), result))
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept")

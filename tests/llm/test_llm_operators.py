@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumencube.llm import chat, common, exact_dedup, html_text, jaccard, mixing, quality, secrets, sentencepiece_bpe, substring_dedup, topk
 from lumencube.llm.queries import tokenizer_path
@@ -229,6 +228,17 @@ def test_mixing_of_nothing_but_empty_texts(spark):
     assert len(got) == 3 and {(r["size"], r["target"], r["taken"]) for r in got} == {(0, 0.0, 0)}
 
 
+def test_mixing_of_repeated_rows(spark):
+    docs = make(spark, [(1, "a b c d e", "a")] * 3 + [(2, "f g h", "b"), (None, "i j", "b"), (None, "i j", "b")])
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"]] += r["taken"]
+    got = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["doc_id"]] += len(r["text"].split())
+    assert all(0 <= taken[i] - got[i] < 3 for i in (1, 2, None)) and sum(taken.values()) > 15
+
+
 def test_schedule_is_spread_evenly(spark):
     docs = make(spark, [(i, "w " * 400, "ab"[i % 2]) for i in range(60)])
     m = mixing.Mix(docs)
