@@ -37,13 +37,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td textarea tfoot th thead tr ul button label br".split()
 )
-SILENT = "script|style|template|noscript|iframe|svg|math|object|title"
+#: Raw text up to its end tag, never read as blocks.
+RAW = "script|style|title"
+#: Text of these stands apart from the text around it, but does not end a paragraph.
+APART = frozenset("noscript template iframe object".split())
 
+# A quote counts only where a value starts; one that never closes is part of the value.
+_ATTRS = r"(?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?)*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<how>{_ATTRS})>"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in (*RAW.split("|"), *APART)}
+_ALONE = re.compile(r"(?:^|[\s\"'])/\Z")
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -62,6 +69,14 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links = at = 0
+    page = page or ""
+    ends: dict[str, re.Match | None] = {}
+
+    def end(name: str, start: int) -> re.Match | None:
+        """The next end tag; pages are searched once, however many elements are left open."""
+        if name not in ends or (ends[name] and ends[name].start() < start):
+            ends[name] = _END[name].search(page, start)
+        return ends[name]
 
     def flush():
         nonlocal links
@@ -71,13 +86,23 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page or ""):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
             if any(tag == "a" for tag, _ in stack):
                 links += len(text)
         at = m.end()
+        if m["raw"]:
+            if not _ALONE.search(m["how"]):
+                raw = m["raw"].lower()
+                if last := end(raw, at):
+                    at = last.end()
+                elif raw == "title":  # left open: what follows is the page
+                    stack.append((raw, ()))
+                else:
+                    at = len(page)
+            continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
@@ -86,6 +111,10 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 parts.append(" ")
                 continue
             flush()
+        elif tag in APART:
+            flush()
+            if not m["close"] and not end(tag, at):  # left open: what follows is not inside
+                continue
         if m["close"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -101,7 +130,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                         break
             if tag not in VOID and not m["attrs"].endswith("/"):
                 stack.append((tag, _names(m["attrs"])))
-    if at < len(page or ""):
+    if at < len(page):
         parts.append(page[at:])
     flush()
     return out
@@ -273,20 +302,21 @@ class Labeller:
 ARTICLE = (
     "<article>", "<main>", "<main><article>", "<div class=content>", "<div id=content>", "<div id=main>", "<div class=article>", "<div class='article-body'>", "<div class='post-content'>", "<div class='entry-content'>", "<section class=story>", "<div class='main-content'>",
     "<article class=post>", "<div class=post>", "<div id=article>", "<div class=text>", "<section itemprop=articleBody>", "<div role=main>", "<div class='story-body'>", "<main id=content><article class=entry>", "<section>", "<div class=page><article>", "<div class=wrapper><article>", "<div id=wrapper><div class=content>",
+    "<noscript><article>", "<template><article>", "<object><article>",
 )
 BEFORE = (
     "<nav><ul><li><a>", "<nav><a>", "<header><div>", "<header><h1>", "<header><nav><ul><li><a>", "<header><p>", "<div class=header><p>", "<div id=header><h1>", "<div class=menu><ul><li><a>", "<ul class=menu><li><a>", "<div id=nav><ul><li><a>", "<div class=navbar><a>", "<div class=breadcrumbs><a>", "<ul class=breadcrumb><li><a>",
     "<div class=ad>", "<div class=ads><p>", "<div class=advert>", "<div class=banner>", "<div class=promo><p>", "<div class=sponsored><a>", "<div id=ad><p>", "<div class=advertisement><p>", "<div class=notice>", "<div class='cookie-notice'><p>", "<div id=cookie><p>", "<div class=cookies>", "<div class=alert><p>", "<div class=consent><p>", "<div role=alert>", "<div role=navigation><a>", "<div role=banner>",
-    "<form><label>", "<form class=search><label>", "<form><button>", "<div class=login><form><p>", "<aside><p>", "<aside><ul><li><a>", "<aside><h2>", "<div class=sidebar><p>", "<div id=sidebar><ul><li><a>", "<div class=topbar>", "<div class=popup><p>", "<div class=modal><p>", "<div class=skip><a>", "<noindex><div class=ad>",
+    "<form><label>", "<form class=search><label>", "<form><button>", "<div class=login><form><p>", "<aside><p>", "<aside><ul><li><a>", "<aside><h2>", "<div class=sidebar><p>", "<div id=sidebar><ul><li><a>", "<div class=topbar>", "<div class=popup><p>", "<div class=modal><p>", "<div class=skip><a>", "<noindex><div class=ad>", "<noscript><p>",
 )
 AFTER = (
     "<footer>", "<footer><p>", "<footer><ul><li><a>", "<div class=footer><p>", "<div id=footer>", "<div class=copyright>", "<footer><div class=legal><p>", "<section class=comments><p>", "<div class=comments><div class=comment><p>", "<div id=comments><ul><li>", "<ol class=commentlist><li><p>", "<div class=comment>", "<section id=comments><article class=comment><p>", "<div class='reader-comments'><p>", "<div class=responses><p>", "<div class=discussion><p>",
     "<div class=related><ul><li><a>", "<div class=share><a>", "<ul class=social><li><a>", "<div class=recommended><a>", "<div class=newsletter><form><p>", "<div class=subscribe><p>", "<div class=pagination><a>", "<div class=tags><a>", "<div class=widget><p>", "<div class=disclaimer><p>", "<div role=contentinfo><p>", "<div role=complementary><p>", "<section class=related><h3>", "<div class='footer-links'><a>", "<form class=comment><label>",
 )
 INSIDE = (
-    "<aside>", "<aside><p>", "<div class=ad>", "<div class=ads><p>", "<div class=advert><p>", "<div class=promo>", "<form><p>", "<form><label>", "<div class=comments><p>", "<section class=comments><p>", "<div class=comment><p>", "<nav><ul><li><a>", "<div class=sidebar><p>", "<div class=share><a>", "<div class=related><a>", "<footer><p>", "<div class=newsletter><p>", "<div class=notice><p>", "<div class=sponsored><p>",
+    "<aside>", "<aside><p>", "<div class=ad>", "<div class=ads><p>", "<div class=advert><p>", "<div class=promo>", "<form><p>", "<form><label>", "<div class=comments><p>", "<section class=comments><p>", "<div class=comment><p>", "<nav><ul><li><a>", "<div class=sidebar><p>", "<div class=share><a>", "<div class=related><a>", "<footer><p>", "<div class=newsletter><p>", "<div class=notice><p>", "<div class=sponsored><p>", "<noscript>", "<noscript><p>", "<iframe>", "<iframe><p>", "<template>", "<template><p>",
 )
-TEXT = ("<p>", "<p>", "<p>", "<p>", "<p><b>", "<h1>", "<h2>", "<h3>", "<ul><li>", "<ol><li>", "<blockquote><p>", "<blockquote>", "<pre>", "<div>", "<div><p>", "<table><tr><td>", "<section><p>", "<section><h2>", "<figure><figcaption>", "<dl><dd>", "<p><a>", "<p><em>", "")
+TEXT = ("<p>", "<p>", "<p>", "<p>", "<p><b>", "<h1>", "<h2>", "<h3>", "<ul><li>", "<ol><li>", "<blockquote><p>", "<blockquote>", "<pre>", "<div>", "<div><p>", "<table><tr><td>", "<section><p>", "<section><h2>", "<figure><figcaption>", "<dl><dd>", "<p><a>", "<p><em>", "<object><p>", "")
 NEUTRAL = ("container", "wrap", "row", "col", "inner", "page", "site", "box", "clearfix", "grid", "left", "right", "first", "block", "section", "group")
 
 _OPEN = re.compile(r"<([a-z0-9]+)([^>]*)>")

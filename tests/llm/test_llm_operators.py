@@ -456,6 +456,39 @@ def test_pages(spark):
     assert by[None]["n_chars"] == 50_000 * 5 - 1
 
 
+MARKUP = {
+    '<header><svg class="icon"/></header><article><p>All of the article.</p></article>': ["All of the article."],
+    '<article><p>One.</p><object data="a.pdf"><p>The rest of it.</p></article>': ["One.", "The rest of it."],
+    "<article><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>": ["where x=2 holds"],
+    "<article><title-case>A heading</title-case><p>Text.</p></article>": ["A heading", "Text."],
+    "<p title=it's>One isn't lost</p>": ["One isn't lost"],
+    '<p title="never closed>One</p>': ["One"],
+    "<p a=\"1>2\" b='x>y' c=d/e>One</p>": ["One"],
+    "<svg><title/><style/></svg><script src='x' /><p>One</p>": ["One"],
+    "<head><title>Name</head><body><p>One</p>": ["Name", "One"],
+    "<iframe src=x><p>One</p><template><p>Two</p>": ["One", "Two"],
+    "<p>One <noscript>Switch it on</noscript> two</p>": ["One", "Switch it on", "two"],
+    "<script src=//a.b/>if (a<b && c='</p>') {}</script ><style>p{}</style><title>t</title><p>One</p>": ["One"],
+}
+
+
+def test_markup_that_must_not_swallow_text():
+    for page, texts in MARKUP.items():
+        assert [t for _, t, _ in html_text.blocks(page)] == texts, page
+    assert [p for p, _, _ in html_text.blocks("<p>a<noscript>b</noscript>c</p>")] == [("<p>",), ("<p>", "<noscript>"), ("<p>",)]
+
+
+def test_labeller_judges_what_was_swallowed(spark):
+    body = "<p>First paragraph of the text, which is long enough to read.</p>{}<p>Second paragraph goes on here for a while.</p>"
+    whole = "First paragraph of the text, which is long enough to read. Second paragraph goes on here for a while."
+    extra = ["<svg class=i />", '<object data="a.pdf">', "<noscript><p>Please switch scripts on.</p></noscript>", "<iframe src=x>Your browser shows no frames.</iframe>", "<iframe src=x />", "<template><p>Name of item</p></template>"]
+    rows = [(i, "u", "<html><body><header><svg/><nav><ul><li><a href='/'>Home</a></li></ul></nav></header><article>" + body.format(x) + "</article><footer>Copyright</footer></body></html>") for i, x in enumerate(extra)]
+    rows.append((len(rows), "u", "<html><body><noscript><article>" + body.format("") + "</article></noscript><footer>Copyright</footer></body></html>"))
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = html_text.main_text(pages.unionByName(spark.createDataFrame([(i + 10**6, u, h) for i, u, h in rows], "page_id long, url string, html string"))).where("page_id >= 1000000").collect()
+    assert {r["page_id"] - 10**6: r["text"] for r in got} == {i: whole for i in range(len(rows))}
+
+
 def test_labeller_gradients_and_held_out_layouts():
     texts = [words_of(random.Random(k), 30) + "." for k in range(60)]
     pages, labels = html_text.compose(texts, 700, 1)
