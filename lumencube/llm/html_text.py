@@ -31,6 +31,8 @@ PATH_DIM, LEAF_DIM, WORD_DIM, SIZES, HIDDEN = 40, 32, 16, 4, 20
 DIM = PATH_DIM + LEAF_DIM + WORD_DIM + SIZES
 #: Characters of a sampled page that are kept for composing, so that the fit's memory is bounded.
 SAMPLE_CHARS = 20_000
+#: Blocks of a padded batch of pages that are labelled together, and of those whose input to the gates is held at a time.
+CELLS, STRETCH = 1 << 17, 1 << 13
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -209,10 +211,12 @@ class Labeller:
     def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool):
         steps, n, _ = x.shape
         h = c = np.zeros((n, HIDDEN), np.float32)
-        drive = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
+        stretch = max(1, STRETCH // n)
         out, tape = np.empty((steps, n, HIDDEN), np.float32), []
         for t in range(steps):
-            z = drive[t] + h @ self.p[f"h{d}"]
+            if t % stretch == 0:  # not for all steps at once: a page may be very long
+                drive = x[t : t + stretch] @ self.p[f"x{d}"] + self.p[f"c{d}"]
+            z = drive[t % stretch] + h @ self.p[f"h{d}"]
             gates = _sigmoid(z[:, : 3 * HIDDEN])
             i, f, o, g = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
             m = mask[t][:, None]
@@ -386,13 +390,22 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return model
 
 
+def _batches(lengths: list[int], batch: int):
+    """(lo, hi) of ascending lengths: at most `batch` pages and CELLS steps times pages, a longer page alone."""
+    lo = 0
+    for hi in range(1, len(lengths) + 1):
+        if hi == len(lengths) or hi - lo >= batch or lengths[hi] * (hi + 1 - lo) > CELLS:
+            yield lo, hi
+            lo = hi
+
+
 def extract(model: Labeller, pages: list[str | None], batch: int = 128) -> list[str]:
     """Main text of each page; empty if it has none."""
     split = [blocks(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if split[i]), key=lambda i: len(split[i]))
-    for at in range(0, len(order), batch):
-        chosen = order[at : at + batch]
+    for lo, hi in _batches([len(split[i]) for i in order], batch):
+        chosen = order[lo:hi]
         for i, z in zip(chosen, model.logits([vectors(split[i]) for i in chosen]), strict=True):
             out[i] = " ".join(b[1] for b, keep in zip(split[i], z > 0, strict=True) if keep)
     return out

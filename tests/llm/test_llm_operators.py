@@ -489,6 +489,22 @@ def test_labeller_judges_what_was_swallowed(spark):
     assert {r["page_id"] - 10**6: r["text"] for r in got} == {i: whole for i in range(len(rows))}
 
 
+def test_a_long_page_is_not_padded_beside_others(monkeypatch):
+    model = html_text.Labeller()
+    pages = ["<p>one</p><div>Two words.</div>" * (k % 7 + 1) for k in range(150)] + ["<table><tr>" + "<td>a cell</td>" * 40_000 + "</table>", "", None]
+    sizes, run = [], html_text.Labeller._run
+
+    def seen(self, d, x, mask, keep):
+        sizes.append(x.shape[:2])
+        return run(self, d, x, mask, keep)
+
+    monkeypatch.setattr(html_text.Labeller, "_run", seen)
+    got = html_text.extract(model, pages)
+    assert all(n == 1 or steps * n <= 1 << 17 for steps, n in sizes) and max(sizes)[0] == 40_000
+    assert got == [html_text.extract(model, [p])[0] for p in pages] and any(got)
+    assert [hi - lo for lo, hi in html_text._batches([1, 1 << 10, 1 << 10, 1 << 16, 1 << 16, 1 << 18, 1 << 19], 128)] == [3, 2, 1, 1]
+
+
 def test_labeller_gradients_and_held_out_layouts():
     texts = [words_of(random.Random(k), 30) + "." for k in range(60)]
     pages, labels = html_text.compose(texts, 700, 1)
