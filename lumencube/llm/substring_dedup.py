@@ -10,7 +10,9 @@ Edges are not shuffled one by one. A window belongs to the smallest hash of its
 equal windows have equal minimizers. A first pass finds minimizers that occur in two documents, 4 bytes each, and puts
 them into a Bloom filter of bounded size. The second pass shuffles only the windows of those, dealt by minimizer, so that
 a run of windows stays together; of equal windows in one batch of documents only the first moves, as the others are
-resolved where they are. A passage in very many documents thus costs a reducer one row per batch.
+resolved where they are. A passage in very many documents thus costs a reducer one row per batch. A short line between
+many different neighbours makes many windows with one minimizer: the first pass counts them, and windows of a minimizer
+with more than HOT_WINDOWS are dealt by their own hash, so that equal ones still meet but no reducer has them all.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ LENGTH, SHORT = 13, 7
 DOCS_PER_BUCKET, BUCKET_BITS, MAX_BITS = 2000, 1 << 18, 1 << 29
 #: Bytes of text that are resolved together before anything moves.
 BATCH_BYTES = 6_000_000
+#: Windows of one minimizer beyond which they are dealt one by one; windows in a batch from which on they are counted singly.
+HOT_WINDOWS, COUNTED = 1 << 16, 8
 _SALT = np.uint64(0xD1B54A32D192ED03)
 PATH = "doc long, start long, n long, source long, at long"
 
@@ -70,36 +74,53 @@ def _slots(rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (k & np.uint64(bits - 1)).astype(np.int64), ((k >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _hot_keys(bucket, rest: np.ndarray) -> np.ndarray:
+    return np.asarray(bucket, np.uint64) << np.uint64(32) | rest.astype(np.uint64)
+
+
 def _spread(bucket: np.ndarray):
     """Order of rows by bucket, and (bucket, lo, hi) of each run in that order."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    if not len(b):
+        return order, []
+    edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     return order, [(int(b[lo]), int(lo), int(hi)) for lo, hi in zip(edge, np.r_[edge[1:], len(b)], strict=True)]
 
 
 def _emit_minimizers(length: int, short: int, buckets: int):
     def run(batches):
         for part in _parts(batches):
-            found = [np.unique(_minimizers(w, length, short)) for _, t in part if len(w := word_hashes(t)) >= length]
+            found = [np.unique(_minimizers(w, length, short), return_counts=True) for _, t in part if len(w := word_hashes(t)) >= length]
             if not found:
                 continue
-            m, n = np.unique(np.concatenate(found), return_counts=True)
-            m = np.repeat(m, np.minimum(n, 2))
+            m, owner, n = np.unique(np.concatenate([u for u, _ in found]), return_inverse=True, return_counts=True)
+            sizes = np.bincount(owner, np.concatenate([k for _, k in found])).astype(np.int64)
+            once = np.minimum(n, 2)
             bucket, rest = _bucket(m, buckets)
+            many = np.flatnonzero(sizes >= COUNTED)
+            more, more_runs = _spread(bucket[many])
+            pairs = np.stack([rest[many], np.minimum(sizes - once, (1 << 32) - 1)[many].astype(np.uint32)], axis=1)[more]
+            bucket, rest = np.repeat(bucket, once), np.repeat(rest, once)
             order, runs = _spread(bucket)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([rest[order[lo:hi]].tobytes() for _, lo, hi in runs], pa.binary())], ["bucket", "rest"])
+            out = [(b, rest[order[lo:hi]].tobytes(), b"") for b, lo, hi in runs] + [(b, b"", pairs[lo:hi].tobytes()) for b, lo, hi in more_runs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[k] for r in out], pa.binary()) for k in (1, 2)]], ["bucket", "rest", "many"])
 
     return run
 
 
-def _repeated(bits: int):
+def _repeated(bits: int, limit: int):
+    """Per bucket: the filter's bits of minimizers in two documents, and those (hot) with more than `limit` windows."""
+
     def run(key, t):
         rest, n = np.unique(np.frombuffer(b"".join(t.column("rest").to_pylist()), np.uint32), return_counts=True)
         field = np.zeros(bits, bool)
         for s in _slots(rest[n > 1], bits):
             field[s] = True
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(field).tobytes()], pa.binary())})
+        pairs = np.frombuffer(b"".join(t.column("many").to_pylist()), np.uint32).reshape(-1, 2)
+        total = n + np.bincount(np.searchsorted(rest, pairs[:, 0]), pairs[:, 1], len(rest)).astype(np.int64)
+        hot = rest[(n > 1) & (total > limit)].tobytes()
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(field).tobytes()], pa.binary()), "hot": pa.array([hot], pa.binary())})
 
     return run
 
@@ -125,7 +146,7 @@ def _resolve(h, doc, start):
 
 def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
     def run(batches):
-        field = shared.value
+        field, hot = shared.value
         for part in _parts(batches):
             hs, ds, ps, bs = [], [], [], []
             for i, t in part:
@@ -147,7 +168,11 @@ def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
                 hs.append(h[once])
                 ps.append(at[once])
                 ds.append(np.full(len(once), i, np.int64))
-                bs.append(np.repeat(bucket, sizes)[at[once]])
+                dealt = np.repeat(bucket, sizes)[at[once]]
+                if len(hot):
+                    apart = np.repeat(np.isin(_hot_keys(bucket, rest), hot), sizes)[at[once]]
+                    dealt[apart] = _bucket(h[once][apart], buckets)[0]
+                bs.append(dealt)
             if not hs:
                 continue
             h, doc, start, bucket = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps), np.concatenate(bs)
@@ -231,11 +256,13 @@ def repeated_paths(docs: DataFrame, length: int = LENGTH, short: int = SHORT) ->
     """
     buckets = max(16, docs.count() // DOCS_PER_BUCKET)
     bits = min(BUCKET_BITS, 1 << (MAX_BITS // buckets).bit_length() - 1)
-    counted = docs.mapInArrow(lean(_emit_minimizers(length, short, buckets)), "bucket int, rest binary").groupBy("bucket").applyInArrow(_repeated(bits), "bucket int, bits binary")
+    counted = docs.mapInArrow(lean(_emit_minimizers(length, short, buckets)), "bucket int, rest binary, many binary").groupBy("bucket").applyInArrow(_repeated(bits, HOT_WINDOWS), "bucket int, bits binary, hot binary")
+    hot = [np.zeros(0, np.uint64)]  # one key per HOT_WINDOWS windows of the table at most
     field = np.zeros((buckets, bits // 8), np.uint8)
     for r in counted.toLocalIterator():  # at most MAX_BITS / 8 bytes in all
         field[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+        hot.append(_hot_keys(r["bucket"], np.frombuffer(bytes(r["hot"]), np.uint32)))
+    shared = docs.sparkSession.sparkContext.broadcast((field, np.concatenate(hot)))
     windows = docs.mapInArrow(lean(_emit_windows(length, short, buckets, bits, shared)), "bucket int, hash binary, doc binary, start binary, paths binary")
     pieces = windows.groupBy("bucket").applyInArrow(lean(_paths), PATH)
     order = Window.partitionBy("doc").orderBy("start")

@@ -137,6 +137,39 @@ def test_substring_dedup_across_batches(spark, rows, monkeypatch):
     assert paths and all(p["source"] < p["doc"] and p["n"] > 0 for p in paths)
 
 
+def test_substring_dedup_of_hot_minimizers(spark, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 1)  # every repeated minimizer is hot
+    monkeypatch.setattr(substring_dedup, "DOCS_PER_BUCKET", 2)
+    assert sorted(tuple(r) for r in substring_dedup.dedup_substrings(make(spark, rows).repartition(5)).collect()) == brute_removed(rows)
+
+
+def test_a_line_between_many_neighbours_is_dealt_over_buckets():
+    import pyarrow as pa
+    import pyarrow.compute
+
+    rng, line = random.Random(8), " ".join(f"line{k}" for k in range(12))
+    texts = [f"{words_of(rng, 7, 10**6)} {line} {words_of(rng, 7, 10**6)}" for _ in range(1200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(lo, lo + 300)), pa.array(texts[lo : lo + 300])], ["id", "text"]) for lo in range(0, 1200, 300)]
+    first = pa.Table.from_batches([x for b in batches for x in substring_dedup._emit_minimizers(13, 7, 16)([b])])
+    field, hot = np.zeros((16, 1 << 12), np.uint8), []
+    for b in range(16):
+        t = first.filter(pa.compute.equal(first["bucket"], b))
+        got = substring_dedup._repeated(1 << 15, 1000)((pa.scalar(b),), t).to_pylist()[0]
+        field[b] = np.frombuffer(got["bits"], np.uint8)
+        hot.append(substring_dedup._hot_keys(b, np.frombuffer(got["hot"], np.uint32)))
+
+    class Shared:
+        value = field, np.concatenate(hot)
+
+    moved = Counter()
+    for b in batches:
+        for out in substring_dedup._emit_windows(13, 7, 16, 1 << 15, Shared)([b]):
+            for r in out.to_pylist():
+                moved[r["bucket"]] += len(r["hash"]) // 8
+    assert 1 <= len(Shared.value[1]) <= 6 and sum(moved.values()) > 5000
+    assert max(moved.values()) < sum(moved.values()) / 4
+
+
 # --- quality -------------------------------------------------------------------------------------------------------
 
 
