@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; set here only where it is unset (local runs)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,20 +38,58 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "lumencube-checkpoints")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return where
 
 
-def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches for rows that hold texts: the default of 10,000 rows would take tens of MB several times over in each task.
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = "4m"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches for rows that hold texts, bounded by bytes instead of Spark's default of 64 MB, which a task holds several times over.
 
-    A session that has set another value than the default keeps it.
+    A setting of the session's own is kept. Results do not depend on it. Longer single rows make a batch of their own.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
+class Scope:
+    """Broadcasts and intermediate tables made within a `with` block, to be dropped by release() once nothing reads them."""
+
+    active: list[Scope] = []
+
+    def __init__(self):
+        self.shared: list = []
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scope:
+        Scope.active.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scope.active.remove(self)
+
+    def release(self) -> None:
+        for b in self.shared:
+            b.unpersist()
+        for t in self.tables:
+            drop_stored(t)
+        self.shared, self.tables = [], []
+
+
+def share(spark: SparkSession, value):
+    """A broadcast of a value of bounded size; the scope at hand, if any, can release it."""
+    b = spark.sparkContext.broadcast(value)
+    for scope in Scope.active[-1:]:
+        scope.shared.append(b)
+    return b
 
 
 def lean(run):
@@ -54,6 +101,7 @@ def lean(run):
     import inspect
 
     def give_back() -> None:
+        pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
             trim(0)
@@ -82,7 +130,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    for scope in Scope.active[-1:]:
+        scope.tables.append(written)
+    return written
 
 
 def drop_stored(df: DataFrame) -> None:
@@ -156,7 +207,7 @@ class Bloom:
             start = (r["bucket"] - 1) * len(part)
             end = min(start + len(part), len(self.field))
             self.field[start:end] |= part[: end - start]
-        self.shared = keys.sparkSession.sparkContext.broadcast(self.field)
+        self.shared = share(keys.sparkSession, self.field)
 
     def positions(self, column: str) -> list[Column]:
         return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(self.bits)).alias(f"__p{i}") for i in range(PROBES)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, text_batches
+from .common import lean, share, text_batches
 
 #: Pages whose blocks the composed pages are filled with, and the number of composed pages.
 SAMPLE_PAGES, COMPOSED = 256, 3000
@@ -418,7 +418,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     give repeated rows; other columns are dropped. No shuffle but the ordering of the fit's sample.
     """
     text_batches(pages.sparkSession)
-    model = pages.sparkSession.sparkContext.broadcast(fit_labeller(pages, id_col, html_col).p)
+    model = share(pages.sparkSession, fit_labeller(pages, id_col, html_col).p)
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):

@@ -25,8 +25,8 @@ from .common import lean, text_batches
 SPACE_MARK = "▁"
 #: Latin letters, as a character class. Where no piece goes on from one of them to another character, a word ends there.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Segments and token pairs that a worker remembers at most.
-REMEMBERED = 1 << 17
+#: Token pairs that a worker remembers at most, bytes of the segments of a generation, bytes of each besides its characters.
+REMEMBERED, REMEMBERED_BYTES, ENTRY_BYTES = 1 << 16, 28_000_000, 190
 #: Longest run of one segment that is remembered; longer ones are encoded each time.
 LONG_SEGMENT = 64
 
@@ -65,7 +65,7 @@ class Model:
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if self.merged(p) == [p]:
-                self.automaton.add_word(p, i)
+                self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.memory = _Memory(self)
@@ -89,29 +89,30 @@ class Model:
         if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
         found = left == 0 or self.merged(self.pieces[left] + self.pieces[right]) == [self.pieces[left], self.pieces[right]]
-        self.pairs[left << 32 | right] = found
+        self.pairs[left * len(self.pieces) + right] = found
         return found
 
     def segment_ids(self, segment: str) -> list[int]:
         """The ids of a segment, from the table of last tokens of its prefixes."""
-        last, sizes, pairs = [-1] * len(segment), self.sizes, self.pairs
-        strange = not self.known.issuperset(segment)
-        if strange:
+        last, sizes, pairs, many = [-1] * len(segment), self.sizes, self.pairs, len(self.pieces)
+        if not self.known.issuperset(segment):
             for at, c in enumerate(segment):
                 if c not in self.known:
                     last[at] = 0
-        for end, token in self.automaton.iter(segment):
-            if last[end] >= 0:
+        done = -1
+        for end, (token, size) in self.automaton.iter(segment):
+            if end == done:
                 continue
-            start = end - sizes[token]
-            if start < 0:
-                last[end] = token
-                continue
-            fits = pairs.get(last[start] << 32 | token)
-            if fits is None:
-                fits = self.compatible(last[start], token)
-            if fits:
-                last[end] = token
+            start = end - size
+            if start >= 0:
+                left = last[start]
+                fits = pairs.get(left * many + token)
+                if fits is None:
+                    fits = self.compatible(left, token)
+                if not fits:
+                    continue
+            last[end] = token
+            done = end
         out, at = [], len(segment) - 1
         while at >= 0:
             token = last[at]
@@ -155,10 +156,14 @@ class Model:
 
     def encode_text(self, text: str | None) -> tuple[str, str]:
         """Ids joined by commas, and the text decoded from them, through the worker's memory."""
-        memory = self.memory
-        found = [memory[s] for s in self._split(text)]
-        plain = "".join([f[1] for f in found])
-        return ",".join([f[0] for f in found]), plain.removeprefix(SPACE_MARK).replace(SPACE_MARK, " ")
+        segments, memory = self._split(text), self.memory
+        found = [memory[s] for s in segments]
+        try:
+            ids, plain = ",".join(found), "".join(segments)
+        except TypeError:  # some decode to another text
+            ids = ",".join([f if isinstance(f, str) else f[0] for f in found])
+            plain = "".join([s if isinstance(f, str) else f[1] for s, f in zip(segments, found, strict=True)])
+        return ids, plain.removeprefix(SPACE_MARK).replace(SPACE_MARK, " ")
 
 
 def _utf8(raw: bytes) -> str:
@@ -179,7 +184,7 @@ def _utf8(raw: bytes) -> str:
 
 
 class _Memory(dict):
-    """Segment -> (ids joined by commas, text decoded from the ids), in two generations.
+    """Segment -> its ids joined by commas, or (ids, text) where the ids decode to another text, in two generations of bounded size.
 
     When the young one is full it becomes the old one, out of which segments that come again are taken back; what has
     not come again by then is forgotten.
@@ -188,27 +193,32 @@ class _Memory(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.old: dict[str, tuple[str, str]] = {}
+        self.old: dict = {}
+        self.room = REMEMBERED_BYTES
 
-    def __missing__(self, segment: str) -> tuple[str, str]:
+    def __missing__(self, segment: str) -> str | tuple[str, str]:
         value = self.old.pop(segment, None)
         if value is None:
             ids = self.model.segment_ids(segment)
             shown = self.model.shown
-            value = ",".join([shown[i] for i in ids]), self.model._plain(ids)
+            value = ",".join([shown[i] for i in ids])
+            plain = self.model._plain(ids)
+            if plain != segment:
+                value = value, plain
             if len(segment) > LONG_SEGMENT:
                 return value
-        if len(self) >= REMEMBERED // 2:
+        self.room -= ENTRY_BYTES + 3 * len(segment)
+        if self.room < 0:
             self.old = dict(self)
             self.clear()
+            self.room = REMEMBERED_BYTES
         self[segment] = value
         return value
 
-
     def forget(self) -> None:
         """Free what is remembered: a worker that waits or does other work next should not hold it."""
         self.clear()
-        self.old = {}
+        self.old, self.room = {}, REMEMBERED_BYTES
         self.model.pairs.clear()
 
 
@@ -220,7 +230,8 @@ def load(proto: bytes) -> Model:
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per document: id, n_tokens, ids (array, if keep_ids), ids_text (comma-joined), decoded.
 
-    Null text counts as empty and has no ids; repeated rows and ids give repeated rows; other columns are dropped.
+    Null text counts as empty and has no ids; repeated rows and ids give repeated rows; other columns are dropped. Whole
+    texts are encoded; a long one needs its list of segments in memory. An empty table gives an empty result.
     No shuffle: each task encodes the rows it reads. The model file is read by the driver and sent along, since
     executors need not have it.
     """

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Bloom, lean, stored, text_batches
+from .common import Bloom, lean, share, stored, text_batches
 from .words import mix, window_hashes, word_hashes
 
 LENGTH, SHORT = 13, 7
@@ -262,7 +262,7 @@ def repeated_paths(docs: DataFrame, length: int = LENGTH, short: int = SHORT) ->
     for r in counted.toLocalIterator():  # at most MAX_BITS / 8 bytes in all
         field[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
         hot.append(_hot_keys(r["bucket"], np.frombuffer(bytes(r["hot"]), np.uint32)))
-    shared = docs.sparkSession.sparkContext.broadcast((field, np.concatenate(hot)))
+    shared = share(docs.sparkSession, (field, np.concatenate(hot)))
     windows = docs.mapInArrow(lean(_emit_windows(length, short, buckets, bits, shared)), "bucket int, hash binary, doc binary, start binary, paths binary")
     pieces = windows.groupBy("bucket").applyInArrow(lean(_paths), PATH)
     order = Window.partitionBy("doc").orderBy("start")

@@ -1,30 +1,18 @@
-"""Vectorised hashing of the words of whole texts."""
+"""Hashing of the words of whole texts, by a keyed hash of each word (SipHash) and sums over consecutive words."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
 
 import numpy as np
+import pandas as pd
 
-_BASE = np.uint64(0x9E3779B97F4A7C17)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C17, -1, 1 << 64))
-_VALUES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-#: Bytes that are hashed at once, so that the arrays stay small beside long texts.
+#: Keys of two independent word hashes, and the factors by which the hashes of consecutive words are summed.
+_KEYS = ("lumencube words0", "lumencube words1")
+_BASE = (np.uint64(0x9E3779B97F4A7C17), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Bytes of text that are hashed at once, so that the lists of words stay small beside long texts.
 CHUNK = 1 << 20
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        a = np.full(n, base, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,47 +23,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word of a byte array; words are runs of bytes other than space and 9 to 13."""
-    space = _IS_SPACE[raw]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(raw) and not space[0]:
-        edge = np.r_[0, edge]
-    if len(raw) and not space[-1]:
-        edge = np.r_[edge, len(raw)]
-    return edge[::2], edge[1::2]
-
-
-def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes in all texts. lower: A-Z count as a-z."""
-    raw = np.frombuffer(data, np.uint8)
-    if lower:
-        raw = _LOWER[raw]
-    starts, ends = word_spans(raw)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    out = []
-    first = 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + CHUNK, side="right")))
-        lo, hi = int(starts[first]), int(ends[last - 1])
-        size = CHUNK + 1
-        while size < hi - lo + 1:
-            size *= 2
-        up, down = _powers(size)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_VALUES[raw[lo:hi]] * up[: hi - lo], out=total[1:])
-        s, e = starts[first:last] - lo, ends[first:last] - lo
-        out.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
-        first = last
-    return np.concatenate(out)
-
-
-def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+def pieces(data: bytes):
+    """A text in pieces of about CHUNK bytes that end between words."""
+    at = 0
+    while len(data) - at > CHUNK:
+        cut = _SPACE.search(data, at + CHUNK)
+        if cut is None:
+            break
+        yield data[at : cut.start()]
+        at = cut.end()
+    yield data[at:] if at else data
+
+
+def hash_list(words: list[bytes], which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; which: 0 or 1, two independent ones."""
+    box = np.empty(len(words), object)
+    box[:] = words
+    return pd.util.hash_array(box, hash_key=_KEYS[which], categorize=False)
+
+
+def word_hashes(data: bytes, lower: bool = False, which: int = 0) -> np.ndarray:
+    """hash_list() of the words of a text, which are its runs of bytes other than space and 9 to 13. lower: A-Z count as a-z."""
+    found = [hash_list((p.lower() if lower else p).split(), which) for p in pieces(data)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
+def both_hashes(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of each word, with one look at the words."""
+    found = [(hash_list(w, 0), hash_list(w, 1)) for p in pieces(data) for w in ((p.lower() if lower else p).split(),)]
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def window_hashes(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """A 64-bit hash of every run of n consecutive words."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
-        total = total * _BASE + words[k : len(words) - n + 1 + k]
+        total = total * _BASE[which] + words[k : len(words) - n + 1 + k]
     return mix(total)
