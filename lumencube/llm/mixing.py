@@ -1,15 +1,16 @@
 """Mixing sources to target weights by a low-discrepancy schedule; DataFrame functions only.
 
 Slot j of the mix gets the point frac((j + 1/2) / golden ratio); the source whose stretch of the cumulative targets
-holds that point fills the slot. Slots are ranked per source. A source's documents, in the order of a hash, form one
-stream of words, cut into blocks of equal length; the slot of rank r takes block r modulo the number of blocks, so a
-source runs through its stream evenly, up to `ceiling` times. Nothing here needs a source in one task: ranks and
-stream offsets are running totals over slices of the hash order.
+holds that point fills the slot, and slots are ranked per source. A source's documents, in the order of a hash, form one
+stream of words that is read as often as its target asks, to the word. What is read is cut into as many blocks of equal
+length as the source has slots: the slot of rank r holds block r. Targets and slots are in proportion, so blocks are of
+about one length in all sources; a source too small to be hit gets one slot behind the others. Nothing here needs a
+source in one task: ranks and stream offsets are running totals over slices of the hash order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,7 +22,8 @@ GOLDEN = 0.6180339887498949
 BLOCK, SLOTS = 64, 1 << 16
 #: Up to so many sources, the table of sources is broadcast (some 100 bytes each).
 BROADCAST_SOURCES = 50_000
-SEED = 20
+#: Rows of a source that one task puts in order.
+SLICE = 512
 
 
 def word_count(text):
@@ -29,7 +31,7 @@ def word_count(text):
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), ceiling: int = 3) -> DataFrame:
-    """source, number, weight, source_size, target: one row per source, from rows of (source, size).
+    """source, number, weight, source_size, target, goal: one row per source, from rows of (source, size); goal: the target in whole words.
 
     Sources are numbered by code point, null last; weights repeat. All words of the table are shared out by weight, no
     source above `ceiling` times its size: with the sources in the order of ceiling * size / weight, those before the
@@ -46,11 +48,12 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), ceiling: int = 3) -> Dat
     t = t.withColumn("level", (F.sum("source_size").over(everything) - full) / left).withColumn("at", F.row_number().over(rising))
     holds = F.col("level") <= cap / F.col("weight")
     level = F.min(F.when(holds, F.struct("at", "level"))).over(everything)["level"]
-    return t.withColumn("fill", F.coalesce(level, F.lit(0.0))).select("source", "number", "weight", "source_size", F.least(cap.cast("double"), F.col("weight") * F.col("fill")).alias("target"))
+    target = F.least(cap.cast("double"), F.col("weight") * F.col("fill"))
+    return t.withColumn("fill", F.coalesce(level, F.lit(0.0))).select("source", "number", "weight", "source_size", target.alias("target"), F.round(target).cast("long").alias("goal"))
 
 
-def _schedule(spark, targets: DataFrame, slots: int, block: int, n_sources: int, ceiling: int) -> DataFrame:
-    """slot, number (the source's), rank (per source), block: the blocks that fill the mix, in order."""
+def _schedule(spark, targets: DataFrame, slots: int, n_sources: int) -> DataFrame:
+    """slot, number (the source's), rank (per source): what fills the mix, in order."""
     cells = max(1024, 4 * n_sources)
     total = F.sum("target").over(Window.partitionBy())
     upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
@@ -63,69 +66,82 @@ def _schedule(spark, targets: DataFrame, slots: int, block: int, n_sources: int,
         .withColumn("high", F.when(F.col("number") == F.col("last"), F.lit(2.0)).otherwise(F.col("high")))
     )
     cell = lambda c: F.least(F.floor(c * cells), F.lit(cells - 1))
-    pieces = shares.select("number", "low", "high", F.ceil(F.col("source_size") / block).alias("blocks"), F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    pieces = shares.select("number", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
     turn = (F.col("id") + 0.5) * GOLDEN
     points = spark.range(slots).select(F.col("id").alias("slot"), (turn - F.floor(turn)).alias("point")).withColumn("cell", cell(F.col("point")))
-    filled = points.join(pieces, "cell").where("low <= point and point < high").select("slot", "number", "blocks")
-    ranked = running_total(filled, ["number"], [], F.col("slot") * (2**62 // max(1, slots)), F.lit(1), slots, "rank")
-    return ranked.where(F.col("rank") < F.col("blocks") * ceiling).select("slot", "number", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    filled = points.join(pieces, "cell").where("low <= point and point < high").select("slot", "number")
+    missed = targets.where("goal > 0").select("number").join(filled.select("number").distinct(), "number", "left_anti")
+    filled = filled.unionByName(missed.select((F.col("number") + slots).cast("long").alias("slot"), "number"))
+    return running_total(filled, ["number"], [], F.col("slot") * (2**62 // max(1, slots + n_sources)), F.lit(1), slots, "rank", SLICE)
+
+
+def stream_order(id_col: Column) -> Column:
+    """A long in [0, 2**60) by which a source's documents are put in order."""
+    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 class Mix:
-    """A mix of a table: `targets`, `schedule` (slots in order), `documents` (the stream) and `taken` (per document)."""
+    """A mix of a table: `targets`, `schedule` (slots in order), `documents` (the streams) and `pieces` (what is read of them)."""
 
     def __init__(self, docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
         spark = docs.sparkSession
-        sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+        key = [F.xxhash64(F.lit(k), id_col, text_col).alias(c) for k, c in ((1, "p"), (2, "q"))]
+        sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *key), "sizes")
         self.targets = stored(source_targets(sizes, weights, ceiling), "targets")
         got = self.targets.agg(F.sum("source_size"), F.count("*")).first()
         words, n_sources = int(got[0] or 0), got[1]
-        self.block = max(1, min(BLOCK, words // SLOTS))
-        self.slots = -(-words // self.block)
-        n = sizes.count()
-        self.schedule = _schedule(spark, self.targets, self.slots, self.block, n_sources, ceiling)
+        self.slots = -(-words // max(1, min(BLOCK, words // SLOTS)))
+        self.schedule = stored(_schedule(spark, self.targets, self.slots, n_sources), "schedule")
         small = F.broadcast(self.targets) if n_sources <= BROADCAST_SOURCES else self.targets
-        known = sizes.join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        order = F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED)), 2)
-        self.empty = known.where("size = 0").select("id", "source", "size", "source_size", "target")
-        self.documents = running_total(known.where("size > 0"), ["number"], [F.col("id"), F.col("size")], order, F.col("size"), n, "start")
+        known = sizes.join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight")
+        self.empty = known.where("size = 0")
+        rows = known.where("size > 0").withColumn("order", stream_order(F.col("id")))
+        self.documents = running_total(rows, ["number"], [F.col("id"), F.col("size"), F.col("p"), F.col("q")], F.col("order") * 4, F.col("size"), sizes.count(), "start", SLICE)
+
+    @property
+    def pieces(self) -> DataFrame:
+        """The columns of documents, with slot and words for each time that the schedule takes the document, and no slot for one that it leaves out.
+
+        A document is read whole each time, but for the one at which a source reaches its goal.
+        """
+        share = self.schedule.groupBy("number").agg(F.count("*").alias("n_slots"))
+        passes = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("goal") - F.col("start")) / F.col("source_size")).cast("int") - 1, F.lit(0)))
+        first = F.col("pass") * F.col("source_size") + F.col("start")
+        read = self.documents.join(share, "number", "left").withColumn("pass", F.explode(passes)).withColumn("first", first)
+        read = read.withColumn("words", F.greatest(F.least(F.col("size"), F.col("goal") - F.col("first")), F.lit(0)))
+        block = F.least(F.floor(F.col("first").cast("double") / F.col("goal") * F.col("n_slots")), F.col("n_slots") - 1)
+        read = read.withColumn("rank", F.when(F.col("words") > 0, block).cast("long"))
+        return read.join(self.schedule, ["number", "rank"], "left")
 
     @property
     def taken(self) -> DataFrame:
-        """id, source, size, source_size, target, taken: the words the mix takes of each document, repeats counted."""
-        visits = self.schedule.groupBy("number", "block").agg(F.count("*").alias("visits"))
-        b = self.block
-        first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
-        parts = self.documents.withColumn("block", F.explode(F.sequence(first, last)))
-        words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
-        got = parts.withColumn("words", words).join(visits, ["number", "block"], "left")
-        keys = ["id", "source", "size", "source_size", "target", "number", "start"]
-        taken = got.groupBy(*keys).agg(F.coalesce(F.sum(F.col("words") * F.col("visits")), F.lit(0)).cast("long").alias("taken")).drop("number", "start")
-        return taken.unionByName(self.empty.withColumn("taken", F.lit(0).cast("long")))
+        """id, source, size, source_size, target, taken, first_slot: the words the mix takes of each document, repeats counted."""
+        keys = ["id", "source", "size", "source_size", "target"]
+        taken = self.pieces.groupBy(*keys, "number", "start").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot")).drop("number", "start")
+        return taken.unionByName(self.empty.select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot")))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs.
+    """doc_id, source, size, source_size, target, taken, first_slot for every row of docs.
 
-    Null text has size 0, as an empty one; rows of size 0 take nothing. A null source is a source like any other,
-    numbered last. Rows repeated with the same id, source and size each take a stretch of their own. Other columns
-    are ignored. An empty table gives an empty result.
+    Every source takes its target to the word (rounded); no document is taken more than `ceiling` times. Null text has
+    size 0, as an empty one; rows of size 0 take nothing. A null source is a source like any other, numbered last. Rows
+    repeated with the same id, source and size each take a stretch of their own; ids of one hash are ordered by id. Other
+    columns are ignored. Very long texts are only counted where they are. An empty table gives an empty result.
     """
     return Mix(docs, weights, ceiling, id_col, text_col, source_col).taken.withColumnRenamed("id", id_col)
 
 
-def mixed_documents(docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself, with the columns of docs: a document's whole repeats, then the words left over from its start.
+def mixed_documents(docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time that the schedule takes a document, in the order of its slots.
 
-    Words that a partial repeat takes are joined by one space; whole repeats are the text unchanged. Rows repeated with one
-    id and text share what is taken of them evenly, to a word each.
+    A document comes whole and unchanged, but for the one at which its source reaches its target: there, its first words,
+    joined by one space. Rows repeated with one id and text stand for each other, whatever their other columns hold. Null
+    and empty texts are left out. Partitions hold stretches of the schedule, each in its order.
     """
-    per_id = mix(docs, weights, ceiling, id_col, text_col).groupBy(F.col(id_col).alias("__id"))
-    taken = per_id.agg(F.max("size").alias("__size"), F.floor(F.sum("taken") / F.count("*")).alias("__taken")).where("__taken > 0")
-    whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    rest = (F.col("__taken") - whole * F.col("__size")).cast("int")
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), 1, rest)
-    cut = F.when(rest > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat(F.col(text_col), whole), cut)
-    joined = docs.join(taken, docs[id_col].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__texts", texts).withColumn("__text", F.explode("__texts")).select(*[F.col("__text").alias(text_col) if c == text_col else docs[c] for c in docs.columns])
+    pieces = Mix(docs, weights, ceiling, id_col, text_col, source_col).pieces.where("words > 0").select(F.col("p").alias("__p"), F.col("q").alias("__q"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("slot").alias("__slot"))
+    rows = docs.select(F.xxhash64(F.lit(1), id_col, text_col).alias("__p"), F.xxhash64(F.lit(2), id_col, text_col).alias("__q"), F.struct(*docs.columns).alias("__row")).groupBy("__p", "__q").agg(F.first("__row").alias("__row"))
+    words = F.regexp_extract_all(F.col(f"__row.{text_col}"), F.lit(f"({WORD})"), F.lit(1))
+    text = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), " ")).otherwise(F.col(f"__row.{text_col}"))
+    found = pieces.join(rows, ["__p", "__q"]).select("__slot", *[text.alias(c) if c == text_col else F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    return found.repartitionByRange("__slot").sortWithinPartitions("__slot").drop("__slot")

@@ -80,3 +80,19 @@ b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(?:p|h1)>|<br>',
 c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c
 """
+
+ORACLES["op4_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight FROM s),
+r AS (SELECT *, row_number() OVER w AS pos, coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_, sum(source_size) OVER () AS total
+      FROM n WINDOW w AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, number)),
+l AS (SELECT *, CAST(total - full_ AS DOUBLE) / CAST(left_ AS DOUBLE) AS level FROM r),
+f AS (SELECT coalesce(arg_min(level, pos) FILTER (level <= CAST(3 * source_size AS DOUBLE) / weight), 0) AS fill FROM l),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * fill) AS target, CAST(round(least(CAST(3 * source_size AS DOUBLE), weight * fill)) AS BIGINT) AS goal FROM l, f),
+o AS (SELECT doc_id, size, source_size, target, goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE goal // source_size * size + greatest(0, least(size, goal % source_size - start)) END AS BIGINT) AS taken
+FROM o
+"""
