@@ -13,15 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, join_groups, stored
+from .common import Bloom, free_name, join_groups, stored
 
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+def digest(text):
+    """SHA-256 of the text without white space; null counts as empty."""
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, ""), 256))
+
+
 def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __sha (SHA-256 of the text without white space; null counts as empty) and __points (code points)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"__sha": F.unhex(F.sha2(F.regexp_replace(text, WHITE, ""), 256)), "__points": F.length(text).cast("long")})
+    """docs with __sha (its digest) and __points (code points)."""
+    return docs.withColumns({"__sha": digest(F.col(text_col)), "__points": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")})
 
 
 def _best():
@@ -33,32 +37,35 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Two texts are equal when identical after all white space is deleted; null counts as empty, so empty and null
-    texts form one group. Of a group, the row with the most code points stays, ties go to the smallest id. Ids are
-    meant to be unique; rows repeated with the same id and length as the one that stays are all marked kept. Other
-    columns are ignored. An empty table gives an empty result.
+    texts form one group. Of a group, the row with the most code points stays, ties go to the smallest id (a null id
+    last). Of rows repeated with that id and length, one is marked kept. Whole texts count, however long; other columns
+    are ignored. An empty table gives an empty result.
     """
     n = docs.count()
     slim = with_digest(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
     digests = stored(slim.select("__id", "__sha", "__points"), "digests")
     marked = Bloom(digests, "__sha", n, at_least=2).mark(digests, "__sha", "__again")
     single = marked.where("not __again").select("__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__sha")
-    again = marked.where("__again").drop("__again")
-    groups = again.groupBy("__sha").agg(F.min(_best()).alias("__best"), F.count("*").alias("group_size"))
-    kept = F.col("__id").eqNullSafe(F.col("__best.i")) & (F.col("__points") == -F.col("__best.p"))
-    repeats = join_groups(again, groups, "__sha", F.col("group_size"), n).select("__id", F.col("__best.i").alias("keep_id"), "group_size", kept.alias("kept"), "__sha")
+    again = stored(marked.where("__again").groupBy("__id", "__sha", "__points").agg(F.count("*").alias("__rows")), "again")
+    groups = again.groupBy("__sha").agg(F.min(_best()).alias("__best"), F.sum("__rows").alias("group_size"), F.count("*").alias("__members"))
+    kept = F.col("__id").eqNullSafe(F.col("__best.i")) & (F.col("__points") == -F.col("__best.p")) & (F.col("__row") == 1)
+    every = join_groups(again, groups, "__sha", F.col("__members"), n).withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "__rows")))
+    repeats = every.select("__id", F.col("__best.i").alias("keep_id"), "group_size", kept.alias("kept"), "__sha")
     return single.unionByName(repeats).select(F.col("__id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("__sha")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: exactly one per group.
+    """The rows of docs that stay, with all their columns, whatever these are called: exactly one per group, as duplicate_groups marks them.
 
     Rows without an equal are passed on where they were read; only possible repeats move, combined before the shuffle.
+    Null counts as empty, so of null and empty texts one row stays. An empty table gives an empty result.
     """
     n = docs.count()
-    with_sha = with_digest(docs, text_col)
-    digests = with_digest(docs.select(F.col(text_col).alias("__text")), "__text")
-    marked = Bloom(digests, "__sha", n, at_least=2).mark(with_sha, "__sha", "__again")
-    single = marked.where("not __again").select(docs.columns)
-    order = F.struct((-F.col("__points")).alias("p"), F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
-    repeats = marked.where("__again").groupBy("__sha").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    sha, again = free_name(docs, "sha"), free_name(docs, "again")
+    digests = with_digest(docs.select(F.col(text_col).alias("__text")), "__text").select("__sha")
+    marked = Bloom(digests, "__sha", n, at_least=2).mark(docs.withColumn(sha, digest(F.col(text_col))), sha, again)
+    single = marked.where(~F.col(again)).select(docs.columns)
+    points = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    order = F.struct((-points).alias("p"), F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"))
+    repeats = marked.where(again).groupBy(sha).agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
     return single.unionByName(repeats)

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import lean, text_batches
+from .common import free_name, lean, share, text_batches
 
 #: Labelled rows that the fit reads at most, and words that have a vector of their own.
 FIT_ROWS, VOCABULARY = 4000, 30_000
-#: Bytes of fit texts collected at most; rows beyond are left out of the fit (in the order of a hash).
-FIT_BYTES = 60_000_000
+#: Bytes of fit texts collected at most, and of a single one: longer texts, and rows beyond the sum, are left out of the fit.
+FIT_BYTES, FIT_TEXT = 60_000_000, 1_000_000
 DIM, SHAPE_DIM, NONZERO, HIDDEN = 48, 32, 6, 32
 WINDOW = 2
 #: Words that a worker remembers beyond the vocabulary; beyond, it starts anew.
@@ -38,9 +39,8 @@ _RUN = re.compile(rb"(.)\1+", re.S)
 
 
 def shape(word: bytes) -> bytes:
-    """Letters as a or A, digits as 0, other signs as they are; runs as one; long shapes cut in the middle."""
-    s = _RUN.sub(rb"\1", word.translate(_SHAPE))
-    return s if len(s) <= 8 else s[:4] + s[-4:]
+    """Letters as a or A, digits as 0, other signs as they are; runs as one."""
+    return _RUN.sub(rb"\1", word.translate(_SHAPE))
 
 
 def index_vector(key: bytes, dim: int) -> np.ndarray:
@@ -187,24 +187,27 @@ def is_held_out(id_col: Column) -> Column:
 def fit_classifier(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Classifier:
     """A classifier from at most `rows` labelled rows (those first in the order of a hash of the id) where usable holds.
 
-    Null labels are left out; of several labels of an id the larger counts; null text counts as empty.
+    Null labels are left out; of several labels of an id the larger counts, and of several texts of an id the shortest;
+    null text counts as empty. Texts over FIT_TEXT bytes are no part of the fit, nor what exceeds FIT_BYTES in sum: the
+    driver gets no more than that. Fewer than four rows, or rows of one label only, give a constant score.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & usable).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
-    order = F.xxhash64("i", F.lit(17))
-    chosen = F.broadcast(known.withColumn("h", order).orderBy("h", "i").limit(rows))  # at most `rows` small rows
-    picked = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(chosen, "i")
-    found, size = [], 0
-    for r in sorted(picked.collect(), key=lambda r: (r["h"], r["i"], r["t"])):
-        size += len(r["t"])
-        if size <= FIT_BYTES:
-            found.append((r["t"].encode(), int(r["y"])))
+    chosen = F.broadcast(known.withColumn("h", F.xxhash64("i", F.lit(17))).orderBy("h", "i").limit(rows))  # at most `rows` small rows
+    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(chosen, "i")
+    sized = texts.select("i", "y", "h", F.octet_length("t").cast("long").alias("n"), F.xxhash64("t").alias("x")).where(F.col("n") <= FIT_TEXT)
+    one = sized.groupBy("i", "y", "h").agg(F.min(F.struct("n", "x")).alias("of")).select("i", "y", "h", "of.n", "of.x")  # of rows of one id, the shortest
+    upto = F.sum("n").over(Window.orderBy("h", "i"))  # at most `rows` small rows
+    fitting = F.broadcast(one.withColumn("upto", upto).where(F.col("upto") <= FIT_BYTES).select("i", F.col("n").alias("n_"), F.col("x").alias("x_")))
+    same = (F.octet_length("t") == F.col("n_")) & (F.xxhash64("t") == F.col("x_"))
+    picked = texts.join(fitting, "i").where(same).groupBy("i", "y", "h").agg(F.min("t").alias("t"))
+    found = [(r["t"].encode(), int(r["y"])) for r in sorted(picked.collect(), key=lambda r: (r["h"], r["i"]))]
     return Classifier([t for t, _ in found], [y for _, y in found])
 
 
 def score_documents(docs: DataFrame, model: Classifier, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score column; every whole text is read, null and empty texts get a score as well. No shuffle."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
 
@@ -225,7 +228,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
     """id, held_out, score, predicted for every row of docs.
 
     Rows whose crc32(id as text) mod 4 is 2 are held out of the fit. Ids, languages, sources and labels are no inputs of
-    a score, so repeated texts have equal scores. Null text counts as empty. Other columns are dropped.
+    a score, so repeated texts have equal scores, and ties of scores are no matter. Null text counts as empty. Whole
+    texts are read, however long. An empty table gives an empty result. With fewer than four usable labels, or labels of
+    one kind only, every score is the share of label 1 (one half without labels). Other columns are dropped.
     """
     model = fit_classifier(docs, labels, ~is_held_out(F.col(id_col)), id_col, text_col, label_col)
     scored = score_documents(docs.select(id_col, text_col), model, text_col)
@@ -233,6 +238,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts, with their columns."""
+    """The rows of docs that the classifier accepts, with their columns, whatever these are called.
+
+    Nulls, repeats, long texts and empty tables as for quality_scores; a repeated row is kept or dropped with its like.
+    """
     model = fit_classifier(docs, labels, ~is_held_out(F.col(id_col)), id_col, text_col)
-    return score_documents(docs, model, text_col, "__score").where(F.col("__score") >= threshold).drop("__score")
+    score = free_name(docs, "score")
+    return score_documents(docs, model, text_col, score).where(F.col(score) >= threshold).drop(score)

@@ -94,8 +94,9 @@ def find_secrets(versions: DataFrame, path_col: str = "doc_id", text_col: str =
     """(findings, ledger): one findings row per row of versions, and the ledger with this run's scans added.
 
     findings: path, blob, spans (array of kind number in `rules`, start, end; by start, then kind; code points, end
-    exclusive). Null text counts as empty. Repeated rows each get their row; other columns are ignored. Empty tables give
-    empty results. The ledger may be None (nothing scanned yet) or what an earlier call returned.
+    exclusive). Null text counts as empty. Repeated rows each get their row; other columns are ignored. Whole texts are
+    scanned, however long. Empty tables give empty results. The ledger may be None (nothing scanned yet) or what an earlier
+    call returned, for the same rules or others: write it to a table to keep it between runs.
     """
     paths = stored(versions.select(F.col(path_col).alias("path"), blob_id(F.col(text_col)).alias("blob")), "paths")
     texts = versions.select(blob_id(F.col(text_col)).alias("blob"), F.col(text_col).alias("text"))
@@ -116,8 +117,13 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def secret_digests(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, a hash of their spans, and all spans as text, for every row."""
-    found, _ = find_secrets(versions, path_col, text_col)
+    """Counts of the base kinds, a hash of their spans, and all spans as text, for every row.
+
+    Runs twice, as a scanner of a growing repository does: about half of the paths (by a hash) are taken as its earlier
+    state and fill the ledger; the run over all rows then scans the blobs that the ledger lacks and finds the others in it.
+    """
+    _, ledger = find_secrets(versions.where(F.xxhash64(path_col) < 0), path_col, text_col)
+    found, _ = find_secrets(versions, path_col, text_col, stored(ledger, "ledger"))
     count = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return found.select(path_col, *[count(n).alias(f"n_{r.kind}") for n, r in enumerate(BASE)], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
