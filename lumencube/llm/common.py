@@ -60,6 +60,21 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def text_parts(batches, limit: int = 6_000_000):
+    """Lists of (id, text bytes) of about `limit` bytes from Arrow batches of (id, text)."""
+    part, size = [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            data = (t.as_py() or "").encode()
+            part.append((i, data))
+            size += len(data)
+            if size >= limit:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
+
+
 class Scope:
     """Broadcasts and intermediate tables made within a `with` block, to be dropped by release() once nothing reads them."""
 

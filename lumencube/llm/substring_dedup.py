@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Bloom, lean, share, stored, text_batches
-from .words import mix, window_hashes, word_hashes
+from .common import Bloom, lean, share, stored, text_batches, text_parts
+from .words import bucket_of, filter_of, in_filter, spread, window_hashes, word_hashes
 
 LENGTH, SHORT = 13, 7
 #: Documents per bucket of minimizers; bits of the filter per bucket and in all (it is sent to every executor).
@@ -35,25 +35,9 @@ DOCS_PER_BUCKET, BUCKET_BITS, MAX_BITS = 2000, 1 << 18, 1 << 29
 BATCH_BYTES = 6_000_000
 #: Windows of one minimizer beyond which they are dealt one by one; windows in a batch from which on they are counted singly.
 HOT_WINDOWS, COUNTED = 1 << 16, 8
-_SALT = np.uint64(0xD1B54A32D192ED03)
 PATH = "doc long, start long, n long, source long, at long"
 
 
-def _parts(batches, limit: int = BATCH_BYTES):
-    """Lists of (id, text bytes) of about `limit` bytes from Arrow batches of (id, text)."""
-    part, size = [], 0
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            data = (t.as_py() or "").encode()
-            part.append((i, data))
-            size += len(data)
-            if size >= limit:
-                yield part
-                part, size = [], 0
-    if part:
-        yield part
-
-
 def _minimizers(words: np.ndarray, length: int, short: int) -> np.ndarray:
     """For each window of `length` words, the smallest hash of its runs of `short` words."""
     h = window_hashes(words, short)
@@ -64,45 +48,25 @@ def _minimizers(words: np.ndarray, length: int, short: int) -> np.ndarray:
     return out
 
 
-def _bucket(m: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    k = mix(m ^ _SALT)
-    return (k % np.uint64(buckets)).astype(np.int64), (k >> np.uint64(32)).astype(np.uint32)
-
-
-def _slots(rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    k = mix(rest.astype(np.uint64) + _SALT)
-    return (k & np.uint64(bits - 1)).astype(np.int64), ((k >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
-
-
 def _hot_keys(bucket, rest: np.ndarray) -> np.ndarray:
     return np.asarray(bucket, np.uint64) << np.uint64(32) | rest.astype(np.uint64)
 
 
-def _spread(bucket: np.ndarray):
-    """Order of rows by bucket, and (bucket, lo, hi) of each run in that order."""
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    if not len(b):
-        return order, []
-    edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    return order, [(int(b[lo]), int(lo), int(hi)) for lo, hi in zip(edge, np.r_[edge[1:], len(b)], strict=True)]
-
-
 def _emit_minimizers(length: int, short: int, buckets: int):
     def run(batches):
-        for part in _parts(batches):
+        for part in text_parts(batches, BATCH_BYTES):
             found = [np.unique(_minimizers(w, length, short), return_counts=True) for _, t in part if len(w := word_hashes(t)) >= length]
             if not found:
                 continue
             m, owner, n = np.unique(np.concatenate([u for u, _ in found]), return_inverse=True, return_counts=True)
             sizes = np.bincount(owner, np.concatenate([k for _, k in found])).astype(np.int64)
             once = np.minimum(n, 2)
-            bucket, rest = _bucket(m, buckets)
+            bucket, rest = bucket_of(m, buckets)
             many = np.flatnonzero(sizes >= COUNTED)
-            more, more_runs = _spread(bucket[many])
+            more, more_runs = spread(bucket[many])
             pairs = np.stack([rest[many], np.minimum(sizes - once, (1 << 32) - 1)[many].astype(np.uint32)], axis=1)[more]
             bucket, rest = np.repeat(bucket, once), np.repeat(rest, once)
-            order, runs = _spread(bucket)
+            order, runs = spread(bucket)
             out = [(b, rest[order[lo:hi]].tobytes(), b"") for b, lo, hi in runs] + [(b, b"", pairs[lo:hi].tobytes()) for b, lo, hi in more_runs]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[k] for r in out], pa.binary()) for k in (1, 2)]], ["bucket", "rest", "many"])
 
@@ -114,13 +78,10 @@ def _repeated(bits: int, limit: int):
 
     def run(key, t):
         rest, n = np.unique(np.frombuffer(b"".join(t.column("rest").to_pylist()), np.uint32), return_counts=True)
-        field = np.zeros(bits, bool)
-        for s in _slots(rest[n > 1], bits):
-            field[s] = True
         pairs = np.frombuffer(b"".join(t.column("many").to_pylist()), np.uint32).reshape(-1, 2)
         total = n + np.bincount(np.searchsorted(rest, pairs[:, 0]), pairs[:, 1], len(rest)).astype(np.int64)
         hot = rest[(n > 1) & (total > limit)].tobytes()
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(field).tobytes()], pa.binary()), "hot": pa.array([hot], pa.binary())})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([filter_of(rest[n > 1], bits)], pa.binary()), "hot": pa.array([hot], pa.binary())})
 
     return run
 
@@ -147,7 +108,7 @@ def _resolve(h, doc, start):
 def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
     def run(batches):
         field, hot = shared.value
-        for part in _parts(batches):
+        for part in text_parts(batches, BATCH_BYTES):
             hs, ds, ps, bs = [], [], [], []
             for i, t in part:
                 w = word_hashes(t)
@@ -155,10 +116,8 @@ def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
                     continue
                 m = _minimizers(w, length, short)
                 new = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-                bucket, rest = _bucket(m[new], buckets)
-                known = np.ones(len(new), bool)
-                for s in _slots(rest, bits):
-                    known &= (field[bucket, s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+                bucket, rest = bucket_of(m[new], buckets)
+                known = in_filter(field, bucket, rest, bits)
                 sizes = np.diff(np.r_[new, len(m)])
                 at = np.flatnonzero(np.repeat(known, sizes))
                 if not len(at):
@@ -171,7 +130,7 @@ def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
                 dealt = np.repeat(bucket, sizes)[at[once]]
                 if len(hot):
                     apart = np.repeat(np.isin(_hot_keys(bucket, rest), hot), sizes)[at[once]]
-                    dealt[apart] = _bucket(h[once][apart], buckets)[0]
+                    dealt[apart] = bucket_of(h[once][apart], buckets)[0]
                 bs.append(dealt)
             if not hs:
                 continue
@@ -180,7 +139,7 @@ def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
             here = source != doc  # a smaller document of this batch has it
             paths = _chains(doc[here], start[here], source[here], at[here])
             h, doc, start, bucket = h[~here], doc[~here], start[~here], bucket[~here]
-            order, runs = _spread(bucket)
+            order, runs = spread(bucket)
             out = [(b, h[o].tobytes(), doc[o].tobytes(), start[o].astype(np.int32).tobytes(), b"") for b, lo, hi in runs for o in (order[lo:hi],)]
             if len(paths[0]):
                 out.append((int(paths[0][0] % buckets), b"", b"", b"", np.stack(paths).astype(np.int64).tobytes()))

@@ -62,3 +62,43 @@ def window_hashes(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     for k in range(n):
         total = total * _BASE[which] + words[k : len(words) - n + 1 + k]
     return mix(total)
+
+
+_SALT = np.uint64(0xD1B54A32D192ED03)
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket for each hash, and 32 bits that tell the hashes of a bucket apart."""
+    k = mix(h ^ _SALT)
+    return (k % np.uint64(buckets)).astype(np.int64), (k >> np.uint64(32)).astype(np.uint32)
+
+
+def slots_of(rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two positions of a filter of `bits` bits for each of those 32-bit values."""
+    k = mix(rest.astype(np.uint64) + _SALT)
+    return (k & np.uint64(bits - 1)).astype(np.int64), ((k >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def in_filter(field: np.ndarray, bucket: np.ndarray, rest: np.ndarray, bits: int) -> np.ndarray:
+    """Whether a filter per bucket, packed to bytes, may hold each value."""
+    known = np.ones(len(rest), bool)
+    for s in slots_of(rest, bits):
+        known &= (field[bucket, s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+    return known
+
+
+def filter_of(rest: np.ndarray, bits: int) -> bytes:
+    field = np.zeros(bits, bool)
+    for s in slots_of(rest, bits):
+        field[s] = True
+    return np.packbits(field).tobytes()
+
+
+def spread(bucket: np.ndarray):
+    """Order of rows by bucket, and (bucket, lo, hi) of each run in that order."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    if not len(b):
+        return order, []
+    edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+    return order, [(int(b[lo]), int(lo), int(hi)) for lo, hi in zip(edge, np.r_[edge[1:], len(b)], strict=True)]
