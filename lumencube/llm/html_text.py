@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +26,12 @@ from pyspark.sql import types as T
 
 from .common import lean, share, text_batches
 
-#: Pages whose blocks the composed pages are filled with, and the number of composed pages.
-SAMPLE_PAGES, COMPOSED = 256, 3000
+#: Pages whose blocks the composed pages are filled with, blocks of each and characters of a block at most (others are no filling), and the number of composed pages.
+SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_CHARS, COMPOSED = 256, 32, 2000, 3000
 PATH_DIM, LEAF_DIM, WORD_DIM, SIZES, HIDDEN = 40, 32, 16, 4, 20
 DIM = PATH_DIM + LEAF_DIM + WORD_DIM + SIZES
-#: Characters of a sampled page that are kept for composing, so that the fit's memory is bounded.
-SAMPLE_CHARS = 20_000
+#: What is left of a path's vector with each level, of its slow and its fast part.
+FAR, NEAR = 0.97, 0.6
 #: Blocks of a padded batch of pages that are labelled together, and of those whose input to the gates is held at a time.
 CELLS, STRETCH = 1 << 17, 1 << 13
 
@@ -40,18 +41,15 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td textarea tfoot th thead tr ul button label br".split()
 )
 #: Raw text up to its end tag, never read as blocks.
-RAW = "script|style|title"
+RAW = frozenset("script style title".split())
 #: Text of these stands apart from the text around it, but does not end a paragraph.
 APART = frozenset("noscript template iframe object".split())
 
 # A quote counts only where a value starts; one that never closes is part of the value.
 _ATTRS = r"(?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?)*+"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<how>{_ATTRS})>"
-    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in (*RAW.split("|"), *APART)}
+_NAME = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)")
+_TAIL, _LOOSE = re.compile(rf"(?P<attrs>{_ATTRS})>"), re.compile(r"(?P<attrs>[^>]*+)>")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in (*RAW, *APART)}
 _ALONE = re.compile(r"(?:^|[\s\"'])/\Z")
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -62,16 +60,64 @@ def _names(attrs: str) -> tuple[str, ...]:
     if "=" not in attrs:
         return ()
     found = "-".join("".join(m) for m in _NAMED.findall(attrs))
-    return tuple(x.lower() for x in _PART.findall(found)[:8])
+    return tuple(x.lower() for x in _PART.findall(found))
+
+
+@lru_cache(maxsize=1 << 14)
+def _hashed(word: str, dim: int) -> np.ndarray:
+    seed = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return (np.random.default_rng(seed).integers(0, 2, dim) * 2.0 - 1.0).astype(np.float32)
+
 
+class Place:
+    """Where a block stands: an element within another place. Its vector is carried along, so that depth costs nothing.
+
+    The vector holds the sum of the hashed vectors of all tags and names on the path, which fades slowly with the distance,
+    and a second one in which what stands nearer to the leaf counts more.
+    """
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of the page's leaf blocks, in page order; the text has single spaces."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    __slots__ = ("tag", "names", "up", "total", "leaf", "inner", "vector")
+
+    def __init__(self, tag: str = "", names: tuple[str, ...] = (), up: Place | None = None):
+        self.tag, self.names, self.up, self.inner = tag, names, up, {}
+        self.total = np.zeros(PATH_DIM, np.float32) if up is None else up.total * np.float32(FAR)
+        self.leaf = np.zeros(LEAF_DIM, np.float32) if up is None else up.leaf
+        for x in (f"<{tag}>", *names) if tag else ():
+            self.total = self.total + _hashed(x, PATH_DIM)
+            self.leaf = self.leaf * np.float32(NEAR) + _hashed("leaf " + x, LEAF_DIM)
+        self.vector = np.concatenate([self.total / 2.0, self.leaf])
+
+    def child(self, tag: str, names: tuple[str, ...] = ()) -> Place:
+        found = self.inner.get((tag, names))
+        if found is None:
+            found = Place(tag, names, self)
+            if len(self.inner) < 64:  # places come again and again, on one page and on others
+                self.inner[tag, names] = found
+        return found
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at.up is not None:
+            out.append((f"<{at.tag}>", *at.names))
+            at = at.up
+        return tuple(x for part in reversed(out) for x in part)
+
+
+def blocks(page: str | None) -> list[tuple[Place, str, int]]:
+    """(place, text, characters in links) of the page's leaf blocks, in page order; the text has single spaces.
+
+    The page is read once from left to right. A tag ends at the first > that no quoted value holds; where that finds no
+    end, it ends at the first >, and so do all tags after it.
+    """
+    out: list[tuple[Place, str, int]] = []
+    root = Place()
+    stack: list[tuple[str, Place]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     links = at = 0
     page = page or ""
+    last, careful = page.rfind(">"), True
     ends: dict[str, re.Match | None] = {}
 
     def end(name: str, start: int) -> re.Match | None:
@@ -80,70 +126,94 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             ends[name] = _END[name].search(page, start)
         return ends[name]
 
-    def flush():
+    def flush() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((tuple(x for tag, names in stack for x in (f"<{tag}>", *names)), text, links))
+            out.append((stack[-1][1] if stack else root, text, links))
         parts.clear()
         links = 0
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text = page[at : m.start()]
-            parts.append(text)
-            if any(tag == "a" for tag, _ in stack):
-                links += len(text)
-        at = m.end()
-        if m["raw"]:
-            if not _ALONE.search(m["how"]):
-                raw = m["raw"].lower()
-                if last := end(raw, at):
-                    at = last.end()
-                elif raw == "title":  # left open: what follows is the page
-                    stack.append((raw, ()))
+    def add(text: str) -> None:
+        nonlocal links
+        parts.append(text)
+        if opened["a"]:
+            links += len(text)
+
+    def push(tag: str, names: tuple[str, ...] = ()) -> None:
+        stack.append((tag, (stack[-1][1] if stack else root).child(tag, names)))
+        opened[tag] += 1
+
+    def close(i: int) -> None:
+        opened.subtract(tag for tag, _ in stack[i:])
+        del stack[i:]
+
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            add(page[at:start])
+            at = page.find("-->", start + 4) + 3
+            if at < 3:
+                at = len(page)
+            continue
+        if start > last:  # nothing ends any more
+            break
+        m = _NAME.match(page, start)
+        if m is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                add(page[at:start])
+                at = page.index(">", start) + 1
+            else:
+                add(page[at : start + 1])
+                at = start + 1
+            continue
+        tail = _TAIL.match(page, m.end()) if careful else None
+        if tail is None:
+            careful = False
+            tail = _LOOSE.match(page, m.end())
+        if start > at:
+            add(page[at:start])
+        at = tail.end()
+        tag, shut, attrs = m["tag"].lower(), bool(m["close"]), tail["attrs"]
+        if tag in RAW and not shut:
+            if not _ALONE.search(attrs):
+                if found := end(tag, at):
+                    at = found.end()
+                elif tag == "title":  # left open: what follows is the page
+                    push(tag)
                 else:
                     at = len(page)
             continue
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
         if tag in BLOCKS:
             if tag == "br":
-                parts.append(" ")
+                add(" ")
                 continue
             flush()
         elif tag in APART:
             flush()
-            if not m["close"] and not end(tag, at):  # left open: what follows is not inside
+            if not shut and not end(tag, at):  # left open: what follows is not inside
                 continue
-        if m["close"]:
+        if shut:
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
+            continue
+        if tag in BLOCKS and (opened["p"] or opened["li"]):  # an open paragraph ends here, and so does a list item before the next
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+                if stack[i][0] == "p" or stack[i][0] == tag == "li":
+                    close(i)
                     break
-        else:
-            if tag in BLOCKS:  # an open paragraph ends here, and so does a list item before the next
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] == tag == "li":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
-            if tag not in VOID and not m["attrs"].endswith("/"):
-                stack.append((tag, _names(m["attrs"])))
+                if stack[i][0] in BLOCKS:
+                    break
+        if tag not in VOID and not attrs.endswith("/"):
+            push(tag, _names(attrs))
     if at < len(page):
-        parts.append(page[at:])
+        add(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=1 << 16)
-def _hashed(word: str, dim: int) -> np.ndarray:
-    seed = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return (np.random.default_rng(seed).integers(0, 2, dim) * 2.0 - 1.0).astype(np.float32)
-
-
 _WORDS = 4096
 _TABLE = np.random.default_rng(7).standard_normal((_WORDS, WORD_DIM)).astype(np.float32)
 
@@ -153,17 +223,7 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % _WORDS
 
 
-@lru_cache(maxsize=1 << 14)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """The sum of the path's hashed vectors, and a second one in which what stands nearer to the leaf counts more."""
-    total, leaf = np.zeros(PATH_DIM, np.float32), np.zeros(LEAF_DIM, np.float32)
-    for far, x in enumerate(reversed(path[-24:])):
-        total += _hashed(x, PATH_DIM)
-        leaf += 0.6**far * _hashed("leaf " + x, LEAF_DIM)
-    return np.concatenate([total / 2.0, leaf])
-
-
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(page: list[tuple[Place, str, int]]) -> np.ndarray:
     out = np.empty((len(page), DIM), np.float32)
     words = [t.split(" ") for _, t, _ in page]
     counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -177,9 +237,9 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
             hi = min(lo + (1 << 16), last)
             owner = np.searchsorted(starts, np.arange(lo, hi), side="right") - 1
             np.add.at(sums, owner, _TABLE[ids[lo:hi]]) if hi - lo < 64 else _add_runs(sums, owner, _TABLE[ids[lo:hi]])
-    out[:, PATH_DIM + LEAF_DIM : -SIZES] = sums / np.sqrt(counts)[:, None] / 2
-    for i, (path, text, links) in enumerate(page):
-        out[i, : PATH_DIM + LEAF_DIM] = _path_vector(path)
+    out[:, PATH_DIM + LEAF_DIM : -SIZES] = sums / np.sqrt(counts)[:, None] / 3
+    for i, (place, text, links) in enumerate(page):
+        out[i, : PATH_DIM + LEAF_DIM] = place.vector
         out[i, -SIZES:] = (np.log1p(counts[i]) / 4, min(1.0, links / len(text)), text[-1] in ".!?", text[:1].isupper())
     return out
 
@@ -269,7 +329,7 @@ class Labeller:
         z = fore @ self.p["out"][:HIDDEN] + rear @ self.p["out"][HIDDEN:] + self.p["bias"]
         return [z[:n, k] for k, n in enumerate(lengths)]
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 7, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         for epoch in range(epochs):
@@ -322,69 +382,123 @@ INSIDE = (
 )
 TEXT = ("<p>", "<p>", "<p>", "<p>", "<p><b>", "<h1>", "<h2>", "<h3>", "<ul><li>", "<ol><li>", "<blockquote><p>", "<blockquote>", "<pre>", "<div>", "<div><p>", "<table><tr><td>", "<section><p>", "<section><h2>", "<figure><figcaption>", "<dl><dd>", "<p><a>", "<p><em>", "<object><p>", "")
 NEUTRAL = ("container", "wrap", "row", "col", "inner", "page", "site", "box", "clearfix", "grid", "left", "right", "first", "block", "section", "group")
+#: What stands around articles in many languages and layouts, word for word.
+SIGNS = (
+    "Home", "About", "Contact", "Log in", "Sign up", "Search", "Menu", "Share", "Next", "Previous", "Read more", "Privacy policy", "Terms of use", "Copyright 2024", "© 2023 All rights reserved.", "All rights reserved", "Subscribe to our newsletter", "We use cookies to improve this site.", "Accept", "Advertisement", "Sponsored", "Related articles", "Leave a comment", "Reply", "Skip to content", "Follow us", "Sitemap", "Imprint", "Accueil", "Startseite", "Inicio", "Impressum", "Datenschutz", "Mentions légales",
+)
 
 _OPEN = re.compile(r"<([a-z0-9]+)([^>]*)>")
 
 
-def _path(opened: str) -> tuple[str, ...]:
-    return tuple(x for tag, attrs in _OPEN.findall(opened) for x in (f"<{tag}>", *_names(attrs)))
+def within(place: Place, opened: str) -> Place:
+    for tag, attrs in _OPEN.findall(opened):
+        place = place.child(tag, _names(attrs))
+    return place
 
 
-def compose(texts: list[str], n: int = COMPOSED, seed: int = 11) -> tuple[list[list], list[np.ndarray]]:
-    """n pages as block sequences, with labels: 1 for blocks of the article. texts: what to fill them with."""
+def compose(texts: list[str], n: int = COMPOSED, seed: int = 11, lists: tuple = (ARTICLE, BEFORE, AFTER, INSIDE)) -> tuple[list[list], list[np.ndarray]]:
+    """n pages as block sequences, with labels: 1 for blocks of the article. texts: what to fill them with.
+
+    Half of the pages hide what their elements are called: the names are left out or are made up, as by tools that
+    generate style sheets, and articles stand in plain divisions, in cells of a table or in the body itself.
+    """
+    article, before, after, inside = lists
     rng = np.random.default_rng(seed)
     pick = lambda seq: seq[int(rng.integers(len(seq)))]
-    texts = [t for t in texts if t.strip()] or ["Text."]
+    chance = lambda p: rng.random() < p
+    texts = [t for t in texts if t.count(" ") >= 7] or [t for t in texts if t.strip()] or ["Text."]  # shorter ones may be menus
 
     def short() -> str:
         words = pick(texts).split()
         at, k = int(rng.integers(len(words))), 1 + int(rng.integers(4))
         return " ".join(words[at : at + k])
 
-    def some(opened: str, label: int, base: tuple, page: list, labels: list) -> None:
-        link = "<a>" in opened and label == 0
-        for _ in range(1 + int(rng.integers(6)) if "<li>" in opened or link else 1 + int(rng.integers(3))):
-            words = pick(texts).split()
-            text = short() if link or rng.random() < 0.3 else " ".join(words[: 3 + int(rng.integers(60))])
-            page.append((base + _path(opened), text, len(text) if "<a>" in opened else 0))
-            labels.append(label)
+    def made_up() -> str:
+        return "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 3 + int(rng.integers(5))))
+
+    def veiled(opened: str) -> str:
+        """The same elements with other names or none; elements whose own name says what they are become divisions."""
+        plain = re.sub("<(?:nav|header|footer|aside|article|main|section|noindex)", "<div", re.sub(r"<(\w+)[^>]*>", r"<\1>", opened))
+        return re.sub("<div>", lambda _: f"<div class={made_up()}>" if chance(0.6) else "<div>", plain)
+
+    def some(opened: str, base: Place, page: list, labels: list, hidden: bool) -> None:
+        """Blocks that are no part of the article. Where nothing else tells, they are short, links, or said in usual words."""
+        link, row = "<a>" in opened, "<li>" in opened or "<a>" in opened
+        place = within(base, veiled(opened) if hidden else opened)
+        for _ in range(1 + int(rng.integers(6 if row else 3))):
+            if chance(0.35) or hidden and not link:
+                text = pick(SIGNS)
+            elif row or chance(0.3):
+                text = short()
+            else:
+                text = " ".join(pick(texts).split()[: 3 + int(rng.integers(60))])
+            page.append((place, text, len(text) if link else 0))
+            labels.append(0)
 
     pages, all_labels = [], []
     for _ in range(n):
         page, labels = [], []
-        base = ("<html>", "<body>")
-        for _ in range(int(rng.integers(3)) if rng.random() < 0.4 else 0):
-            base += ("<div>", pick(NEUTRAL))
+        hidden, table, bare = chance(0.55), chance(0.12), chance(0.12)
+        base = root = Place().child("html").child("body")
+        for _ in range(int(rng.integers(3)) if chance(0.4) and not bare else 0):
+            base = base.child("div", (made_up() if hidden else pick(NEUTRAL),))
+        cell = "<table><tr><td>" if chance(0.5) else "<table><tbody><tr><td>"
+        around = (lambda: within(base, cell if chance(0.7) else "<center>")) if table else (lambda: base)
         for _ in range(int(rng.integers(5))):
-            some(pick(BEFORE), 0, base, page, labels)
-        place = base + _path("<article>" if rng.random() < 0.35 else pick(ARTICLE))
-        for k in range(1 + int(rng.integers(14)) if rng.random() < 0.9 else 30 + int(rng.integers(60))):
-            if rng.random() < 0.12:
-                some(pick(INSIDE), 0, place, page, labels)
-            opened = "<h1>" if k == 0 and rng.random() < 0.7 else pick(TEXT)
-            extra = ("<div>", pick(NEUTRAL)) if rng.random() < 0.05 else ()
-            text = pick(texts) if rng.random() < 0.8 else short()
+            some(pick(before), around(), page, labels, hidden)
+        if bare:
+            place = root
+        elif table:
+            place = within(base, cell + ("<p>" if chance(0.2) else ""))
+        elif hidden:
+            place = within(base, veiled("<div><div>" if chance(0.4) else "<div>"))
+        else:
+            place = within(base, "<article>" if chance(0.35) else pick(article))
+        for k in range(1 + int(rng.integers(14)) if chance(0.9) else 30 + int(rng.integers(60))):
+            if chance(0.15):
+                some(pick(inside), place, page, labels, hidden)
+            opened = "<h1>" if k == 0 and chance(0.7) else "<p>" if bare and chance(0.8) else pick(TEXT)
+            at = place.child("div", (made_up() if hidden else pick(NEUTRAL),)) if chance(0.05) else place
+            text = pick(texts) if chance(0.8) else short()
+            if chance(0.2):
+                text = " ".join(pick(texts).split()[: 5 + int(rng.integers(12))]).rstrip(".,;") + "."
+            if hidden and not opened.startswith("<h") and len(text) < 30:
+                text = pick(texts)
             if opened == "<h1>":
                 text = text[:60]
-            page.append((place + extra + _path(opened), " ".join(text.split()) or "Text.", len(text) if "<a>" in opened and rng.random() < 0.5 else 0))
+            linked = "<a>" in opened and chance(0.5) and not hidden
+            page.append((within(at, opened), " ".join(text.split()) or "Text.", len(text) if linked else 0))
             labels.append(1)
-        if rng.random() < 0.12:
-            some(pick(INSIDE), 0, place, page, labels)
+        if chance(0.12):
+            some(pick(inside), place, page, labels, hidden)
         for _ in range(int(rng.integers(4))):
-            some(pick(AFTER) if rng.random() < 0.8 else pick(BEFORE), 0, base, page, labels)
+            some(pick(after) if chance(0.8) else pick(before), around(), page, labels, hidden)
         pages.append(page)
         all_labels.append(np.array(labels, np.float32))
     return pages, all_labels
 
 
-def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller fitted on composed pages that hold blocks of at most `sample` pages (by the hash of the id)."""
+def filling(pages: DataFrame, id_col: str, html_col: str, sample: int) -> list[str]:
+    """Texts of blocks of at most `sample` pages (by the hash of id and html): SAMPLE_BLOCKS of each, picked by a hash, none over SAMPLE_CHARS."""
     key = F.xxhash64(id_col, html_col).alias("key")
     known = pages.where(F.col(html_col).isNotNull())
     keys = F.broadcast(known.select(key).distinct().orderBy("key").limit(sample))  # at most `sample` hashes
-    chosen = known.select(key, F.substring(html_col, 1, SAMPLE_CHARS).alias("t")).join(keys, "key").dropDuplicates(["key"])
-    texts = [t for r in sorted(chosen.collect(), key=lambda r: r["key"]) for _, t, _ in blocks(r["t"])]
-    composed, labels = compose(texts)
+    chosen = known.select(key, F.col(html_col).alias("t")).join(keys, "key").dropDuplicates(["key"])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                texts = sorted({x for _, x, _ in blocks(t.as_py()) if len(x) <= SAMPLE_CHARS}, key=lambda x: (zlib.crc32(x.encode("utf-8", "surrogatepass")), x))
+                rows += [(k, x) for x in texts[:SAMPLE_BLOCKS]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["key", "t"])
+
+    return [r["t"] for r in sorted(chosen.mapInArrow(lean(run), "key long, t string").collect(), key=lambda r: (r["key"], r["t"]))]
+
+
+def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
+    """A labeller fitted on composed pages that are filled with blocks of the table's own."""
+    composed, labels = compose(filling(pages, id_col, html_col, sample))
     model = Labeller()
     model.fit([vectors(p) for p in composed], labels)
     return model
@@ -414,8 +528,9 @@ def extract(model: Labeller, pages: list[str | None], batch: int = 128) -> list[
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    Null html counts as empty and gives an empty text. Whole pages are read, however long; repeated rows and ids
-    give repeated rows; other columns are dropped. No shuffle but the ordering of the fit's sample.
+    Null html counts as empty and gives an empty text. Whole pages are read, however long or deep, once from left to
+    right; repeated rows and ids give repeated rows; other columns are dropped. An empty table gives an empty result. No
+    shuffle but the ordering of the fit's sample.
     """
     text_batches(pages.sparkSession)
     model = share(pages.sparkSession, fit_labeller(pages, id_col, html_col).p)
