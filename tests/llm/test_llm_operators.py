@@ -386,6 +386,49 @@ def test_jaccard_of_a_cluster_and_a_common_passage(spark, monkeypatch):
     assert got == brute_components(rows[:-1])
 
 
+@pytest.mark.parametrize("bits", [3, 9])
+def test_jaccard_does_not_depend_on_its_hash(spark, rows, monkeypatch, bits):
+    """With a first hash of few bits almost all sets look alike to it; small limits make tiles and pieces many."""
+    small = [(i, t, s) for i, t, s in rows if len(t or "") < 5000]
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    monkeypatch.setattr(jaccard, "TILE", 5)
+    monkeypatch.setattr(jaccard, "PART_BYTES", 2000)
+    got = jaccard.JaccardJoin(make(spark, small), hash_bits=bits).documents().collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(small)
+
+
+def thue_morse_words(n):
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_collide_in_polynomial_hashes(spark, n):
+    a, b = thue_morse_words(n)
+    rng = random.Random(5)
+    first, second = words_of(rng, 40), words_of(rng, 40)
+    rows = [(1, a, "a"), (2, b, "a"), (3, f"{first} {a} {second}", "a"), (4, f"{first} {b} {second}", "a")]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(make(spark, rows)).collect()} == brute_components(rows)
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(make(spark, rows)).collect()}
+    assert got[4] == (80, b) and got[3][0] == 0
+
+
+def test_first_shingles_of_similar_sets_meet():
+    """Brute force: sets at the threshold or above share one of their first shingles, in any order that is one for all."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, cut, more = (int(x) for x in rng.integers(1, 80, 3))
+        a = rng.choice(1000, n, replace=False)
+        b = np.unique(np.r_[a[: max(1, n - cut // 4)], rng.choice(1000, more // 4, replace=False)])
+        if jaccard.similar(len(np.intersect1d(a, b)), len(a), len(b)):
+            order = rng.permutation(1000)
+            x, y = ({int(v) for v in sorted(s, key=lambda v: order[v])[: len(s) - -(-75 * len(s) // 100) + 1]} for s in (a, b))
+            assert x & y
+
+
 def test_bitmaps_bound_from_above():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -548,7 +591,7 @@ MARKUP = {
 def test_markup_that_must_not_swallow_text():
     for page, texts in MARKUP.items():
         assert [t for _, t, _ in html_text.blocks(page)] == texts, page
-    assert [p for p, _, _ in html_text.blocks("<p>a<noscript>b</noscript>c</p>")] == [("<p>",), ("<p>", "<noscript>"), ("<p>",)]
+    assert [p.path for p, _, _ in html_text.blocks("<p>a<noscript>b</noscript>c</p>")] == [("<p>",), ("<p>", "<noscript>"), ("<p>",)]
 
 
 def test_labeller_judges_what_was_swallowed(spark):
@@ -578,6 +621,54 @@ def test_a_long_page_is_not_padded_beside_others(monkeypatch):
     assert [hi - lo for lo, hi in html_text._batches([1, 1 << 10, 1 << 10, 1 << 16, 1 << 16, 1 << 18, 1 << 19], 128)] == [3, 2, 1, 1]
 
 
+def test_odd_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<a " * 10**6, "<a b='" * 10**5, "<!" * 10**6, '<a x="' + "<b>" * 10**5, "<div>" * 10**5 + "x" + "</div>" * 10**5, "<div>x" * 4000, "<p>" + "<b>" * 10**5 + "<hr>" * 10**5):
+        start = time.time()
+        html_text.blocks(page)
+        assert time.time() - start < 20
+
+
+def test_layouts_that_the_fit_has_not_seen():
+    """Every second entry of the lists of layouts is held out; and pages without telling names, in the body, in tables."""
+    texts = [words_of(random.Random(k), 30).capitalize() + "." for k in range(120)]
+    lists = (html_text.ARTICLE, html_text.BEFORE, html_text.AFTER, html_text.INSIDE)
+    pages, labels = html_text.compose(texts, 1500, 1, tuple(x[::2] for x in lists))
+    model = html_text.Labeller()
+    model.fit([html_text.vectors(p) for p in pages], labels)
+    other, truth = html_text.compose(texts, 300, 2, tuple(x[1::2] for x in lists))
+    hit = wrong = total = 0
+    for z, t in zip(model.logits([html_text.vectors(p) for p in other]), truth, strict=True):
+        hit, wrong, total = hit + int(((z > 0) & (t > 0)).sum()), wrong + int(((z > 0) & (t == 0)).sum()), total + int(t.sum())
+    print("held-out layouts: recall", hit / total, "precision", hit / (hit + wrong))
+    assert hit / total >= 0.9 and hit / (hit + wrong) >= 0.85
+
+
+def test_layouts_without_telling_names():
+    """Pages that no list has: names made by tools, articles in the body or in tables."""
+    texts = [words_of(random.Random(k), 30).capitalize() + "." for k in range(120)]
+    pages, labels = html_text.compose(texts)
+    model = html_text.Labeller()
+    model.fit([html_text.vectors(p) for p in pages], labels)
+    menu = "<ul><li><a href=/>Start</a></li><li><a href=/x>News</a></li></ul>"
+    layouts = {
+        "unnamed": "<body><div class=css-1x9>{menu}</div><div class='mt-2 prose'>{text}</div><div class=css-zz>Copyright 2024</div></body>",
+        "body": "<body>{text}</body>",
+        "body and menu": "<body>{menu}{text}<hr><small>Copyright 2024</small></body>",
+        "table": "<body><table><tr><td><a href=/>Home</a><br><a href=/a>About</a></td><td>{text}</td></tr><tr><td>All rights reserved</td></tr></table></body>",
+        "generated": "<div id=__next><div class=sc-abc><a href=/>Sign up</a></div><div class=sc-ghi><div class=sc-jkl>{text}</div></div><div class=sc-mno><p>Subscribe to our newsletter</p></div></div>",
+    }
+    for name, layout in layouts.items():
+        hit = out = total = 0
+        for k in range(30):
+            want = [texts[(k * 7 + i) % 120] for i in range(5)]
+            got = html_text.extract(model, [layout.format(menu=menu, text="".join(f"<p>{x}</p>" for x in want))])[0]
+            hit, out, total = hit + sum(len(x) + 1 for x in want if x in got), out + len(got) + 1, total + sum(map(len, want)) + 5
+        print(name, "recall", hit / total, "precision", hit / max(1, out))
+        assert hit / total >= 0.9 and hit / out >= 0.9, name
+
+
 def test_labeller_gradients_and_held_out_layouts():
     texts = [words_of(random.Random(k), 30) + "." for k in range(60)]
     pages, labels = html_text.compose(texts, 700, 1)
