@@ -62,3 +62,8 @@ def float_bin(v: Column, low: Column, width: Column, bins: int) -> Column:
     """Histogram bin in float32 arithmetic: truncated and kept within the bins."""
     at = ((v - low).cast("float") / width).cast("float")
     return F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
+def keep_where(v: Column, mask: Column) -> Column:
+    """The value where the mask holds, else NaN."""
+    return F.when(mask, v).otherwise(F.lit(NAN).cast("double"))

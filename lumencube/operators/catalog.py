@@ -105,3 +105,13 @@ def pages(df: DataFrame, rows: int = 100_000):
             part = []
     if part or not sent:
         yield part, 1.0
+
+
+def restored(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """The table in its own order again."""
+    return df.orderBy(row_id)
+
+
+def page_numbers(df: DataFrame, rows: int, row_id: str = "row_id") -> DataFrame:
+    """Adds page and place, both from 0, of every row in the order of a dense row_id that starts at 0."""
+    return df.withColumns({"page": F.floor(F.col(row_id) / rows), "place": F.col(row_id) % rows})

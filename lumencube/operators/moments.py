@@ -35,8 +35,8 @@ def allowed(kinds: list[str], include: tuple[float, float] | None) -> list[str]:
     return [k for k in kinds if k != "median_coordinate" or ok]
 
 
-def moments(cube: DataFrame, start: float = 0.0, step: float = 1.0, include: tuple[float, float] | None = None, exclude: tuple[float, float] | None = None, channels: tuple[int, int] | None = None) -> DataFrame:
-    """All 13 moments per (stokes, y, x) with a selected pixel.
+def moments(cube: DataFrame, start: float = 0.0, step: float = 1.0, include: tuple[float, float] | None = None, exclude: tuple[float, float] | None = None, channels: tuple[int, int] | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The moments asked for (of 13) per (stokes, y, x) with a selected pixel; the median coordinate only where it is allowed.
 
     The pixels of a line of sight are summed in one aggregate; those moments that need the mean or the running sum come
     from windows over the line of sight, which is as long as the cube is deep.
@@ -65,4 +65,4 @@ def moments(cube: DataFrame, start: float = 0.0, step: float = 1.0, include: tup
         F.min("i").alias("minimum"),
         F.min(F.struct(i.alias("k"), c.alias("c")))["c"].alias("minimum_coordinate"),
     )
-    return out.select("stokes", "y", "x", *[F.coalesce(k, F.lit(NAN)).alias(k) for k in KINDS])
+    return out.select("stokes", "y", "x", *[F.coalesce(k, F.lit(NAN)).alias(k) for k in allowed(list(kinds), include)])

@@ -124,3 +124,21 @@ def spectral_profile(cube: DataFrame, region: Region, depth: int) -> DataFrame:
     got = stats.partial_stats(masked(cube, region), "z")
     z = cube.sparkSession.range(depth).select(F.col("id").cast("int").alias("z"))
     return stats.derived(z.join(got, "z", "left").withColumn("num_pixels", F.coalesce("num_pixels", F.lit(0))))
+
+
+def record(region: Region) -> tuple[str, list[tuple[float, float]]]:
+    """(shape, points) as analysis code takes a region: points and rectangles as boxes and polygons, ellipses as ellipsoids.
+
+    An ellipsoid's first axis is the longer one; where that swaps the axes, the angle turns by 90 degrees. Its points are
+    centre, axes and (angle, 0).
+    """
+    region.check()
+    if region.kind == "point":
+        return "box", [region.points[0], region.points[0]]
+    if region.kind in ("rectangle", "polygon"):
+        return "polygon", region.corners()
+    if region.kind == "ellipse":
+        centre, (a, b) = region.points
+        swap = b > a
+        return "ellipsoid", [centre, (max(a, b), min(a, b)), ((region.rotation + 90 * (not swap)) % 360, 0.0)]
+    return region.kind, list(region.points)

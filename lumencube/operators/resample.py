@@ -163,3 +163,8 @@ def delta(rows: DataFrame, column: str, order: str, stride: int, *by: str) -> Da
     """Differences to the value `stride` places before; the first ones as they are."""
     w = Window.partitionBy(*by).orderBy(order)
     return rows.withColumn("delta", F.col(column) - F.coalesce(F.lag(column, stride).over(w), F.lit(0)))
+
+
+def round_vertex(c: Column, parts: int) -> Column:
+    """A coordinate to the nearest 1/parts of a pixel."""
+    return F.round(c.cast("double") * parts) / parts + F.lit(0.0)

@@ -96,3 +96,19 @@ def mad(cube: DataFrame, *by: str) -> DataFrame:
     else:
         v = v.withColumn("mid", F.lit(v.agg(F.median("d")).first()[0]))
     return v.groupBy(*by).agg((1.4826 * F.median(F.abs(F.col("d") - F.col("mid")))).alias("mad"))
+
+
+def noise(cube: DataFrame, bins: int = 100) -> DataFrame:
+    """peak, noise: centre and sigma of the Gaussian through the fullest inner bin of a histogram and its two neighbours.
+
+    The logarithm of a Gaussian is a parabola, which three bins determine; half a count is added to each.
+    """
+    d = cube.where(finite(F.col("v"))).select(F.col("v").cast("double").alias("d"))
+    lo, hi = d.agg(F.min("d"), F.max("d")).first()
+    width = (hi - lo) / bins if hi is not None and hi > lo else 1.0
+    counted = d.groupBy(F.least(F.greatest(F.floor((F.col("d") - (lo or 0.0)) / width), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("c"))
+    every = cube.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left")
+    table = every.agg(F.map_from_entries(F.collect_list(F.struct("bin", F.log(F.coalesce("c", F.lit(0)) + 0.5)))).alias("h"), F.min(F.when(F.col("bin").between(1, bins - 2), F.struct((-F.coalesce("c", F.lit(0))).alias("k"), "bin")))["bin"].alias("k"))
+    left, mid, right = (F.element_at("h", F.col("k") + i) for i in (-1, 0, 1))
+    bend = left - 2 * mid + right
+    return table.select((F.lit(lo) + width * (F.col("k") + 0.5 + (left - right) / (2 * bend))).alias("peak"), F.when(bend < 0, width / F.sqrt(-bend)).otherwise(F.lit(NAN)).alias("noise"))

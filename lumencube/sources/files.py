@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from urllib.parse import urlencode
+from urllib.parse import unquote, urlencode
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,41 @@ def kind_column(content: Column) -> Column:
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """name, type, size, modified of the files below a folder, read by Spark wherever the folder is."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), kind_column(F.col("content")).alias("type"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """name, type, size, modified of the files below a folder; only paths and the first 16 bytes of each file are read.
+
+    Files that a task cannot open as such (in a store that only Spark reads) get their type from their name.
+    """
+
+    @F.pandas_udf("string")
+    def kinds(paths: pd.Series) -> pd.Series:
+        def kind(path: str) -> str:
+            path = unquote(path.removeprefix("file://").removeprefix("file:"))
+            try:
+                with open(path, "rb") as f:
+                    return kind_of(f.read(16))
+            except OSError:
+                return _by_name(path, _IMAGES | _TABLES | _REGIONS)
+
+        return paths.map(kind)
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).drop("content")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), kinds(F.col("path")).alias("type"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def counts(files: DataFrame) -> DataFrame:
+    """type, files, bytes of a listing."""
+    return files.groupBy("type").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def open_image(spark: SparkSession, path: str) -> DataFrame:
+    """An image as a pixel cube, by the reader that suits its type."""
+    from .fits import FitsImage
+
+    kind = guess(path)
+    if kind not in ("fits", "fits_gz"):
+        raise ValueError(f"no reader for {kind} images")
+    spark.dataSource.register(FitsImage)
+    return spark.read.format("fits_image").load(path)
 
 
 # Spellings of units and what they become.

@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import math
 import os
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,8 @@ COLUMNS = {"L": ("S1", "boolean"), "B": (">u1", "smallint"), "S": (">i1", "tinyi
 SKIPPED = {"X": 1 / 8, "C": 8, "M": 16, "P": 8, "Q": 16}
 #: Pixels and rows that a partition reads.
 PIXELS, ROWS = 4_000_000, 1_000_000
+#: Pixels that a task writes at a time.
+WRITTEN = 1_000_000
 
 
 def _open(path: str):
@@ -167,7 +170,15 @@ class _ImageReader(DataSourceReader):
         self.path = options["path"]
         self.hdu = int(options.get("hdu", -1))
 
+        self.unit: Hdu | None = None
+
     def _unit(self) -> Hdu:
+        """Read once, on the driver; tasks get it with the reader."""
+        if self.unit is None:
+            self.unit = self._find()
+        return self.unit
+
+    def _find(self) -> Hdu:
         units = hdus(self.path)
         return units[self.hdu] if self.hdu >= 0 else next(h for h in units if h.is_image)
 
@@ -239,9 +250,12 @@ def table_layout(header: dict) -> tuple[list[tuple[str, str, str, int, int]], li
 class _TableReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
+        self.unit: Hdu | None = None
 
-    def _unit(self):
-        return next(h for h in hdus(self.path) if str(h.header.get("XTENSION", "")).strip() == "BINTABLE")
+    def _unit(self) -> Hdu:
+        if self.unit is None:
+            self.unit = next(h for h in hdus(self.path) if str(h.header.get("XTENSION", "")).strip() == "BINTABLE")
+        return self.unit
 
     def partitions(self):
         rows = self._unit().header["NAXIS2"]
@@ -295,15 +309,26 @@ def _card(key: str, value) -> bytes:
     return f"{key:<8}= {text}".ljust(CARD)[:CARD].encode("ascii")
 
 
+def _blank_file(path: str, head: dict, size: int, overwrite: bool) -> int:
+    """A file with a header and room for `size` bytes of data; returns where the data start."""
+    if os.path.exists(path) and not overwrite:
+        raise FileExistsError(path)
+    text = b"".join(_card(k, v) for k, v in head.items()) + b"END".ljust(CARD)
+    start = -(-len(text) // BLOCK) * BLOCK
+    with open(path, "wb") as f:
+        f.write(text.ljust(start))
+        f.truncate(start + -(-size // BLOCK) * BLOCK)
+    return start
+
+
 def save_image(cube: DataFrame, path: str, cards: dict | None = None, channels: tuple[int, int, int] | None = None, stokes: tuple[int, int, int] | None = None, overwrite: bool = False) -> tuple[int, ...]:
     """Write a cube as a float32 FITS image; returns its shape (x, y, z, stokes). channels and stokes: (start, end, stride).
 
-    Planes arrive one after the other, so the driver holds one plane at a time.
+    The driver writes the header; every task fills its own stretch of rows in the file, which is in a folder that all
+    share. A stretch that is written again gets the same bytes. Pixels that the cube lacks are NaN.
     """
     from pyspark.sql import functions as F
 
-    if os.path.exists(path) and not overwrite:
-        raise FileExistsError(path)
     for name, part in (("z", channels), ("stokes", stokes)):
         if part:
             start, end, stride = part
@@ -311,14 +336,94 @@ def save_image(cube: DataFrame, path: str, cards: dict | None = None, channels:
     x0, y0, nx, ny, nz, ns = cube.agg(F.min("x"), F.min("y"), F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1, F.max("z") + 1, F.max("stokes") + 1).first()
     shape = [nx, ny] + ([nz] if nz > 1 or ns > 1 else []) + ([ns] if ns > 1 else [])
     head = {"SIMPLE": True, "BITPIX": -32, "NAXIS": len(shape), **{f"NAXIS{i + 1}": n for i, n in enumerate(shape)}, **({"CTYPE4": "STOKES"} if ns > 1 else {}), **(cards or {})}
-    text = b"".join(_card(k, v) for k, v in head.items()) + b"END".ljust(CARD)
-    with open(path, "wb") as f:
-        f.write(text.ljust(-(-len(text) // BLOCK) * BLOCK))
-        for s in range(ns):
-            for z in range(nz):
-                plane = np.full((ny, nx), np.nan, ">f4")
-                rows = cube.where((F.col("z") == z) & (F.col("stokes") == s)).select("x", "y", "v").toArrow()
-                plane[rows.column("y").to_numpy() - y0, rows.column("x").to_numpy() - x0] = rows.column("v").to_numpy()
-                f.write(plane.tobytes())
-        f.write(b"\0" * (-f.tell() % BLOCK))
+    rows = ny * nz * ns
+    at = _blank_file(path, head, rows * nx * 4, overwrite)
+    each = max(1, WRITTEN // nx)
+
+    def write(block: pa.Table, pixels: pa.Table) -> pa.Table:
+        lo = block.column("block")[0].as_py() * each
+        data = np.full((min(each, rows - lo), nx), np.nan, ">f4")
+        data[pixels.column("row").to_numpy() - lo, pixels.column("x").to_numpy()] = pixels.column("v").to_numpy()
+        with open(path, "r+b") as f:
+            f.seek(at + lo * nx * 4)
+            f.write(data.tobytes())
+        return pa.table({"written": pa.array([data.size], pa.int64())})
+
+    row = (F.col("stokes").cast("long") * nz + F.col("z")) * ny + F.col("y") - y0
+    placed = cube.select(row.alias("row"), (F.col("x") - x0).alias("x"), "v").withColumn("block", F.floor(F.col("row") / each))
+    blocks = cube.sparkSession.range(-(-rows // each)).withColumnRenamed("id", "block")
+    done = blocks.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(write, "written long").agg(F.sum("written")).first()[0]
+    if done != rows * nx:
+        raise OSError(f"{done} of {rows * nx} pixels written")
     return tuple(shape)
+
+
+#: Spark type: (TFORM letter, numpy type) of the columns of a written table; text is padded to its longest.
+WRITES = {"boolean": ("L", "S1"), "smallint": ("I", ">i2"), "int": ("J", ">i4"), "bigint": ("K", ">i8"), "float": ("E", ">f4"), "double": ("D", ">f8"), "string": ("A", "S")}
+
+
+def save_table(df: DataFrame, path: str, row_id: str = "row_id", overwrite: bool = False) -> int:
+    """Write a table as a FITS binary table, every row at the place that row_id (0, 1, 2 ...) gives it; returns the rows.
+
+    As in save_image, tasks write their own rows. Null is not supported.
+    """
+    from pyspark.sql import functions as F
+
+    kinds = [(c, k) for c, k in df.dtypes if c != row_id]
+    widths = df.agg(F.count("*"), *[F.max(F.octet_length(c)).alias(c) for c, k in kinds if k == "string"]).first()
+    n = widths[0]
+    layout = [(c, *WRITES[k], max(1, widths[c] or 0) if k == "string" else np.dtype(WRITES[k][1]).itemsize) for c, k in kinds]
+    record = np.dtype([(c, f"S{w}" if letter == "A" else kind) for c, letter, kind, w in layout])
+    head: dict = {"SIMPLE": True, "BITPIX": 8, "NAXIS": 0, "EXTEND": True}
+    first = _blank_file(path, head, 0, overwrite)
+    head = {"XTENSION": "BINTABLE", "BITPIX": 8, "NAXIS": 2, "NAXIS1": record.itemsize, "NAXIS2": n, "PCOUNT": 0, "GCOUNT": 1, "TFIELDS": len(layout)}
+    for i, (c, letter, _, w) in enumerate(layout):
+        head |= {f"TTYPE{i + 1}": c, f"TFORM{i + 1}": f"{w}A" if letter == "A" else f"1{letter}"}
+    text = b"".join(_card(k, v) for k, v in head.items()) + b"END".ljust(CARD)
+    text = text.ljust(-(-len(text) // BLOCK) * BLOCK)
+    at = first + len(text)
+    with open(path, "r+b") as f:
+        f.seek(first)
+        f.write(text)
+        f.truncate(at + -(-n * record.itemsize // BLOCK) * BLOCK)
+
+    def write(batches):
+        for b in batches:
+            rows = np.zeros(b.num_rows, record)
+            for c, letter, _, _ in layout:
+                v = b.column(c)
+                rows[c] = [x.encode() for x in v.to_pylist()] if letter == "A" else np.where(v.to_numpy(zero_copy_only=False), b"T", b"F") if letter == "L" else v.to_numpy(zero_copy_only=False)
+            place = b.column(row_id).to_numpy()
+            cut = np.flatnonzero(np.r_[True, np.diff(place) != 1, True])
+            with open(path, "r+b") as f:
+                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                    f.seek(at + int(place[lo]) * record.itemsize)
+                    f.write(rows[lo:hi].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["written"])
+
+    ordered = df.repartitionByRange(row_id).sortWithinPartitions(row_id)
+    return ordered.mapInArrow(write, "written long").agg(F.sum("written")).first()[0]
+
+
+def beams(path: str) -> list[tuple[float, float, float]]:
+    """Beams (major, minor, angle in degrees): from the header, from a table named BEAMS (one per channel), or from the history."""
+    units = hdus(path)
+    for u in units:
+        if all(k in u.header for k in ("BMAJ", "BMIN")):
+            return [(u.header["BMAJ"], u.header["BMIN"], u.header.get("BPA", 0.0))]
+    for u in units:
+        if str(u.header.get("EXTNAME", "")).strip() == "BEAMS":
+            layout = {n: (letter, at) for n, letter, _, at, _ in table_layout(u.header)[0]}
+            factor = {i: 1 / 3600 if str(u.header.get(f"TUNIT{i}", "arcsec")).strip() == "arcsec" else 1.0 for i in range(1, u.header["TFIELDS"] + 1)}
+            width, rows = u.header["NAXIS1"], u.header["NAXIS2"]
+            with _open(path) as f:
+                f.seek(u.data_at)
+                raw = np.frombuffer(f.read(width * rows), np.uint8).reshape(rows, width)
+            cell = lambda n: np.ascontiguousarray(raw[:, layout[n][1] : layout[n][1] + np.dtype(COLUMNS[layout[n][0]][0]).itemsize]).view(COLUMNS[layout[n][0]][0])[:, 0]  # noqa: E731, B023
+            return [(float(a) * factor[1], float(b) * factor[2], float(c)) for a, b, c in zip(cell("BMAJ"), cell("BMIN"), cell("BPA"), strict=True)]
+    number = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
+    for u in units:
+        for line in reversed(u.history):
+            if m := re.search(rf"BMAJ=\s*{number}\s+BMIN=\s*{number}\s+BPA=\s*{number}", line):
+                return [tuple(float(x) for x in m.groups())]
+    return []
