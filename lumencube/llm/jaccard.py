@@ -141,7 +141,7 @@ def _sketch(percent: int, n: int, buckets: int, bits: int, shared, hash_bits: in
         at = np.flatnonzero(rank)
         rank[at] += in_filter(fields[1], bucket[at], rest[at], bits)
         chosen = np.argsort(rank, kind="stable")[:many]
-        return np.unique(x[chosen[rank[chosen] > 0]])
+        return np.unique(x[chosen[rank[chosen] > 0]].view(np.int64))
 
     def run(batches):
         fields = shared.value
@@ -164,7 +164,7 @@ def _sketch(percent: int, n: int, buckets: int, bits: int, shared, hash_bits: in
                         pa.array([hashlib.blake2b(packed(x, y), digest_size=16).digest() for x, y in sets], pa.binary()),
                         pa.array([bitmap(x) if len(x) else b"" for x, _ in sets], pa.binary()),
                         pa.FixedSizeListArray.from_arrays(pa.array(mins.ravel()), KEYS).cast(pa.list_(pa.int64())),
-                        pa.array([first_ones(x, fields).view(np.int64) if len(x) else [] for x, _ in sets], pa.list_(pa.int64())),
+                        pa.array([first_ones(x, fields) if len(x) else [] for x, _ in sets], pa.list_(pa.int64())),
                     ],
                     ["id", "n", "same", "map", "mins", "first"],
                 )
@@ -260,15 +260,22 @@ def _by_tile(t: pa.Table):
 
 
 def _candidates(percent: int):
-    """Rows of pairs of pieces with bitmaps: those rows that are in a pair whose bitmaps leave room."""
+    """Rows of pairs of pieces with bitmaps: those rows that are in a pair whose bitmaps leave room.
+
+    A pair counts in the first tile only that it shares: that of the least of its common first shingles.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        comps, sizes = (t.column(c).to_numpy() for c in ("comp", "n"))
-        maps = t.column("map").to_pylist()
+        comps, sizes, keys = (t.column(c).to_numpy() for c in ("comp", "n", "key"))
+        maps, firsts = t.column("map").to_pylist(), t.column("first").to_pylist()
         wanted = np.zeros(t.num_rows, bool)
         for left, right in _by_tile(t):
             i, j, _ = _compare(comps, sizes, maps, left, right, percent)
-            wanted[i] = wanted[j] = True
+            key = keys[left[0]] if len(left) else 0
+            before = {k: {x for x in firsts[k] if x < key} for k in {*i.tolist(), *j.tolist()}}
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                if not (wanted[p] and wanted[q]) and before[p].isdisjoint(before[q]):
+                    wanted[p] = wanted[q] = True
         return t.select(["tile", "side", "node", "comp", "n"]).filter(pa.array(wanted))
 
     return run
@@ -396,7 +403,7 @@ class JaccardJoin:
         return stored(cut.select("key", "band", F.pmod(F.xxhash64("comp", F.when(F.col("cuts") > 1, F.col("node"))), F.col("cuts")).alias("piece"), "node", "comp", "n"), "pieces")
 
     def _met(self, rows: DataFrame) -> DataFrame:
-        """Rows of pieces for each pair of pieces that may hold a link: tile (the pair's), side, node, comp, n."""
+        """Rows of pieces for each pair of pieces that may hold a link: tile (the pair's), side, key, node, comp, n."""
         pieces = rows.groupBy("key", "band", "piece").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         pieces = stored(pieces, "piece_sizes")
         reach = math.ceil(math.log(100 / self.percent) / math.log(BAND)) + 1 if self.percent else 0
@@ -410,13 +417,13 @@ class JaccardJoin:
         met = met.withColumn("tile", F.xxhash64("key", "own", "piece", "band_", "piece_"))
         first = met.select("key", F.col("own").alias("band"), "piece", "tile", F.lit(1).alias("side"))
         second = met.where(~F.col("same")).select("key", F.col("band_").alias("band"), F.col("piece_").alias("piece"), "tile", F.lit(2).alias("side"))
-        return stored(rows.join(first.unionByName(second), ["key", "band", "piece"]).select("tile", "side", "node", "comp", "n"), "met")
+        return stored(rows.join(first.unionByName(second), ["key", "band", "piece"]).select("tile", "side", "key", "node", "comp", "n"), "met")
 
     def _tile_links(self, labels: DataFrame | None) -> DataFrame:
         """Links between nodes of different components that share a tile."""
         met = self._met(self._pieces(labels))
         parts = lambda df, each: max(8, int((df.agg(F.sum("n")).first()[0] or 0) * each // PART_BYTES))
-        rows = met.join(self.nodes.select("node", "map"), "node").withColumn("part", F.pmod("tile", F.lit(parts(met, 1)))).groupBy("part")
+        rows = met.join(self.nodes.select("node", "map", "first"), "node").withColumn("part", F.pmod("tile", F.lit(parts(met, 4)))).groupBy("part")
         near = stored(rows.applyInArrow(lean(_candidates(self.percent)), "tile long, side int, node long, comp long, n long"), "candidates")
         arrays = self.arrays(near.select(F.col("node").alias("id")).distinct())
         part = F.pmod("tile", F.lit(parts(near, 16))).alias("part")
