@@ -30,6 +30,8 @@ from .common import lean, share, text_batches
 SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_CHARS, COMPOSED = 256, 32, 2000, 3000
 PATH_DIM, LEAF_DIM, WORD_DIM, SIZES, HIDDEN = 40, 32, 16, 4, 20
 DIM = PATH_DIM + LEAF_DIM + WORD_DIM + SIZES
+#: Places that a worker remembers at most.
+PLACES = 1 << 13
 #: What is left of a path's vector with each level, of its slow and its fast part.
 FAR, NEAR = 0.97, 0.6
 #: Blocks of a padded batch of pages that are labelled together, and of those whose input to the gates is held at a time.
@@ -91,10 +93,18 @@ class Place:
         found = self.inner.get((tag, names))
         if found is None:
             found = Place(tag, names, self)
+            Place.made += 1
             if len(self.inner) < 64:  # places come again and again, on one page and on others
                 self.inner[tag, names] = found
         return found
 
+    @classmethod
+    def root(cls) -> Place:
+        """The page itself; places that pages have in common are made once, until there are too many of them."""
+        if cls.top is None or cls.made > PLACES:
+            cls.top, cls.made = cls(), 0
+        return cls.top
+
     @property
     def path(self) -> tuple[str, ...]:
         out, at = [], self
@@ -104,6 +114,9 @@ class Place:
         return tuple(x for part in reversed(out) for x in part)
 
 
+Place.top, Place.made = None, 0
+
+
 def blocks(page: str | None) -> list[tuple[Place, str, int]]:
     """(place, text, characters in links) of the page's leaf blocks, in page order; the text has single spaces.
 
@@ -111,7 +124,7 @@ def blocks(page: str | None) -> list[tuple[Place, str, int]]:
     end, it ends at the first >, and so do all tags after it.
     """
     out: list[tuple[Place, str, int]] = []
-    root = Place()
+    root = Place.root()
     stack: list[tuple[str, Place]] = []
     opened: Counter[str] = Counter()
     parts: list[str] = []
