@@ -10,7 +10,7 @@ Edges are not shuffled one by one. A window belongs to the smallest hash of its
 equal windows have equal minimizers. A first pass finds minimizers that occur in two documents, 4 bytes each, and puts
 them into a Bloom filter of bounded size. The second pass shuffles only the windows of those, dealt by minimizer, so that
 a run of windows stays together; of equal windows in one batch of documents only the first moves, as the others are
-resolved where they are. A passage in very many documents thus costs a reducer one row per batch. A short line between
+resolved where they are. Windows are told apart by two independent 64-bit hashes. A passage in very many documents thus costs a reducer one row per batch. A short line between
 many different neighbours makes many windows with one minimizer: the first pass counts them, and windows of a minimizer
 with more than HOT_WINDOWS are dealt by their own hash, so that equal ones still meet but no reducer has them all.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Bloom, lean, share, stored, text_batches, text_parts
-from .words import bucket_of, filter_of, in_filter, spread, window_hashes, word_hashes
+from .words import both_hashes, bucket_of, filter_of, in_filter, spread, window_hashes, word_hashes
 
 LENGTH, SHORT = 13, 7
 #: Documents per bucket of minimizers; bits of the filter per bucket and in all (it is sent to every executor).
@@ -95,21 +95,32 @@ def _chains(doc, start, source, at):
     return doc[first], start[first], np.diff(np.r_[first, len(doc)]), source[first], at[first]
 
 
-def _resolve(h, doc, start):
-    """Of windows (hash, document, position): for each, its source, the least (document, position) of its hash."""
-    order = np.lexsort((start, doc, h))
-    first = np.r_[True, h[order][1:] != h[order][:-1]]
-    source = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+def _windows(first: np.ndarray, second: np.ndarray, length: int, hash_bits: int):
+    """Both hashes of every window, from both hashes of the words."""
+    return window_hashes(first, length) & np.uint64((1 << hash_bits) - 1), window_hashes(second, length, 1)
+
+
+def _first_of(h, g, *then):
+    """For each row, the row that comes first in the order of `then` among those with the same two hashes."""
+    order = np.lexsort((*then[::-1], g, h))
+    x, y = h[order], g[order]
+    first = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
     at = np.empty(len(h), np.int64)
-    at[order] = source
+    at[order] = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return at
+
+
+def _resolve(h, g, doc, start):
+    """Of windows (two hashes, document, position): for each, its source, the least (document, position) of its hashes."""
+    at = _first_of(h, g, doc, start)
     return doc[at], start[at]
 
 
-def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
+def _emit_windows(length: int, short: int, buckets: int, bits: int, shared, hash_bits: int = 64):
     def run(batches):
         field, hot = shared.value
         for part in text_parts(batches, BATCH_BYTES):
-            hs, ds, ps, bs = [], [], [], []
+            hs, gs, ds, ps, bs = [], [], [], [], []
             for i, t in part:
                 w = word_hashes(t)
                 if i is None or len(w) < length:
@@ -122,9 +133,10 @@ def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
                 at = np.flatnonzero(np.repeat(known, sizes))
                 if not len(at):
                     continue
-                h = window_hashes(w, length)[at]
-                once = np.sort(np.unique(h, return_index=True)[1])  # windows that a document repeats count once
+                h, g = (x[at] for x in _windows(w, word_hashes(t, which=1), length, hash_bits))
+                once = np.unique(_first_of(h, g, at))  # windows that a document repeats count once
                 hs.append(h[once])
+                gs.append(g[once])
                 ps.append(at[once])
                 ds.append(np.full(len(once), i, np.int64))
                 dealt = np.repeat(bucket, sizes)[at[once]]
@@ -134,26 +146,26 @@ def _emit_windows(length: int, short: int, buckets: int, bits: int, shared):
                 bs.append(dealt)
             if not hs:
                 continue
-            h, doc, start, bucket = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps), np.concatenate(bs)
-            source, at = _resolve(h, doc, start)
+            h, g, doc, start, bucket = (np.concatenate(x) for x in (hs, gs, ds, ps, bs))
+            source, at = _resolve(h, g, doc, start)
             here = source != doc  # a smaller document of this batch has it
             paths = _chains(doc[here], start[here], source[here], at[here])
-            h, doc, start, bucket = h[~here], doc[~here], start[~here], bucket[~here]
+            h, g, doc, start, bucket = (x[~here] for x in (h, g, doc, start, bucket))
             order, runs = spread(bucket)
-            out = [(b, h[o].tobytes(), doc[o].tobytes(), start[o].astype(np.int32).tobytes(), b"") for b, lo, hi in runs for o in (order[lo:hi],)]
+            out = [(b, h[o].tobytes(), g[o].tobytes(), doc[o].tobytes(), start[o].astype(np.int32).tobytes(), b"") for b, lo, hi in runs for o in (order[lo:hi],)]
             if len(paths[0]):
-                out.append((int(paths[0][0] % buckets), b"", b"", b"", np.stack(paths).astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[k] for r in out], pa.binary()) for k in range(1, 5)]], ["bucket", "hash", "doc", "start", "paths"])
+                out.append((int(paths[0][0] % buckets), b"", b"", b"", b"", np.stack(paths).astype(np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[k] for r in out], pa.binary()) for k in range(1, 6)]], ["bucket", "hash", "other", "doc", "start", "paths"])
 
     return run
 
 
 def _paths(t: pa.Table) -> pa.Table:
     get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-    h, doc, start = get("hash", np.uint64), get("doc", np.int64), get("start", np.int32).astype(np.int64)
+    h, g, doc, start = get("hash", np.uint64), get("other", np.uint64), get("doc", np.int64), get("start", np.int32).astype(np.int64)
     found = [np.frombuffer(p, np.int64).reshape(5, -1) for p in t.column("paths").to_pylist() if p]
     if len(h):
-        source, at = _resolve(h, doc, start)
+        source, at = _resolve(h, g, doc, start)
         rows = np.flatnonzero(source != doc)
         rows = rows[np.lexsort((start[rows], doc[rows]))]
         found.append(np.stack(_chains(doc[rows], start[rows], source[rows], at[rows])).astype(np.int64))
@@ -181,7 +193,7 @@ def _source_digests(length: int):
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, hash_bits: int = 64):
     """Rows (id, text, paths of (start, n windows, digest) or null): counts of words, and the text that is left."""
 
     def run(batches):
@@ -195,8 +207,8 @@ def _remove(length: int):
                     gone = np.zeros(len(words) + 1, np.int64)
                     starts = [np.arange(p["start"], p["start"] + p["n"]) for p in paths or () if _digest(words[p["start"] : p["start"] + p["n"] + length - 1]) == p["digest"]]
                     if starts:
-                        h = window_hashes(word_hashes(data), length)
-                        at = np.flatnonzero(np.isin(h, h[np.concatenate(starts)]))  # and wherever the document repeats them
+                        first = _first_of(*(w := _windows(*both_hashes(data), length, hash_bits)), np.arange(len(w[0])))
+                        at = np.flatnonzero(np.isin(first, first[np.concatenate(starts)]))  # and wherever the document repeats them
                         np.add.at(gone, at, 1)
                         np.add.at(gone, at + length, -1)
                     covered = np.cumsum(gone[:-1]) > 0
@@ -208,10 +220,11 @@ def _remove(length: int):
     return run
 
 
-def repeated_paths(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> DataFrame:
+def repeated_paths(docs: DataFrame, length: int = LENGTH, short: int = SHORT, hash_bits: int = 64) -> DataFrame:
     """doc, start, n, source, at: n windows of doc from word `start` on that the smaller document `source` has from `at` on.
 
     docs: (id, text). Windows that a document repeats are listed where they stand first.
+    hash_bits: of the first hash of a window; the second, independent one has 64.
     """
     buckets = max(16, docs.count() // DOCS_PER_BUCKET)
     bits = min(BUCKET_BITS, 1 << (MAX_BITS // buckets).bit_length() - 1)
@@ -222,7 +235,7 @@ def repeated_paths(docs: DataFrame, length: int = LENGTH, short: int = SHORT) ->
         field[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
         hot.append(_hot_keys(r["bucket"], np.frombuffer(bytes(r["hot"]), np.uint32)))
     shared = share(docs.sparkSession, (field, np.concatenate(hot)))
-    windows = docs.mapInArrow(lean(_emit_windows(length, short, buckets, bits, shared)), "bucket int, hash binary, doc binary, start binary, paths binary")
+    windows = docs.mapInArrow(lean(_emit_windows(length, short, buckets, bits, shared, hash_bits)), "bucket int, hash binary, other binary, doc binary, start binary, paths binary")
     pieces = windows.groupBy("bucket").applyInArrow(lean(_paths), PATH)
     order = Window.partitionBy("doc").orderBy("start")
     end = F.lag(F.col("start") + F.col("n")).over(order)
@@ -231,7 +244,7 @@ def repeated_paths(docs: DataFrame, length: int = LENGTH, short: int = SHORT) ->
     return numbered.groupBy("doc", "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("source").alias("source"), F.min("at").alias("at")).drop("path")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, short: int = SHORT) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, short: int = SHORT, hash_bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept for every row of docs; kept: the words that are left, joined by one space.
 
     A word is removed when a window of `length` words that covers it also starts in a document of smaller id. Null text
@@ -242,7 +255,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    paths = stored(repeated_paths(texts, length, short), "paths")
+    paths = stored(repeated_paths(texts, length, short, hash_bits), "paths")
     n = paths.count()
     spans = paths.select("source", "at", "n").distinct().groupBy("source").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     holding = Bloom(paths.select("source").distinct(), "source", n).mark(texts, "id", "__hit").where("__hit").drop("__hit").dropDuplicates(["id"])
@@ -253,5 +266,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = marked.where("__hit").join(verified, F.col("id") == F.col("doc"), "left").select("id", "text", "paths")
     rest = marked.where("not __hit").select("id", "text", none.alias("paths"))
     result = "id long, n_words long, n_removed long, kept string"
-    out = rows.mapInArrow(lean(_remove(length)), result).unionByName(rest.mapInArrow(lean(_remove(length)), result))
+    out = rows.mapInArrow(lean(_remove(length, hash_bits)), result).unionByName(rest.mapInArrow(lean(_remove(length, hash_bits)), result))
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept")

@@ -144,6 +144,13 @@ def test_substring_dedup_of_hot_minimizers(spark, rows, monkeypatch):
     assert sorted(tuple(r) for r in substring_dedup.dedup_substrings(make(spark, rows).repartition(5)).collect()) == brute_removed(rows)
 
 
+def test_substring_dedup_with_colliding_window_hashes(spark, rows, monkeypatch):
+    """A first hash of 3 bits, so that most windows collide in it, gives what brute force gives."""
+    monkeypatch.setattr(substring_dedup, "DOCS_PER_BUCKET", 2)
+    got = substring_dedup.dedup_substrings(make(spark, rows).repartition(5), hash_bits=3)
+    assert sorted(tuple(r) for r in got.collect()) == brute_removed(rows)
+
+
 def test_a_line_between_many_neighbours_is_dealt_over_buckets():
     import pyarrow as pa
     import pyarrow.compute
