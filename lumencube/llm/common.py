@@ -176,6 +176,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: Column, n_ro
     return hot.unionByName(cold)
 
 
+def join_dealt(pairs: DataFrame, rows: DataFrame, key: str, other: str, n_pairs: int) -> DataFrame:
+    """Join pairs to the one row that `rows` has for their `key`, without letting a hot key's pairs meet in one task.
+
+    The pairs of a key are dealt by the hash of `other` over at most 1024 pieces, and the key's row is copied to those of
+    them that have pairs: rows of any size, as they are never broadcast. `pairs` is read twice: pass a stored one.
+    """
+    pieces = min(1024, max(1, n_pairs // 512))
+    dealt = pairs.withColumn("__piece", F.pmod(F.xxhash64(other), F.lit(pieces)))
+    copies = dealt.select(key, "__piece").distinct().join(rows, key)
+    return dealt.join(copies, [key, "__piece"]).drop("__piece")
+
+
 def running_total(df: DataFrame, group: list[str], order: list[Column], spread: Column, value: Column, n_rows: int, out: str, rows_each: int = 4096) -> DataFrame:
     """Exclusive running total of `value` within each group, in the order of (spread, *order), without one task per group.
 

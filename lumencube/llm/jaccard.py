@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, join_groups, lean, share, stored, text_batches, text_parts
+from .common import Bloom, join_dealt, join_groups, lean, share, stored, text_batches, text_parts
 from .components import components, merged
 from .words import both_hashes, bucket_of, filter_of, in_filter, mix, spread, window_hashes, word_hashes
 
@@ -350,9 +350,9 @@ class JaccardJoin:
         return buckets, bits, share(self.docs.sparkSession, fields)
 
     def _passing(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose bitmaps leave room."""
+        """Stored pairs (a, b), each b once, whose bitmaps leave room."""
         of = lambda c, n, m: self.nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("map").alias(m))
-        rows = pairs.join(of("a", "na", "ma"), "a").join(of("b", "nb", "mb"), "b").select("a", "b", "na", "nb", "ma", "mb")
+        rows = join_dealt(pairs, of("a", "na", "ma"), "a", "b", self.n_nodes).join(of("b", "nb", "mb"), "b").select("a", "b", "na", "nb", "ma", "mb")
         return rows.mapInArrow(lean(_bounded(self.percent)), "a long, b long, ok boolean").where("ok").drop("ok")
 
     def arrays(self, ids: DataFrame) -> DataFrame:
@@ -369,7 +369,8 @@ class JaccardJoin:
         pairs = stored(pairs.select("a", "b"), "pairs")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         arrays = self.arrays(ids)
-        both = pairs.join(arrays.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(arrays.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+        both = join_dealt(pairs, arrays.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a", "b", pairs.count())
+        both = both.join(arrays.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         checked = both.select("a", "b", "sa", "sb").mapInArrow(lean(_intersect(self.percent)), "a long, b long, ok boolean")
         return stored(checked.where("ok").drop("ok"), "links")
 
@@ -432,7 +433,7 @@ class JaccardJoin:
 
     def links(self) -> tuple[DataFrame, DataFrame | None]:
         """Verified pairs of nodes (a, b), enough to connect whatever is connected, and the labels (node, label)."""
-        links = self.verified(self._passing(self._led()))
+        links = self.verified(self._passing(stored(self._led(), "led")))
         labels = components(links) if links.limit(1).count() else None
         more = self._tile_links(labels)
         if more.limit(1).count():

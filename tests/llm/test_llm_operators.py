@@ -102,6 +102,15 @@ def test_bloom_filter_has_all_bits(spark):
     assert one.mark(df, "k", "m").where("k < 10 and not m").count() == 0
 
 
+def test_join_dealt_spreads_a_hot_key(spark):
+    pairs = spark.range(6000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("a"), F.col("id").alias("b"))
+    rows = spark.range(5500).select(F.col("id").alias("a"), (F.col("id") * 2).alias("v"))
+    got = common.join_dealt(pairs, rows, "a", "b", 6000)
+    assert got.columns == ["a", "b", "v"]
+    assert sorted(map(tuple, got.collect())) == [(a, b, 2 * a) for b in range(5500) for a in (0 if b < 4000 else b,)]
+    assert common.join_dealt(pairs.limit(0), rows, "a", "b", 0).count() == 0
+
+
 # --- substring dedup -----------------------------------------------------------------------------------------------
 
 
