@@ -96,3 +96,69 @@ SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN size = 0 THEN 0 ELSE goal // source_size * size + greatest(0, least(size, goal % source_size - start)) END AS BIGINT) AS taken
 FROM o
 """
+
+
+def _crc_row(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ 0xEDB88320 if i & 1 else i >> 1
+    return i
+
+
+_CRC_ROWS = f"[{', '.join(str(_crc_row(i)) for i in range(256))}]::UBIGINT[]"
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a string in UTF-8, which DuckDB has no function for."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS UBIGINT))"
+    return f"CAST(xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || {data}, lambda a, b: xor(({_CRC_ROWS})[CAST((xor(a, b) & 255) AS INTEGER) + 1], a >> 8))) AS BIGINT)"
+
+
+def _clock(name: str) -> str:
+    return f"-ln((CAST(CAST('0x' || substr(md5({name} || ':' || k), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0) / w"
+
+
+def _tree(shards: int) -> str:
+    """The tree of a number of shards (8 a region, 4 a rack, the first 16 opened at once), and each id's way down."""
+    t = f"t{shards}"
+    return f"""{t} AS (SELECT n, n // 8 AS region, n // 4 % 2 AS rack, greatest(0, n - 15) AS o FROM range({shards}) r(n)),
+{t}a AS (SELECT region || '@' || o AS name, count(*) AS w FROM {t} GROUP BY ALL),
+{t}b AS (SELECT region || '@' || o AS parent, region || '.' || rack || '@' || o AS name, count(*) AS w FROM {t} GROUP BY ALL),
+{t}c AS (SELECT region || '.' || rack || '@' || o AS parent, region || '.' || rack || '.' || n || '@' || o AS name, 1 AS w, n FROM {t}),
+{t}x AS (SELECT k, arg_min(name, {_clock("name")}) AS region FROM ids, {t}a GROUP BY k),
+{t}y AS (SELECT k, arg_min(name, {_clock("name")}) AS rack FROM {t}x JOIN {t}b ON parent = region GROUP BY k),
+{t}z AS (SELECT k, CAST(arg_min(n, {_clock("name")}) AS INTEGER) AS shard FROM {t}y JOIN {t}c ON parent = rack GROUP BY k)"""
+
+
+ORACLES["op11_sharding"] = f"""
+WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents),
+ids AS (SELECT DISTINCT k FROM d),
+{_tree(16)},
+{_tree(17)},
+h AS (SELECT *, CAST('0x' || substr(md5(k || ':' || text_crc32), 1, 15) AS BIGINT) AS h FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, a.shard, row_number() OVER (PARTITION BY a.shard ORDER BY h, doc_id, size, text_crc32) - 1 AS slot, b.shard AS grown_shard
+FROM h JOIN t16z a USING (k) JOIN t17z b USING (k)
+"""
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS lo, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS hi FROM u),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(list_slice(u, 1, lo), '') AS p, array_to_string(list_slice(u, lo + 1, hi), '') AS m, array_to_string(list_slice(u, hi + 1, n), '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM f
+"""
+
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS i, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, length(run) AS l, {_crc("i || ':' || run")} AS h FROM r WHERE length(run) >= 7),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % l) || substr(run, h % l + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, count(*) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, b.word FROM x a JOIN w b ON a.less = b.word UNION SELECT b.word, a.word FROM x a JOIN w b ON a.less = b.word),
+g AS (SELECT p.a, count(*) AS n_near, max(b.n) AS top, arg_min(p.b, (-b.n, p.b)) AS best FROM p JOIN w b ON b.word = p.b GROUP BY p.a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN best END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n FROM w LEFT JOIN g ON g.a = word),
+t(word, root, further) AS (SELECT word, word, form FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.further)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word AND t.further IS NULL
+"""
