@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -76,20 +77,30 @@ def text_parts(batches, limit: int = 6_000_000):
 
 
 class Scope:
-    """Broadcasts and intermediate tables made within a `with` block, to be dropped by release() once nothing reads them."""
+    """Broadcasts and intermediate tables made within a `with` block, to be dropped by release() once nothing reads them.
 
-    active: list[Scope] = []
+    A block knows of what its own thread makes, so that sessions and threads never release each other's.
+    """
+
+    _local = threading.local()
 
     def __init__(self):
         self.shared: list = []
         self.tables: list[DataFrame] = []
 
+    @classmethod
+    def active(cls) -> list[Scope]:
+        """The blocks that this thread is in, the innermost last."""
+        if not hasattr(cls._local, "scopes"):
+            cls._local.scopes = []
+        return cls._local.scopes
+
     def __enter__(self) -> Scope:
-        Scope.active.append(self)
+        Scope.active().append(self)
         return self
 
     def __exit__(self, *_) -> None:
-        Scope.active.remove(self)
+        Scope.active().remove(self)
 
     def release(self) -> None:
         for b in self.shared:
@@ -102,7 +113,7 @@ class Scope:
 def share(spark: SparkSession, value):
     """A broadcast of a value of bounded size; the scope at hand, if any, can release it."""
     b = spark.sparkContext.broadcast(value)
-    for scope in Scope.active[-1:]:
+    for scope in Scope.active()[-1:]:
         scope.shared.append(b)
     return b
 
@@ -146,7 +157,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stored/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
-    for scope in Scope.active[-1:]:
+    for scope in Scope.active()[-1:]:
         scope.tables.append(written)
     return written
 
@@ -257,6 +268,7 @@ class Bloom:
 
 def without_ids(rows: DataFrame, id_col: str, dropped: DataFrame, n_dropped: int) -> DataFrame:
     """The rows whose id is not in dropped(id_col). Only rows that a Bloom filter of the dropped ids marks are shuffled."""
-    marked = Bloom(dropped, id_col, n_dropped).mark(rows, id_col, "__hit")
-    passed = marked.where("not __hit").drop("__hit")
-    return passed.unionByName(marked.where("__hit").drop("__hit").join(dropped.select(id_col), id_col, "left_anti"))
+    hit = free_name(rows, "hit")
+    marked = Bloom(dropped, id_col, n_dropped).mark(rows, id_col, hit)
+    passed = marked.where(~F.col(hit)).drop(hit)
+    return passed.unionByName(marked.where(hit).drop(hit).join(dropped.select(id_col), id_col, "left_anti"))

@@ -469,7 +469,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without an id and texts without words stay, as do rows repeated with the id that stays. Whole texts count;
     columns may have any names; an empty table gives an empty result.
     """
-    from .common import without_ids
+    from .common import Scope, without_ids
 
-    found = stored(jaccard_components(docs, id_col, text_col, words, percent).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast(docs.schema[id_col].dataType)), "dropped")
+    with Scope() as made:
+        linked = jaccard_components(docs, id_col, text_col, words, percent).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast(docs.schema[id_col].dataType))
+    found = stored(linked, "dropped")
+    made.release()  # the ids are written: nothing reads the tables of the join any more
     return without_ids(docs, id_col, found, found.count())
