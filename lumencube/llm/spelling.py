@@ -3,18 +3,17 @@
 Two words one edit apart share, in order and shifted by no more than one place, all but Q of the Q-grams of the longer
 one. Distribution: with the grams of every word in one order, rare ones first, the first shared gram of such a pair is
 among the first Q + 1 of either word. So every word is posted in Q + 1 tiles (gram, position, length), and asks in those
-that a word of its own length, or one letter longer, can hold that gram in. Tiles of more than CELL words are cut into
-cells, and each asking cell meets each posted one: no group outgrows a task, and no pair of words is emitted before it
-has been verified. Search: in a tile, a positional inverted index of all grams of the posted words is built; the
-postings that an asking word's grams select under the limits of length and position are merged by a heap, words met as
-often as the bound demands are kept, and these are verified.
+that a word one letter longer can hold one of its first Q grams in. Tiles of more than CELL words are cut into pieces that
+meet in pairs: no group outgrows a task, and no pair of words is emitted before it has been verified. Search: a tile holds
+a positional inverted index of all grams of its posted words. A word's grams select postings under the limits of length
+and position. Of a bound of T shared grams, the T - 1 longest postings alone cannot reach it, so the shorter ones are
+merged by a heap, and the words met there are verified.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters of a gram; one edit touches at most that many grams, so words need at least 2 * Q letters.
 Q = 3
-#: Words of a cell, rows of a bucket of tiles on average, and cut tiles up to which their list is broadcast.
-CELL, BUCKET, CUT_TILES = 2048, 16384, 50_000
+#: Words of a cell, rows of a bucket of cells on average, and large tiles up to which their list is broadcast.
+CELL, BUCKET, LARGE_TILES = 2048, 16384, 50_000
 
 
 def lower_ascii(run: Column) -> Column:
@@ -55,35 +54,74 @@ def bound(longer: int) -> int:
     return longer - 2 * Q + 1
 
 
-def near(a: str, b: str) -> bool:
-    """Whether b is a with exactly one letter replaced, or has exactly one more."""
+def replaced(a: str, b: str) -> bool:
+    """Whether two different words of one length differ in one letter only."""
+    k = 0
+    while a[k] == b[k]:
+        k += 1
+    return a[k + 1 :] == b[k + 1 :]
+
+
+def inserted(a: str, b: str) -> bool:
+    """Whether b, one letter longer, is a with a letter more."""
     k, n = 0, len(a)
     while k < n and a[k] == b[k]:
         k += 1
-    return a != b and (a[k + 1 :] == b[k + 1 :] if len(b) == n else a[k:] == b[k + 1 :])
+    return a[k:] == b[k + 1 :]
 
 
 class Index:
-    """Postings (gram, position, length) -> numbers of the posted words, ascending."""
-
-    def __init__(self, words: list[str]):
-        self.words, self.postings = words, defaultdict(list)
-        for k, w in enumerate(words):
-            for i, g in enumerate(grams(w)):
-                self.postings[g, i, len(w)].append(k)
-
-    def partners(self, word: str) -> list[str]:
-        """Posted words that are near, of the same length and behind the word in order, or one letter longer."""
-        n, same, longer = len(word), [], []
-        for i, g in enumerate(grams(word)):
-            for lists, key in ((same, (g, i, n)), (longer, (g, i, n + 1)), (longer, (g, i + 1, n + 1))):
-                if key in self.postings:
-                    lists.append(self.postings[key])
-        found = []
-        for lists, least in ((same, bound(n)), (longer, bound(n + 1))):
-            if len(lists) >= least:
-                found += [self.words[k] for k, times in groupby(heapq.merge(*lists)) if sum(1 for _ in times) >= least]
-        return [w for w in found if (len(w) > n or w > word) and near(word, w)]
+    """Postings of words of one length: by position, gram -> numbers of the words, ascending."""
+
+    def __init__(self, length: int):
+        self.words: list[str] = []
+        self.postings: list[dict[str, list[int]]] = [{} for _ in range(length - Q + 1)]
+        self.least = bound(length)
+
+    def add(self, word: str) -> None:
+        for at, g in zip(self.postings, grams(word), strict=True):
+            at.setdefault(g, []).append(len(self.words))
+        self.words.append(word)
+
+    def met(self, lists: list[list[int]]) -> list[str]:
+        """The words that may be on at least `least` of the lists."""
+        if len(lists) < self.least:
+            return []
+        lists.sort(key=len)
+        short = lists[: len(lists) - self.least + 1]
+        return [self.words[k] for k, _ in groupby(heapq.merge(*short) if len(short) > 1 else short[0])]
+
+    def same(self, word: str) -> list[str]:
+        """Words that are one replaced letter away from another word of their length."""
+        found = self.met([at[g] for at, g in zip(self.postings, grams(word), strict=True) if g in at])
+        return [w for w in found if replaced(word, w)]
+
+    def longer(self, word: str) -> list[str]:
+        """Words that are a word one letter shorter with a letter more: its grams stand where they stood or one place on."""
+        found = self.met([at[g] for i, g in enumerate(grams(word)) for at in self.postings[i : i + 2] if g in at])
+        return [w for w in found if inserted(word, w)]
+
+
+#: What a row is in its cell: posted and compared with those posted before, posted, asking for its length, for one more.
+EACH, POSTED, SAME, LONGER = range(4)
+
+
+def cell_pairs(words: list[str], kinds: list[int]) -> list[tuple[str, str]]:
+    """The near pairs of a cell, the shorter word (of two alike, the first) first."""
+    posted = sorted((w, k) for w, k in zip(words, kinds, strict=True) if k <= POSTED)
+    if not posted:
+        return []
+    index, pairs = Index(len(posted[0][0])), []
+    for w, k in posted:
+        if k == EACH and index.words:
+            pairs += [(v, w) for v in index.same(w)]
+        index.add(w)
+    for w, k in zip(words, kinds, strict=True):
+        if k == LONGER:
+            pairs += [(w, v) for v in index.longer(w)]
+        elif k == SAME:
+            pairs += [(min(v, w), max(v, w)) for v in index.same(w)]
+    return pairs
 
 
 def _ranks(words: DataFrame) -> dict[str, int]:
@@ -94,7 +132,7 @@ def _ranks(words: DataFrame) -> dict[str, int]:
 
 
 def _tiles(words: DataFrame) -> DataFrame:
-    """word, tile, asks: the tiles that a word is posted in, and those that it asks in."""
+    """word, tile, asks: the tiles that a word is posted in, and those of longer words that it asks in."""
     ranks = {g: k for k, g in enumerate(g for g, _ in sorted(_ranks(words).items(), key=lambda x: x[1]))}
     shared = share(words.sparkSession, ranks)
 
@@ -103,57 +141,57 @@ def _tiles(words: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple[str, str, bool]] = []
             for w in b.column(0).to_pylist():
-                n, seen = len(w), set()
-                for i, g in sorted(enumerate(grams(w)), key=lambda x: (order[x[1]], x[0]))[: Q + 1]:
-                    out.append((w, f"{g}:{i}:{n}", False))
-                    seen |= {f"{g}:{i}:{n}", f"{g}:{i}:{n + 1}", f"{g}:{i + 1}:{n + 1}"}
-                out += [(w, t, True) for t in seen]
+                n = len(w)
+                first = sorted((order[g], i, g) for i, g in enumerate(grams(w)))
+                out += [(w, f"{g}{i}:{n}", False) for _, i, g in first[: Q + 1]]
+                out += [(w, t, True) for t in {f"{g}{i + k}:{n + 1}" for _, i, g in first[:Q] for k in (0, 1)}]
             w, t, a = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(t, pa.string()), pa.array(a, pa.bool_())], ["word", "tile", "asks"])
 
     return words.select("word").mapInArrow(lean(run), "word string, tile string, asks boolean")
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """word, cell, kind: the rows of tiles, those of large tiles dealt to cells of some CELL posted and CELL asking words each."""
+    sizes = rows.groupBy("tile").agg(F.count_if(~F.col("asks")).alias("posted"), F.count_if("asks").alias("asking"))
+    large = sizes.where((F.col("posted") > CELL) | ((F.col("posted") > 0) & (F.col("asking") > CELL)))
+    large = stored(large.select("tile", *[F.ceil(F.greatest(F.col(c), F.lit(1)) / CELL).cast("int").alias(c) for c in ("posted", "asking")]), "large")
+    n_large = large.count()
+    whole = lambda df: df.select("word", F.col("tile").alias("cell"), F.when(F.col("asks"), LONGER).otherwise(EACH).alias("kind"))
+    if not n_large:
+        return whole(rows)
+    known = rows.join(F.broadcast(large) if n_large <= LARGE_TILES else large, "tile", "left")
+    mine = F.pmod(F.xxhash64("word"), F.when(F.col("asks"), F.col("asking")).otherwise(F.col("posted"))).cast("int")
+    known = known.withColumn("mine", mine)
+    cells = lambda of, n, kind, name: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.struct(F.concat_ws("/", "tile", F.lit(of), *name(k)).alias("cell"), kind(k).alias("kind")))
+    mine = F.col("mine")
+    role = lambda k: F.when(k == mine, EACH).when(k < mine, POSTED).otherwise(SAME)
+    among = cells("same", "posted", role, lambda k: (F.least(k, mine), F.greatest(k, mine)))
+    asked = cells("longer", "asking", lambda _: F.lit(POSTED), lambda k: (k, mine))
+    asking = cells("longer", "posted", lambda _: F.lit(LONGER), lambda k: (mine, k))
+    dealt = known.where("posted is not null").select("word", F.explode(F.when(F.col("asks"), asking).otherwise(F.concat(among, asked))).alias("c")).select("word", "c.*")
+    return dealt.unionByName(whole(known.where("posted is null")))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b: every pair of distinct words that are one edit apart, once, the shorter one (of two alike, the first in order) as a.
 
     Words (a column of distinct words) have at least 2 * Q letters.
     """
     rows = stored(_tiles(words), "tiles")
-    n_rows = rows.count()
-    sizes = rows.groupBy("tile").agg(F.count_if(~F.col("asks")).alias("posted"), F.count_if("asks").alias("asking"))
-    cells = sizes.select("tile", F.ceil(F.col("asking") / CELL).cast("int").alias("left"), F.ceil(F.col("posted") / CELL).cast("int").alias("right"))
-    big = stored(cells.where("left > 1 or right > 1"), "cut")
-    n_big = big.count()
-    if n_big:
-        small = F.broadcast(big) if n_big <= CUT_TILES else big
-        rows = rows.join(small, "tile", "left").withColumns({"left": F.coalesce("left", F.lit(1)), "right": F.coalesce("right", F.lit(1))})
-    else:
-        rows = rows.withColumns({"left": F.lit(1), "right": F.lit(1)})
-    own = lambda n: F.pmod(F.xxhash64("word"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = rows.withColumn("i", F.explode(F.when(F.col("asks"), F.array(own("left"))).otherwise(every("left"))))
-    dealt = dealt.withColumn("j", F.explode(F.when(F.col("asks"), every("right")).otherwise(F.array(own("right")))))
-    buckets = max(1, n_rows // BUCKET)
-    dealt = dealt.select("word", F.concat_ws("/", "tile", "i", "j").alias("cell"), "asks").withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
+    buckets = max(1, rows.count() // BUCKET)
+    cells = _cells(rows).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("cell", "ascending"), ("word", "ascending")])
-        words, asks = t.column("word").to_pylist(), t.column("asks").to_numpy(zero_copy_only=False)
-        ends = np.flatnonzero(np.r_[np.diff(t.column("cell").combine_chunks().dictionary_encode().indices.to_numpy()) != 0, True]) + 1
-        pairs, lo = [], 0
-        for hi in ends:
-            posted = [words[k] for k in range(lo, hi) if not asks[k]]
-            if posted and hi - lo > 2:
-                index = Index(posted)
-                pairs += [(words[k], b) for k in range(lo, hi) if asks[k] for b in index.partners(words[k])]
-            elif posted:
-                pairs += [(words[k], posted[0]) for k in range(lo, hi) if asks[k] and words[k] != posted[0] and (len(words[k]), words[k]) < (len(posted[0]), posted[0]) and near(words[k], posted[0])]
-            lo = int(hi)
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        t = t.sort_by("cell")
+        words, kinds = t.column("word").to_pylist(), t.column("kind").to_pylist()
+        number = t.column("cell").combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(words)]
+        pairs = [p for lo, hi in pairwise(edges) if hi > lo + 1 for p in cell_pairs(words[lo:hi], kinds[lo:hi])]
+        a, b = zip(*set(pairs), strict=True) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    return dealt.groupBy("bucket").applyInArrow(lean(run), "a string, b string").dropDuplicates(["a", "b"])
+    return cells.groupBy("bucket").applyInArrow(lean(run), "a string, b string").dropDuplicates(["a", "b"])
 
 
 def _roots(forms: DataFrame) -> DataFrame:
