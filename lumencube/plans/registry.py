@@ -561,11 +561,38 @@ def gaussian_fit(spark, d):
     return fit_gaussians(cube_of_lineitem(spark, d), [(16.0, 16.0, 50.0, 20.0, 20.0, 0.0)], {"pa"}, fit_background=True)
 
 
-@query("contour_lines")
+def _contour_sql(level: float) -> str:
+    """Directed segments of every cell, followed from the start of each line; closed lines from their smallest side."""
+    side = {"B": "y * 8589934592 + x * 2", "R": "y * 8589934592 + (x + 1) * 2 + 1", "T": "(y + 1) * 8589934592 + x * 2", "L": "y * 8589934592 + x * 2 + 1"}
+    point = {
+        "B": (f"x + ({level} - p) / (q - p)", "y"),
+        "R": ("x + 1", f"y + ({level} - q) / (r - q)"),
+        "T": (f"x + ({level} - s) / (r - s)", "y + 1"),
+        "L": ("x", f"y + ({level} - p) / (s - p)"),
+    }
+    ways = {1: "BL", 2: "RB", 3: "RL", 4: "TR", 6: "TB", 7: "TL", 8: "LT", 9: "BT", 11: "RT", 12: "LR", 13: "BR", 14: "LB"}
+    rows = [(f"code = {code}", way) for code, way in ways.items()]
+    high = f"(p + q + r + s) / 4 >= {level}"
+    rows += [(f"code = 5 AND {high}", w) for w in ("BR", "TL")] + [(f"code = 5 AND NOT ({high})", w) for w in ("BL", "TR")]
+    rows += [(f"code = 10 AND {high}", w) for w in ("RT", "LB")] + [(f"code = 10 AND NOT ({high})", w) for w in ("RB", "LT")]
+    parts = " UNION ALL ".join(f"SELECT {side[w[0]]} AS a, {side[w[1]]} AS b, {point[w[0]][0]} AS ua, {point[w[0]][1]} AS va, {point[w[1]][0]} AS ub, {point[w[1]][1]} AS vb FROM coded WHERE {c}" for c, w in rows)
+    return f"""WITH RECURSIVE {EMB}, g AS (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(v AS DOUBLE) AS v FROM emb),
+cell AS (SELECT p.x, p.y, p.v AS p, q.v AS q, r.v AS r, s.v AS s FROM g p JOIN g q ON q.x = p.x + 1 AND q.y = p.y JOIN g r ON r.x = p.x + 1 AND r.y = p.y + 1 JOIN g s ON s.x = p.x AND s.y = p.y + 1),
+coded AS (SELECT *, CAST(p >= {level} AS INTEGER) + CAST(q >= {level} AS INTEGER) * 2 + CAST(r >= {level} AS INTEGER) * 4 + CAST(s >= {level} AS INTEGER) * 8 AS code FROM cell),
+seg AS ({parts}),
+walk AS (SELECT a AS line, a, b, ua, va, ub, vb, 0 AS i, a NOT IN (SELECT b FROM seg) AS open FROM seg
+  UNION ALL SELECT w.line, s.a, s.b, s.ua, s.va, s.ub, s.vb, w.i + 1, w.open FROM walk w JOIN seg s ON s.a = w.b WHERE s.a <> w.line AND (w.open OR s.a > w.line)),
+ends AS (SELECT line, max(i) AS last FROM walk WHERE open OR b = line GROUP BY line)
+SELECT {level} AS level, line, CAST(i AS BIGINT) AS i, round(ua, 6) AS x, round(va, 6) AS y FROM walk JOIN ends USING (line)
+UNION ALL SELECT {level}, line, CAST(i + 1 AS BIGINT), round(ub, 6), round(vb, 6) FROM walk JOIN ends USING (line) WHERE i = last"""
+
+
+@query("contour_lines", _contour_sql(0.2))
 def contour_lines(spark, d):
+    """Lines of the embeddings image, traced in pieces of 32 pixels and joined."""
     from ..operators.contour import contours
 
-    return contours(profiles.plane(cube_of_lineitem(spark, d)), [10.0, 100.0])
+    return rounded(contours(image_of_embeddings(spark, d), [0.2], piece=32), "x", "y").select("level", "line", "i", "x", "y")
 
 
 @query("raster_tiles")

@@ -264,32 +264,59 @@ def test_encodings(spark):
     assert [filled[0, i] for i in range(4)] == [1, 1, 1, 2] and filled[1, 0] == 3 and math.isnan(filled[2, 0])
 
 
+def lines_of(rows):
+    """Vertices by line, in order."""
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["level"], r["line"], r["i"])):
+        found.setdefault((r["level"], r["line"]), []).append((r["x"], r["y"]))
+    return found
+
+
 def test_contours(spark):
     y, x = np.mgrid[0:20, 0:20]
     data = np.exp(-((x - 9.3) ** 2 + (y - 10.1) ** 2) / 20)
-    lines = trace(data, 0.5)
-    assert len(lines) == 1 and np.allclose(lines[0][0], lines[0][-1])
-    assert np.allclose(np.hypot(lines[0][:, 0] - 9.3, lines[0][:, 1] - 10.1), math.sqrt(20 * math.log(2)), atol=0.1)
-    rows = contours(cube(spark, data), [0.5, 0.9], scale=2.0, offset=1.0).collect()
-    assert {r["level"] for r in rows} == {0.5, 0.9}
-    one = sorted((r["i"], r["x"], r["y"]) for r in rows if r["level"] == 0.5)
-    assert np.allclose([[a, b] for _, a, b in one], lines[0] * 2 + 1)
-
-
-def test_random_contours_lie_on_crossings():
-    data = np.random.default_rng(3).standard_normal((30, 40))
-    for level in (0.0, -1.0, 1.0):
-        seen = 0
-        for line in trace(data, level):
-            seen += len(line) - (len(line) > 2 and np.allclose(line[0], line[-1]))
-            for vx, vy in line:
-                x0, y0 = math.floor(vx), math.floor(vy)
-                fx, fy = vx - x0, vy - y0
-                assert fx == 0 or fy == 0
-                a, b = (data[y0, x0], data[y0, x0 + 1]) if fx else (data[y0, x0], data[y0 + 1, x0]) if fy else (level, level)
-                assert (a - level) * (b - level) <= 0
-        above = data >= level
-        assert seen == (above[:, 1:] != above[:, :-1]).sum() + (above[1:] != above[:-1]).sum()
+    fragments = trace(data, 0.5)
+    assert len(fragments) == 1 and fragments[0][0] == fragments[0][1] == fragments[0][3]
+    lines = lines_of(contours(cube(spark, data), [0.5, 0.9], scale=2.0, offset=1.0).collect())
+    assert sorted(lv for lv, _ in lines) == [0.5, 0.9]
+    for (level, _), line in lines.items():
+        at = (np.array(line) - 1) / 2
+        assert np.allclose(at[0], at[-1]) and np.allclose(np.hypot(at[:, 0] - 9.3, at[:, 1] - 10.1), math.sqrt(-20 * math.log(level)), atol=0.1)
+        turn = np.cross(np.c_[np.diff(at, axis=0), np.zeros(len(at) - 1)], np.c_[np.array([9.3, 10.1]) - at[:-1], np.zeros(len(at) - 1)])[:, 2]
+        assert (turn > 0).all()  # what lies above is on the left
+
+
+def test_contours_do_not_depend_on_pieces(spark):
+    """Lines over one piece equal those over many: rings and open lines that cross borders, saddles and NaN."""
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:45, 0:50]
+    data = np.sin(x / 4) * np.cos(y / 5) + rng.standard_normal(x.shape) * 0.3
+    data[10:13, 20:24] = np.nan
+    image = cube(spark, data).cache()
+    levels = [0.0, -0.4]
+    whole = lines_of(contours(image, levels).collect())
+    for piece in (7, 16):
+        cut = lines_of(contours(image, levels, piece=piece).collect())
+        assert cut.keys() == whole.keys() and all(np.allclose(cut[k], whole[k]) for k in whole)
+    assert max(map(len, whole.values())) > 60
+    for level in levels:
+        above = np.nan_to_num(data, nan=-1e9) >= level
+        met = sum(len(v) - (v[0] == v[-1]) for (lv, _), v in whole.items() if lv == level)
+        assert met == (above[:, 1:] != above[:, :-1]).sum() + (above[1:] != above[:-1]).sum()
+    for (level, _), line in whole.items():
+        inside = [0 < c[0] < 49 and 0 < c[1] < 44 for c in (line[0], line[-1])]
+        assert line[0] == line[-1] or not any(inside)
+        for vx, vy in line:
+            x0, y0 = math.floor(vx), math.floor(vy)
+            fx, fy = vx - x0, vy - y0
+            assert fx == 0 or fy == 0
+            p, q = np.nan_to_num([data[y0, x0], data[y0, x0 + 1] if fx else data[y0 + 1, x0] if fy else level], nan=-1e9)
+            assert (p - level) * (q - level) <= 0 or not (fx or fy)
+
+
+def test_contours_of_flat_images(spark):
+    assert contours(cube(spark, np.zeros((5, 5))), [1.0, 0.0]).count() == 0
+    assert contours(cube(spark, np.zeros((1, 5))), [0.0]).count() == 0
 
 
 def test_moments(spark, noise):
