@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import NAN, only_finite
+from .tiles import SIDE, by_tiles
 
 TILE = 256
 
@@ -108,26 +109,31 @@ def gaussian_kernel(factor: int) -> list[float]:
     return [x / total for x in w]
 
 
-def gaussian_smooth(image: DataFrame, factor: int, width: int, height: int) -> DataFrame:
+def gaussian_smooth(image: DataFrame, factor: int, width: int, height: int, side: int = SIDE) -> DataFrame:
     """Separable Gaussian over the finite pixels, weights normalised over these; only where the kernel fits.
 
-    A pixel gives its value to the 2 * factor - 1 targets of a pass, which are summed with map-side combination. Pixels
-    that were not finite stay NaN.
+    Computed by tiles with an apron of a kernel's radius. Pixels that were not finite stay NaN.
     """
     kernel, r = gaussian_kernel(factor), factor - 1
-    offsets = F.explode(F.arrays_zip(F.array(*[F.lit(k) for k in range(-r, r + 1)]).alias("k"), F.array(*[F.lit(w) for w in kernel]).alias("w")))
-
-    def one_pass(df: DataFrame, axis: str, size: int) -> DataFrame:
-        spread = df.withColumn("o", offsets).withColumn("to", F.col(axis) + F.col("o.k")).where(F.col("to").between(r, size - 1 - r))
-        ok = F.col("v").isNotNull()
-        other = "y" if axis == "x" else "x"
-        got = spread.groupBy(other, F.col("to").alias(axis)).agg(F.sum(F.col("o.w") * F.col("v")).alias("s"), F.sum(F.when(ok, F.col("o.w"))).alias("n"))
-        return got.select("x", "y", (F.col("s") / F.col("n")).alias("v"))
-
-    start = image.select("x", "y", only_finite(F.col("v")).cast("double").alias("v"))
-    out = one_pass(one_pass(start, "x", width), "y", height)
-    known = start.select("x", "y", F.col("v").isNotNull().alias("known"))
-    return out.join(known, ["x", "y"]).select((F.col("x") - r).alias("x"), (F.col("y") - r).alias("y"), F.when(F.col("known"), F.col("v")).otherwise(F.lit(NAN)).alias("v"))
+
+    def one_pass(data: np.ndarray, axis: int) -> np.ndarray:
+        ok, total, weight = np.isfinite(data), np.zeros(data.shape), np.zeros(data.shape)
+        filled = np.where(ok, data, 0.0)
+        n = data.shape[axis]
+        for k, w in zip(range(-r, r + 1), kernel, strict=True):
+            if abs(k) < n:
+                to = [slice(None)] * 2
+                of = [slice(None)] * 2
+                to[axis], of[axis] = slice(max(0, -k), n - max(0, k)), slice(max(0, k), n - max(0, -k))
+                total[tuple(to)] += w * filled[tuple(of)]
+                weight[tuple(to)] += w * ok[tuple(of)]
+        return np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), np.nan)
+
+    def work(data: np.ndarray, _: dict) -> np.ndarray:
+        return np.where(np.isfinite(data), one_pass(one_pass(data, 1), 0), np.nan)
+
+    inside = F.col("x").between(r, width - 1 - r) & F.col("y").between(r, height - 1 - r)
+    return by_tiles(image, r, work, side=side).where(inside).select((F.col("x") - r).alias("x"), (F.col("y") - r).alias("y"), "v")
 
 
 def nan_runs(rows: DataFrame, order: str, *by: str) -> DataFrame:

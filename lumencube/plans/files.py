@@ -336,13 +336,12 @@ def moments_guarded(spark, d) -> DataFrame:
     return rounded(got.drop("stokes"), "average", "maximum")
 
 
-@query("gaussian_model", "SELECT x, y, round(2.0 + 10 * exp(-4 * ln(2) * (power((x - 8) / 6.0, 2) + power((y - 7) / 4.0, 2))), 6) AS v FROM (SELECT CAST(i % 16 AS INTEGER) AS x, CAST(i // 16 AS INTEGER) AS y FROM range(256) r(i))")
+@query("gaussian_model", f"""WITH {CLI} SELECT z, x, y, round(CAST(v AS DOUBLE) - 2.0 - 10 * exp(-4 * ln(2) * (power((x - 8) / 6.0, 2) + power((y - 7) / 4.0, 2))) - 5 * exp(-4 * ln(2) * (power((x - 20) / 3.0, 2) + power((y - 21) / 9.0, 2))), 6) AS v FROM li WHERE NOT isnan(v)""")
 def gaussian_model(spark, d) -> DataFrame:
-    import numpy as np
-
-    y, x = np.mgrid[:16, :16]
-    v = fit.model(np.array([8.0, 7.0, 10.0, 6.0, 4.0, 0.0, 2.0]), x.ravel(), y.ravel())
-    return rounded(spark.createDataFrame(list(zip(x.ravel().tolist(), y.ravel().tolist(), v.tolist(), strict=True)), "x int, y int, v double"), "v")
+    """A cube less a model of two components, one along x and one along y."""
+    parts = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(fit.PARAMS, c, strict=True)]) for c in ((8, 7, 10, 6, 4, 90), (20, 21, 5, 9, 3, 0))])
+    image = cube_of_lineitem(spark, d).where(~F.isnan("v"))
+    return rounded(image.select("z", "x", "y", (F.col("v").cast("double") - fit.model_column(parts, F.lit(2.0))).alias("v")), "v")
 
 
 @query("vertex_rounding", f"WITH {EMB} SELECT x, y, round(CAST(v AS DOUBLE) * 4) / 4 + 0.0 AS v FROM emb WHERE NOT isnan(v)")
@@ -372,13 +371,11 @@ def polarization_profiles(spark, d) -> DataFrame:
     return rounded(polarization.computed(polarization.side_by_side(pixels)).select("z", "plinear"), "plinear")
 
 
-@query("fit_in_region", "SELECT 0 AS component, CAST(16.0 AS DOUBLE) AS cx, CAST(14.0 AS DOUBLE) AS cy, CAST(50.0 AS DOUBLE) AS amp, CAST(9.0 AS DOUBLE) AS fwhm_x, CAST(6.0 AS DOUBLE) AS fwhm_y, CAST(3.0 AS DOUBLE) AS background, true AS converged")
+@query("fit_in_region", f"""WITH {CLI}, f AS (SELECT z, CAST(v AS DOUBLE) AS v, exp(-4 * ln(2) * (power((y - 14.0) / 11.0, 2) + power((x - 16.0) / 8.0, 2))) AS g FROM li WHERE NOT isnan(v) AND x BETWEEN 5 AND 27 AND y BETWEEN 4 AND 25)
+SELECT z, 0 AS component, round(regr_slope(v, g), 4) AS amp, round(regr_intercept(v, g), 4) AS background, true AS converged FROM f GROUP BY z""")
 def fit_in_region(spark, d) -> DataFrame:
-    """A fit to the pixels of a region; outside it the image is spoilt."""
-    model = 3.0 + 50.0 * F.exp(-4 * math.log(2) * (F.pow((F.col("x") - 16) / 9.0, F.lit(2)) + F.pow((F.col("y") - 14) / 6.0, F.lit(2))))
-    region = Region("rectangle", ((16.0, 15.0), (24.0, 22.0)))
-    image = spark.range(32 * 32).select(F.lit(0).alias("stokes"), F.lit(0).alias("z"), F.floor(F.col("id") / 32).cast("int").alias("y"), (F.col("id") % 32).cast("int").alias("x"))
-    image = image.withColumn("v", F.when(region.predicate(), model).otherwise(1e6).cast("double"))
-    got = fit.fit_gaussians(regions.masked(image, region), [(15.0, 15.0, 40.0, 8.0, 8.0, 0.0)], {"pa"}, fit_background=True)
-    names = ("cx", "cy", "amp", "fwhm_x", "fwhm_y", "background")
-    return rounded(got.select("component", *names, "converged"), *names, digits=3)
+    """A source of known place and shape fitted to the pixels of a region of every channel."""
+    region = Region("rectangle", ((16.0, 14.5), (22.0, 21.0)))
+    start = [(16.0, 14.0, 40.0, 11.0, 8.0, 0.0)]
+    got = fit.fit_gaussians(regions.masked(cube_of_lineitem(spark, d), region), start, {"cx", "cy", "fwhm_x", "fwhm_y", "pa"}, fit_background=True)
+    return rounded(got.select("z", "component", "amp", "background", "converged"), "amp", "background", digits=4)

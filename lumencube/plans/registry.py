@@ -561,6 +561,42 @@ def gaussian_fit(spark, d):
     return fit_gaussians(cube_of_lineitem(spark, d), [(16.0, 16.0, 50.0, 20.0, 20.0, 0.0)], {"pa"}, fit_background=True)
 
 
+# With centre, widths and angle fixed, a fit is a linear regression on the Gaussian's shape; pa 0 points along y.
+_SHAPE = "exp(-4 * ln(2) * (pow((y - 15.5) / 14.0, 2) + pow((x - 16.0) / 9.0, 2)))"
+_LINEAR = f"""f AS (SELECT *, CAST(v AS DOUBLE) AS d, {_SHAPE} AS g FROM li WHERE NOT isnan(v)),
+fitted AS (SELECT z, regr_slope(d, g) AS amp, regr_intercept(d, g) AS background FROM f GROUP BY z)"""
+
+
+def _amplitudes(spark, d):
+    from ..operators.fit import fit_gaussians
+
+    return fit_gaussians(cube_of_lineitem(spark, d), [(16.0, 15.5, 10.0, 14.0, 9.0, 0.0)], {"cx", "cy", "fwhm_x", "fwhm_y", "pa"}, fit_background=True, unit="Jy/pixel")
+
+
+@query(
+    "gaussian_amplitudes",
+    f"""WITH {CLI}, {_LINEAR}, m AS (SELECT z, median(d) AS mid FROM f GROUP BY z), s AS (SELECT z, 1.4826 * median(abs(d - mid)) AS noise FROM f JOIN m USING (z) GROUP BY z)
+SELECT z, round(amp, 4) AS amp, round(background, 4) AS background, round(noise * sqrt(16 * ln(2) / (pi() * 14 * 9)), 4) AS amp_error,
+round(amp * 14 * 9 * pi() / (4 * ln(2)), 2) AS flux FROM fitted JOIN s USING (z)""",
+)
+def gaussian_amplitudes(spark, d):
+    """Amplitude and background of a source of known place and shape, in every channel."""
+    got = rounded(_amplitudes(spark, d).select("z", "amp", "background", "amp_error", "flux"), "amp", "background", "amp_error", digits=4)
+    return rounded(got, "flux", digits=2)
+
+
+@query(
+    "gaussian_fit_images",
+    f"""WITH {CLI}, {_LINEAR}, i AS (SELECT li.z, li.y, li.x, CAST(v AS DOUBLE) AS v, background + amp * {_SHAPE} AS model FROM li JOIN fitted USING (z))
+SELECT z, y, x, round(model, 3) AS model, {_r("v - model", "residual", 3)} FROM i""",
+)
+def gaussian_fit_images(spark, d):
+    """Model and residual images of that fit."""
+    from ..operators.fit import fit_images
+
+    return rounded(fit_images(cube_of_lineitem(spark, d), _amplitudes(spark, d)).select("z", "y", "x", "model", "residual"), "model", "residual", digits=3)
+
+
 def _contour_sql(level: float) -> str:
     """Directed segments of every cell, followed from the start of each line; closed lines from their smallest side."""
     side = {"B": "y * 8589934592 + x * 2", "R": "y * 8589934592 + (x + 1) * 2 + 1", "T": "(y + 1) * 8589934592 + x * 2", "L": "y * 8589934592 + x * 2 + 1"}
@@ -600,8 +636,20 @@ def raster_tiles(spark, d):
     return resample.tile_rows(image_of_embeddings(spark, d), 2, 16)
 
 
-@query("common_beam")
+_FWHM2 = "(8 * ln(2))"
+
+
+@query(
+    "common_beam",
+    f"""WITH {CLI}, k0 AS (SELECT z, (25 - pow(2 + z / 4.0, 2)) / {_FWHM2} AS sx, (16 - 4) / {_FWHM2} AS sy FROM (SELECT DISTINCT z FROM li)),
+k1 AS (SELECT *, CAST(floor(5 * sqrt(greatest(sx, sy)) + 0.5) AS INTEGER) + 1 AS h FROM k0),
+k2 AS (SELECT z, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, exp(-0.5 * (i * i / sx + j * j / sy)) AS w FROM k1, range(-40, 41) a(i), range(-40, 41) b(j) WHERE abs(i) <= h AND abs(j) <= h),
+k3 AS (SELECT *, w / sum(w) OVER (PARTITION BY z) AS share FROM k2),
+c AS (SELECT p.z, p.y + j AS y, p.x + i AS x, sum(CAST(p.v AS DOUBLE) * share) AS s FROM li p JOIN k3 USING (z) WHERE NOT isnan(p.v) GROUP BY ALL)
+SELECT 0 AS stokes, li.z, li.y, li.x, CASE WHEN isnan(v) THEN {_NAN} ELSE round(coalesce(s, 0), 4) END AS v FROM li LEFT JOIN c ON c.z = li.z AND c.y = li.y AND c.x = li.x""",
+)
 def common_beam(spark, d):
+    """Every channel brought to one beam, in tiles of 16 pixels and more."""
     from ..operators.fit import convolve_planes
 
-    return convolve_planes(cube_of_lineitem(spark, d), {z: (2.0 + z / 4, 2.0, 0.0) for z in range(LI[2])}, (5.0, 4.0, 0.0))
+    return rounded(convolve_planes(cube_of_lineitem(spark, d), {z: (2.0 + z / 4, 2.0, 0.0) for z in range(LI[2])}, (5.0, 4.0, 0.0), side=16), "v", digits=4)

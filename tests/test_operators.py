@@ -8,7 +8,7 @@ from lumencube.functions.exprs import compare, divide, finite
 from lumencube.operators import catalog, histogram, moments, polarization, profiles, regions, resample, stats
 from lumencube.operators.catalog import Filter
 from lumencube.operators.contour import contours, trace
-from lumencube.operators.fit import convolve_planes, fit_gaussians, model
+from lumencube.operators.fit import convolve_planes, errors, fit_gaussians, fit_images, model, slopes
 from lumencube.operators.regions import Region
 
 NAN = float("nan")
@@ -383,6 +383,80 @@ def test_fit_recovers_a_gaussian(spark):
     assert (fixed["cx"], fixed["cy"], fixed["cx_error"]) == (30, 33, 0)
 
 
+def test_slopes_are_those_of_the_model():
+    rng = np.random.default_rng(1)
+    x, y = rng.uniform(0, 30, 50), rng.uniform(0, 30, 50)
+    p = np.array([12.0, 14.0, 5.0, 9.0, 6.0, 25.0, 18.0, 7.0, -3.0, 5.0, 8.0, -40.0, 0.7])
+    for k, got in enumerate(slopes(p, x, y).T):
+        h = np.zeros(len(p))
+        h[k] = 1e-5
+        assert np.allclose(got, (model(p + h, x, y) - model(p - h, x, y)) / 2e-5, atol=1e-6)
+
+
+def test_angle_counts_from_the_y_axis():
+    p = np.array([0.0, 0.0, 1.0, 10.0, 2.0, 0.0, 0.0])
+    assert model(p, np.array([0.0]), np.array([5.0]))[0] == pytest.approx(0.5) and model(p, np.array([5.0]), np.array([0.0]))[0] < 1e-6
+
+
+def test_fits_of_many_planes_and_their_images(spark):
+    """Two components, planes with different truths, one with too few pixels; image = model + residual."""
+    y, x = np.mgrid[0:40, 0:48]
+    rng = np.random.default_rng(2)
+    truth = [np.array([14.0 + z, 20.0, 10.0 + z, 8.0, 5.0, 30.0, 34.0, 12.0, 6.0, 5.0, 9.0, 70.0, 1.0]) for z in range(2)]
+    data = np.stack([model(t, x.astype(float), y.astype(float)) + rng.normal(0, 0.002, x.shape) for t in truth] + [np.full(x.shape, np.nan)])
+    data[2, 0, :3] = 1.0
+    image = cube(spark, data).repartition(5)
+    start = [(15, 19, 9, 7, 6, 25), (33, 13, 5, 6, 8, 60)]
+    fitted = fit_gaussians(image, start, fit_background=True, beam=2.0, unit="Jy/beam")
+    rows = {(r["z"], r["component"]): r for r in fitted.collect()}
+    for z in range(2):
+        for k in range(2):
+            r = rows[z, k]
+            assert r["converged"] and r["message"] is None
+            for name, value in zip(("cx", "cy", "amp", "fwhm_x", "fwhm_y", "pa"), truth[z][6 * k : 6 * k + 6], strict=True):
+                assert r[name] == pytest.approx(value, abs=0.05)
+            assert r["flux"] == pytest.approx(r["amp"] * r["fwhm_x"] * r["fwhm_y"] / 4, rel=1e-9)
+    assert rows[2, 0]["message"] == "insufficient data points" and rows[2, 0]["cx"] == 15
+    parts = fit_images(image.where("z < 2"), fitted).collect()
+    assert len(parts) == 2 * x.size
+    for r in parts[:200]:
+        t = np.array([rows[r["z"], k][n] for k in range(2) for n in ("cx", "cy", "amp", "fwhm_x", "fwhm_y", "pa")] + [rows[r["z"], 0]["background"]])
+        assert r["model"] == pytest.approx(model(t, np.array([float(r["x"])]), np.array([float(r["y"])]))[0], abs=1e-9)
+        assert r["model"] + r["residual"] == pytest.approx(r["v"], abs=1e-9)
+
+
+def test_errors_of_white_and_correlated_noise():
+    """At the limit of a tiny beam with noise per beam area, both formulas agree; angle 90 swaps the errors of the centre."""
+    component = np.array([0.0, 0.0, 8.0, 12.0, 6.0, 0.0])
+    white, flux, flux_error = errors(component, 0.5, None, "Jy/pixel")
+    rho = math.pi * 12 * 6 / (8 * math.log(2)) * 256
+    assert white[2] == pytest.approx(8 * math.sqrt(2 / rho)) and white[3] == pytest.approx(12 * math.sqrt(2 / rho))
+    assert flux_error / flux == pytest.approx(math.sqrt(2 / rho))
+    turned, *_ = errors(np.array([0.0, 0.0, 8.0, 12.0, 6.0, 90.0]), 0.5)
+    assert turned[:2] == pytest.approx(white[1::-1])
+    tiny = 1e-3
+    correlated, *_ = errors(component, 0.5 * math.sqrt(2 * math.log(2) / math.pi) / tiny, tiny)
+    assert correlated[:5] == pytest.approx(white[:5], rel=1e-3)
+    assert errors(component, 0.5, 2.0, "Jy/pixel")[1] is None and math.isinf(errors(np.array([0, 0, 1, 5, 5, 0.0]), 1.0)[0][5])
+
+
+def test_tiles_change_nothing(spark, noise):
+    """Smoothing and convolution by small tiles equal those of the whole image."""
+    rng = np.random.default_rng(4)
+    data = rng.standard_normal((2, 30, 37)).astype(np.float32)
+    data[0, 5:9, 10:14] = np.nan
+    image = cube(spark, data).cache()
+    beams, target = {0: (2.0, 2.0, 0.0), 1: (3.0, 2.0, 20.0)}, (4.5, 4.0, 30.0)
+    whole = as_array(convolve_planes(image, beams, target), "z", "y", "x")
+    assert np.allclose(as_array(convolve_planes(image, beams, target, side=7), "z", "y", "x"), whole, equal_nan=True)
+    assert np.array_equal(np.isnan(whole), np.isnan(data))
+    one = image.where("z = 0")
+    smooth = as_array(resample.gaussian_smooth(one, 4, 37, 30), "y", "x")
+    assert np.allclose(as_array(resample.gaussian_smooth(one, 4, 37, 30, side=5), "y", "x"), smooth, equal_nan=True)
+    with pytest.raises(Exception, match="no beam"):
+        convolve_planes(image, {0: (2.0, 2.0, 0.0)}, target).collect()
+
+
 def test_convolution(spark):
     data = np.zeros((2, 21, 21), np.float32)
     data[:, 10, 10] = 1
