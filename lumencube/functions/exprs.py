@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,3 +67,9 @@ def float_bin(v: Column, low: Column, width: Column, bins: int) -> Column:
 def keep_where(v: Column, mask: Column) -> Column:
     """The value where the mask holds, else NaN."""
     return F.when(mask, v).otherwise(F.lit(NAN).cast("double"))
+
+
+def join_same(left: DataFrame, right: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """An inner join on columns in which null equals null; those of the right side are dropped."""
+    other = right.select(*[F.col(c).alias(f"__{c}") if c in names else F.col(c) for c in right.columns])
+    return left.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]).drop(*[f"__{c}" for c in names])

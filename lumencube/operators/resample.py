@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import NAN, only_finite
+from ..functions.exprs import NAN, join_same, only_finite
 from .tiles import SIDE, by_tiles
 
 TILE = 256
+#: Places of an order that one task scans.
+BLOCK = 1 << 16
 
 
 def block_mean(image: DataFrame, mip: int, *by: str) -> DataFrame:
@@ -136,26 +138,54 @@ def gaussian_smooth(image: DataFrame, factor: int, width: int, height: int, side
     return by_tiles(image, r, work, side=side).where(inside).select((F.col("x") - r).alias("x"), (F.col("y") - r).alias("y"), "v")
 
 
-def nan_runs(rows: DataFrame, order: str, *by: str) -> DataFrame:
-    """Run lengths per group, in order, beginning with values (a first run may be empty) and changing with NaN."""
-    w = Window.partitionBy(*by).orderBy(order)
+def _in_blocks(rows: DataFrame, order: str, block: int) -> DataFrame:
+    """rows with a column block: stretches of the order that one task puts in order."""
+    return rows.withColumn("block", F.floor(F.col(order) / block))
+
+
+def nan_runs(rows: DataFrame, order: str, *by: str, block: int = BLOCK) -> DataFrame:
+    """Run lengths per group, in order, beginning with values (a first run may be empty) and changing with NaN.
+
+    A scan of two levels: changes are counted within blocks of the (integer) order, and what is carried from block to block
+    is its first and last kind and the number of changes, one row a block. No task needs a whole group.
+    """
     bad = F.isnan("v")
-    marked = rows.withColumn("bad", bad).withColumn("new", F.when(F.lag(bad).over(w) == bad, 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("new").over(w)).groupBy(*by, "run", "bad").agg(F.count("*").alias("length"), F.min(order).alias("start"))
-    first = Window.partitionBy(*by).orderBy("run")
-    shift = F.first("bad").over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("int")
-    runs = runs.withColumn("i", (F.col("run") - 1 + shift).cast("int"))
-    lead = runs.where((F.col("run") == 1) & F.col("bad")).select(*by, F.lit(0).alias("i"), F.lit(0).cast("long").alias("length"))
+    kinds = _in_blocks(rows.select(*by, order, bad.alias("bad")), order, block)
+    inside = Window.partitionBy(*by, "block").orderBy(order)
+    change = F.when(F.lag("bad").over(inside) != F.col("bad"), 1).otherwise(0)
+    marked = kinds.withColumn("change", change).withColumn("local", F.sum("change").over(inside))
+    blocks = marked.groupBy(*by, "block").agg(F.min_by("bad", order).alias("first"), F.max_by("bad", order).alias("last"), F.sum("change").alias("changes"))
+    along = Window.partitionBy(*by).orderBy("block")
+    border = F.when(F.lag("last").over(along) != F.col("first"), 1).otherwise(0)
+    carried = blocks.withColumn("border", border).withColumn("starts_bad", F.first("first").over(along).cast("int"))
+    before = F.sum(F.col("border") + F.col("changes")).over(along) - F.col("changes")
+    carried = carried.select(*by, "block", "starts_bad", before.alias("before"))
+    numbered = join_same(marked, carried, (*by, "block"))
+    runs = numbered.groupBy(*by, (F.col("before") + F.col("local") + F.col("starts_bad")).cast("int").alias("i")).agg(F.count("*").alias("length"), F.max("starts_bad").alias("starts_bad"))
+    lead = runs.where("i = 1 and starts_bad = 1").select(*by, F.lit(0).alias("i"), F.lit(0).cast("long").alias("length"))
     return runs.select(*by, "i", "length").unionByName(lead)
 
 
-def fill_nan(rows: DataFrame, order: str, *by: str) -> DataFrame:
-    """NaN replaced by the last value before it, at the start by the first value after."""
+def fill_nan(rows: DataFrame, order: str, *by: str, block: int = BLOCK) -> DataFrame:
+    """NaN replaced by the last value before it, at the start by the first value after.
+
+    A scan of two levels: within blocks of the (integer) order, and the first and last value of every block carried over the
+    others, one row a block.
+    """
     v = F.when(~F.isnan("v"), F.col("v"))
-    w = Window.partitionBy(*by).orderBy(order)
-    before = F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(v, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("v", F.coalesce(before, after, F.col("v")))
+    kept = rows.columns
+    cut = _in_blocks(rows, order, block)
+    inside = Window.partitionBy(*by, "block").orderBy(order)
+    place = F.when(~F.isnan("v"), F.col(order))
+    every = cut.groupBy(*by, "block").agg(F.min_by(v, place).alias("first"), F.max_by(v, place).alias("last"))
+    along = Window.partitionBy(*by).orderBy("block")
+    before = F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    carried = every.select(*by, "block", before.alias("before"), after.alias("after"))
+    near = F.last(v, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    next_one = F.first(v, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    found = join_same(cut.withColumn("near", near).withColumn("next", next_one), carried, (*by, "block"))
+    return found.withColumn("v", F.coalesce("near", "before", "next", "after", "v")).select(kept)
 
 
 def fill_blocks(image: DataFrame, size: int = 4) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.exprs import NAN, finite, only_finite
+from ..functions.exprs import NAN, finite, join_same, only_finite
+from ..scratch import stored
 
+#: Pixels that an aggregate sorts at most, bins of a round of selection, rows of a table that is broadcast.
+BUFFER, BINS, BROADCAST_ROWS = 1 << 18, 1024, 100_000
 BASIC = ("num_pixels", "sum", "sum_sq", "min", "max", "mean", "sigma", "rms")
 
 
@@ -80,22 +84,62 @@ def percentiles(cube: DataFrame, ranks: tuple[float, ...], *by: str) -> DataFram
     return got.select(*by, F.posexplode("p").alias("i", "value")).withColumn("rank", F.element_at(F.array(*[F.lit(r) for r in ranks]), F.col("i") + 1)).drop("i")
 
 
-def exact_percentiles(cube: DataFrame, ranks: tuple[float, ...], *by: str) -> DataFrame:
-    """Exact, interpolated percentiles of the finite pixels, one row per rank."""
-    v = only_finite(F.col("v")).cast("double")
-    got = cube.groupBy(*by).agg(F.percentile(v, list(ranks)).alias("p"))
-    return got.select(*by, F.posexplode("p").alias("i", "value")).withColumn("rank", F.element_at(F.array(*[F.lit(r) for r in ranks]), F.col("i") + 1)).drop("i")
+def exact_percentiles(cube: DataFrame, ranks: tuple[float, ...], *by: str, buffer: int = BUFFER) -> DataFrame:
+    """Exact, interpolated percentiles of the finite pixels, one row per rank; none of a group without any.
 
-
-def mad(cube: DataFrame, *by: str) -> DataFrame:
-    """Median absolute deviation of the finite pixels, scaled to a Gaussian's sigma."""
-    v = cube.where(finite(F.col("v"))).withColumn("d", F.col("v").cast("double"))
-    if by:
-        mid = v.groupBy(*by).agg(F.median("d").alias("mid"))
-        v = v.join(mid, list(by))
-    else:
-        v = v.withColumn("mid", F.lit(v.agg(F.median("d")).first()[0]))
-    return v.groupBy(*by).agg((1.4826 * F.median(F.abs(F.col("d") - F.col("mid")))).alias("mad"))
+    Groups of up to `buffer` pixels are sorted in an aggregate. In larger ones a percentile is selected by its rank: rounds of
+    histograms narrow the interval that holds it until `buffer` pixels or a single value are left, so that buffers are
+    bounded whatever the size of a group.
+    """
+    if not by:
+        return exact_percentiles(cube.select(F.lit(0).alias("all_"), "v"), ranks, "all_", buffer=buffer).drop("all_")
+    pixels = cube.select(*by, only_finite(F.col("v")).cast("double").alias("d"))
+    sizes = stored(pixels.groupBy(*by).agg(F.count("d").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")), "sizes")
+    ranked = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("rank")) for r in ranks])).alias("r")
+    groups = sizes.select("*", ranked).select(*by, "n", "lo", "hi", "r.rank")
+    large = sizes.where(F.col("n") > buffer)
+    n_large = large.count()
+    if not n_large:
+        got = pixels.groupBy(*by).agg(F.percentile("d", list(ranks)).alias("p"))
+        return got.select(*by, F.posexplode("p").alias("i", "value")).withColumn("rank", F.element_at(F.array(*[F.lit(float(r)) for r in ranks]), F.col("i") + 1)).drop("i")
+    place = F.col("rank") * (F.col("n") - 1)
+    ends = groups.where("n > 0").select(*by, "rank", "n", "lo", "hi", F.explode(F.array(F.struct(F.floor(place).alias("k"), (1 - (place - F.floor(place))).alias("share")), F.struct(F.ceil(place).alias("k"), (place - F.floor(place)).alias("share")))).alias("e"))
+    wanted = ends.select(*by, "rank", "lo", "hi", F.col("e.k").cast("long").alias("k"), F.col("e.share").alias("share"), F.col("n").alias("inside")).where("share > 0")
+    selected = _select(pixels.where("d is not null"), wanted.select(*by, "k", "lo", "hi", "inside").distinct(), by, buffer)
+    met = join_same(wanted.select(*by, "rank", "k", "share"), selected, (*by, "k"))
+    return met.groupBy(*by, "rank").agg(F.sum(F.col("share") * F.col("value")).alias("value")).select(*by, "value", "rank")
+
+
+def _select(pixels: DataFrame, targets: DataFrame, by: tuple[str, ...], buffer: int) -> DataFrame:
+    """by, k, value: the pixel of rank k (from 0) of each group, from rows of (by, k, lo, hi, inside): an interval that holds it and its pixels."""
+    state = stored(targets.withColumn("below", F.lit(0).cast("long")), "select")
+    while not state.where((F.col("inside") > buffer) & (F.col("lo") < F.col("hi"))).isEmpty():
+        wide = state.where((F.col("inside") > buffer) & (F.col("lo") < F.col("hi")))
+        within = join_same(pixels, _small(wide), by).where("d between lo and hi")
+        width, at = F.col("hi") / 2.0 - F.col("lo") / 2.0, F.col("d") / 2.0 - F.col("lo") / 2.0  # halves, as the difference may be too large
+        bin_ = F.when(width > 0, F.least(F.floor(at / width * BINS), F.lit(BINS - 1))).otherwise((F.col("d") > F.col("lo")).cast("long"))
+        bins = within.groupBy(*by, "k", "below", bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy(*by, "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("below")
+        narrow = bins.withColumn("before", before).where("before <= k and k < before + c").select(*by, "k", "lo", "hi", F.col("c").alias("inside"), F.col("before").alias("below"))
+        state = stored(narrow.unionByName(state.where((F.col("inside") <= buffer) | (F.col("lo") >= F.col("hi")))), "select")
+    single = state.where("lo = hi").select(*by, "k", F.col("lo").alias("value"))
+    left = join_same(pixels, _small(state.where("lo < hi")), by).where("d between lo and hi")
+    sorted_ = left.groupBy(*by, "k", "below").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+    return single.unionByName(sorted_.select(*by, "k", F.element_at("ds", (F.col("k") - F.col("below") + 1).cast("int")).alias("value")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def mad(cube: DataFrame, *by: str, buffer: int = BUFFER) -> DataFrame:
+    """Median absolute deviation of the finite pixels, scaled to a Gaussian's sigma; both medians as exact_percentiles() finds them."""
+    if not by:
+        return mad(cube.select(F.lit(0).alias("all_"), "v"), "all_", buffer=buffer).drop("all_")
+    v = cube.where(finite(F.col("v"))).select(*by, F.col("v").cast("double").alias("v"))
+    mid = exact_percentiles(v, (0.5,), *by, buffer=buffer).select(*by, F.col("value").alias("mid"))
+    off = join_same(v, _small(stored(mid, "medians")), by).select(*by, F.abs(F.col("v") - F.col("mid")).alias("v"))
+    return exact_percentiles(off, (0.5,), *by, buffer=buffer).select(*by, (1.4826 * F.col("value")).alias("mad"))
 
 
 def noise(cube: DataFrame, bins: int = 100) -> DataFrame:

@@ -264,6 +264,48 @@ def test_encodings(spark):
     assert [filled[0, i] for i in range(4)] == [1, 1, 1, 2] and filled[1, 0] == 3 and math.isnan(filled[2, 0])
 
 
+def test_runs_and_fills_over_blocks(spark):
+    """Scans by blocks of 4 places equal a scan of the whole; gaps in the order, groups of one kind, null groups."""
+    rng = np.random.default_rng(5)
+    groups = {g: [float("nan") if rng.random() < p else float(k) for k in range(n)] for g, p, n in ((0, 0.5, 60), (1, 0.9, 45), (2, 0.0, 9), (3, 1.0, 9), (None, 0.3, 30), (5, 0.05, 100))}
+    data = [(g, 3 * i + (i > 20) * 40, v) for g, vs in groups.items() for i, v in enumerate(vs)]
+    rows = spark.createDataFrame(data, "g int, i int, v double").repartition(3)
+    runs = {(r["g"], r["i"]): r["length"] for r in resample.nan_runs(rows, "i", "g", block=4).collect()}
+    filled = {(r["g"], r["i"]): r["v"] for r in resample.fill_nan(rows, "i", "g", block=4).collect()}
+    want_runs, want = {}, {}
+    for g, vs in groups.items():
+        places = [i for h, i, _ in data if h == g]
+        lengths, kind = [0], False
+        for v in vs:
+            if math.isnan(v) != kind:
+                lengths.append(0)
+                kind = not kind
+            lengths[-1] += 1
+        want_runs |= {(g, k): n for k, n in enumerate(lengths)}
+        last = next((v for v in vs if not math.isnan(v)), math.nan)
+        for i, v in zip(places, vs, strict=True):
+            last = last if math.isnan(v) else v
+            want[g, i] = last
+    assert runs == want_runs
+    assert filled.keys() == want.keys() and all(a == want[k] or math.isnan(a) and math.isnan(want[k]) for k, a in filled.items())
+
+
+def test_percentiles_by_rank_selection(spark):
+    """With buffers of 5 pixels the rounds of histograms give what sorting gives: ties, outliers, single values, tiny groups."""
+    rng = np.random.default_rng(6)
+    groups = {0: rng.standard_normal(300).tolist(), 1: [1.0] * 50 + [2.0] * 51, 2: [3.0], 3: [1e38, -1e38, 0.0, 1e-40, 5.0, 5.0, 7.0], None: rng.integers(0, 9, 200).astype(float).tolist(), 5: [math.nan, math.inf]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v double").repartition(3)
+    ranks = (0.0, 0.1, 0.5, 0.77, 1.0)
+    for buffer in (5, 1000):
+        got = {(r["g"], r["rank"]): r["value"] for r in stats.exact_percentiles(rows, ranks, "g", buffer=buffer).collect()}
+        want = {(g, q): np.quantile(vs, q) for g, vs in groups.items() if g != 5 for q in ranks}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+        mads = {r["g"]: r["mad"] for r in stats.mad(rows, "g", buffer=buffer).collect()}
+        assert mads == {g: pytest.approx(1.4826 * np.median(np.abs(np.array(vs) - np.median(vs)))) for g, vs in groups.items() if g != 5}
+    whole = [v for vs in groups.values() for v in vs if math.isfinite(v)]
+    assert stats.exact_percentiles(rows, (0.3,), buffer=5).first()["value"] == pytest.approx(np.quantile(whole, 0.3))
+
+
 def lines_of(rows):
     """Vertices by line, in order."""
     found = {}
