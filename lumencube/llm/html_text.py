@@ -342,8 +342,10 @@ class Labeller:
         z = fore @ self.p["out"][:HIDDEN] + rear @ self.p["out"][HIDDEN:] + self.p["bias"]
         return [z[:n, k] for k, n in enumerate(lengths)]
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 5) -> None:
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 5, averaged: int = 4) -> None:
+        """Weights are the mean over all steps of the last `averaged` epochs, which depends less on seed and sample than any one step."""
         rng = np.random.default_rng(seed)
+        total, steps = {k: np.zeros(v.shape) for k, v in self.p.items()}, 0
         first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         for epoch in range(epochs):
             order = rng.permutation(len(pages))
@@ -373,6 +375,12 @@ class Labeller:
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - (lr * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                if epoch >= epochs - averaged:
+                    steps += 1
+                    for k, v in self.p.items():
+                        total[k] += v
+        if steps:
+            self.p = {k: (v / steps).astype(np.float32) for k, v in total.items()}
 
 
 # Usual places of an article and of what surrounds it, as open tags; the text goes into the last one.
@@ -426,6 +434,19 @@ def compose(texts: list[str], n: int = COMPOSED, seed: int = 11, lists: tuple =
         at, k = int(rng.integers(len(words))), 1 + int(rng.integers(4))
         return " ".join(words[at : at + k])
 
+    def telling() -> str:
+        """What an article's block may say: a block of the table's, several of them in one, a sentence with other words, or a few words over and over."""
+        if chance(0.06):
+            return " ".join(pick(texts) for _ in range(2 + int(rng.integers(10))))
+        if chance(0.2):  # the words of usual signs are no signs in a sentence
+            signs, words = " ".join(SIGNS).lower().split(), pick(texts).split()
+            return " ".join(pick(signs if chance(0.5) else words) for _ in range(4 + int(rng.integers(14)))).capitalize() + "."
+        if chance(0.1):
+            words = pick(texts).split()
+            at, k = int(rng.integers(len(words))), 1 + int(rng.integers(4)) ** 2
+            return " ".join(words[at : at + k] * (4 + int(rng.integers(12)) ** 2 * 4 // k))
+        return pick(texts)
+
     def made_up() -> str:
         return "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 3 + int(rng.integers(5))))
 
@@ -466,13 +487,14 @@ def compose(texts: list[str], n: int = COMPOSED, seed: int = 11, lists: tuple =
         elif hidden:
             place = within(base, veiled("<div><div>" if chance(0.4) else "<div>"))
         else:
-            place = within(base, "<article>" if chance(0.35) else pick(article))
-        for k in range(1 + int(rng.integers(14)) if chance(0.9) else 30 + int(rng.integers(60))):
-            if chance(0.15):
+            place = within(base, ("<noscript>" if chance(0.06) else "") + ("<article>" if chance(0.35) else pick(article)))
+        blocks_in = 1 + int(rng.integers(14)) if chance(0.9) else 30 + int(rng.integers(60))
+        for k in range(blocks_in):
+            if chance(0.3 if k and k == blocks_in - 1 else 0.15):  # an article may end with a few lines behind an advert
                 some(pick(inside), place, page, labels, hidden)
             opened = "<h1>" if k == 0 and chance(0.7) else "<p>" if bare and chance(0.8) else pick(TEXT)
             at = place.child("div", (made_up() if hidden else pick(NEUTRAL),)) if chance(0.05) else place
-            text = pick(texts) if chance(0.8) else short()
+            text = telling() if chance(0.8) else short()
             if chance(0.2):
                 text = " ".join(pick(texts).split()[: 5 + int(rng.integers(12))]).rstrip(".,;") + "."
             if hidden and not opened.startswith("<h") and len(text) < 30:

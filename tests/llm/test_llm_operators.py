@@ -682,8 +682,8 @@ def test_layouts_without_telling_names():
             got = html_text.extract(model, [layout.format(menu=menu, text="".join(f"<p>{x}</p>" for x in want))])[0]
             hit, out, total = hit + sum(len(x) + 1 for x in want if x in got), out + len(got) + 1, total + sum(map(len, want)) + 5
         print(name, "recall", hit / total, "precision", hit / max(1, out))
-        # a division whose names tell nothing is the hardest: half of it is found on these made-up words, see the README
-        assert hit / total >= (0.4 if name == "unnamed" else 0.9) and hit / out >= 0.9, name
+        # a division whose names tell nothing is the hardest: 0.86 of it is found on these made-up words, see the README
+        assert hit / total >= (0.8 if name == "unnamed" else 0.9) and hit / out >= 0.9, (name, hit / total, hit / out)
 
 
 def test_labeller_gradients_and_held_out_layouts():
@@ -750,6 +750,13 @@ def test_top_k_of_large_components(spark):
     big = [(1, [2.0**40, 1.0]), (2, [2.0**10, 3.0]), (20, [2.0**3, 1.0])]
     got = {(r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()}
     assert got == {(1, 2**46 * 2**9 + 64 * 64), (2, 2**16 * 2**9 + 192 * 64)}
+    rng = random.Random(3)
+    mixed = [(i, [rng.uniform(-2, 2), rng.uniform(-2, 2)]) for i in range(60)] + [(60, [1e8, 0.0]), (61, [0.0, 1e8]), (62, [3e6, -2e5]), (80, [0.5, 1e300 / 2**990])]
+    rows = topk.top_k(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect()
+    whole = {i: [int(math.floor(64 * x)) for x in v] for i, v in mixed}
+    for i in (0, 20, 40, 60, 80):
+        want = sorted((-sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), j) for j in whole if j != i)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == i] == want
     with pytest.raises(Exception, match="too large"):
         topk.top_k(spark.createDataFrame([*big, (3, [1e30, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
 
