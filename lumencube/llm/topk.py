@@ -35,7 +35,7 @@ COVERED = 3.0
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, vec (little-endian int64 of floor(scale * x)), dim; only rows whose components are all finite."""
+    """id, vec (floor(scale * x) as float32 where all components are exact in that, else as float64), dim; only rows whose components are all finite."""
     kind = dict(df.dtypes)[id_col]
 
     def pack(batches):
@@ -47,23 +47,48 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) ->
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not np.isfinite(x).all():
                     continue
-                x = np.floor(x * scale)
-                if np.abs(x).max(initial=0) >= 2.0**62:
-                    raise ValueError(f"a component of {i} is too large for a score that is a long")
+                x = np.floor(x * scale) + 0.0
+                if np.isinf(x).any():
+                    raise ValueError(f"a component of {i} is too large for a double once it is scaled")
                 ids.append(i)
-                out.append(x.astype("<i8").tobytes())
+                out.append(x.astype("<f4" if np.abs(x).max(initial=0) < 2.0**24 else "<f8").tobytes())
                 dims.append(len(x))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], ["id", "vec", "dim"])
 
     return df.select(id_col, vector_col).mapInArrow(pack, f"id {kind}, vec binary, dim int")
 
 
-def exact_form(*matrices: np.ndarray) -> list[np.ndarray]:
-    """The integer matrices as doubles where all inner products between them are exact in doubles, else as they are."""
-    most = matrices[0].shape[1] * float(np.prod([max(1.0, float(np.abs(m.astype(np.float64)).max(initial=1))) for m in matrices]))
-    if most >= 2.0**63:
-        raise ValueError("scores may be too large for a long")
-    return [m.astype(np.float64) if most < 2.0**53 else m for m in matrices]
+def matrix(vecs: list[bytes], dim: int) -> np.ndarray:
+    """Packed vectors as rows of doubles."""
+    if all(len(v) == 4 * dim for v in vecs):
+        return np.frombuffer(b"".join(vecs), "<f4").reshape(len(vecs), dim).astype(np.float64)
+    return np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8").astype(np.float64) for v in vecs])
+
+
+def largest(m: np.ndarray) -> np.ndarray:
+    return np.abs(m).max(axis=1, initial=0)
+
+
+def plain(m: np.ndarray) -> np.ndarray:
+    """Rows whose inner products with each other are exact in doubles, whatever the order of the sum."""
+    return largest(m) <= np.floor(np.sqrt(2.0**53 / max(1, m.shape[1])))
+
+
+def exact_scores(queries: np.ndarray, vectors: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+    """All inner products as int64: by doubles or int64 where their bound lets them, else by integers of any size. Only a score that does not fit, and is not of a skipped pair, is an error."""
+    if not (len(queries) and len(vectors)):
+        return np.zeros((len(queries), len(vectors)), np.int64)
+    bound = queries.shape[1] * max(1.0, largest(queries).max()) * max(1.0, largest(vectors).max())
+    if bound < 2.0**53:
+        return (queries @ vectors.T).astype(np.int64)
+    if bound < 2.0**62:
+        return queries.astype(np.int64) @ vectors.astype(np.int64).T
+    whole = lambda m: np.array([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape)
+    scores = whole(queries) @ whole(vectors).T
+    scores[skipped] = 0
+    if not (-(2**63) <= min(scores.flat) and max(scores.flat) < 2**63):
+        raise ValueError("a score is too large for a long")
+    return scores.astype(np.int64)
 
 
 class Lists:
@@ -106,20 +131,16 @@ class Lists:
         whole = np.flatnonzero(depth >= n)
         for lo in range(0, len(whole), ROWS):
             i = whole[lo : lo + ROWS]
-            score = (queries[i] @ self.vectors.T).astype(np.float64 if self.vectors.dtype == np.float64 else np.int64)
-            score[self.ids[None, :] == own[i][:, None]] = least(score.dtype)
+            score = queries[i] @ self.vectors.T
+            score[self.ids[None, :] == own[i][:, None]] = -np.inf
             scored += score.size
             if n >= k:
                 known[i] = np.maximum(known[i], np.partition(score, n - k, axis=1)[:, n - k])
-            row, at = np.nonzero((score >= known[i][:, None]) & (score > least(score.dtype)))
+            row, at = np.nonzero((score >= known[i][:, None]) & (score > -np.inf))
             found.append((i[row], at, score[row, at]))
         return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3, known, scored
 
 
-def least(kind) -> float | int:
-    return -np.inf if kind == np.float64 else np.iinfo(np.int64).min
-
-
 def cut(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
     """The k best of each query, ties to the smaller id."""
     order = np.lexsort((ids, -score, query))
@@ -130,14 +151,36 @@ def cut(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
 
 
 def search(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int, sample: tuple[np.ndarray, np.ndarray] | None = None):
-    """(query number, id, score) of the k best of each query, and the number of candidates scored for them."""
-    queries, vectors = exact_form(queries, vectors)
-    known = np.full(len(queries), least(vectors.dtype))
-    if sample is not None and len(sample[0]) > k and vectors.dtype == np.float64:
-        some = exact_form(sample[1], queries.astype(np.int64))[0]
-        for lo in range(0, len(queries), ROWS):
+    """(query number, id, score) of the k best of each query, and the number of candidates scored for them.
+
+    Rows of integers as doubles. Plain rows go through the threshold algorithm in doubles; pairs with a large component on
+    either side are scored one by one in exact integers.
+    """
+    vectors, queries = vectors.astype(np.float64), queries.astype(np.float64)
+    simple, asking = plain(vectors), plain(queries)
+    number = np.flatnonzero(asking)
+    (query, found, score), scored = _search(ids[simple], vectors[simple], own[asking], queries[asking], k, sample)
+    best = number[query], found, score.astype(np.int64)
+    for of, rows in ((np.ones(len(queries), bool), ~simple), (~asking, simple)):
+        number = np.flatnonzero(of)
+        for lo in range(0, len(number) if rows.any() else 0, ROWS):
+            i = number[lo : lo + ROWS]
+            same = ids[rows][None, :] == own[i][:, None]
+            score = exact_scores(queries[i], vectors[rows], same)
+            row, at = np.nonzero(~same)
+            scored += score.size
+            best = cut(*[np.concatenate(c) for c in zip(best, (i[row], ids[rows][at], score[row, at]), strict=True)], k)
+    return best, scored
+
+
+def _search(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int, sample: tuple[np.ndarray, np.ndarray] | None):
+    known = np.full(len(queries), -np.inf)
+    if sample is not None:
+        few = plain(sample[1])
+        near, some = sample[0][few], sample[1][few]
+        for lo in range(0, len(queries) if len(near) > k else 0, ROWS):
             score = queries[lo : lo + ROWS] @ some.T
-            score[sample[0][None, :] == own[lo : lo + ROWS, None]] = -np.inf
+            score[near[None, :] == own[lo : lo + ROWS, None]] = -np.inf
             known[lo : lo + ROWS] = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
     best, scored = [np.zeros(0, np.int64)] * 3, 0
     for lo in range(0, len(ids), BLOCK):
@@ -159,7 +202,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     vectors are compared with those of the same length only. Ties go to the smaller id; rows with the query's own id
     are never its results. A row repeated as a query is asked once, and as a candidate counts each time; one id with
     several vectors asks for each. With fewer candidates than k, all are returned; an empty table gives an empty result.
-    Other columns are ignored. Components so large that a score might not fit a long raise an error.
+    Other columns are ignored. Scores are exact whatever the components; only a score that does not fit a long is an error.
     """
     kind = dict(df.dtypes)[id_col]
     spark = df.sparkSession
@@ -170,7 +213,6 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     groups = max(1, -(-df.where(is_query).count() // QUERIES))
     candidates = found.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = wanted.withColumn("part", F.pmod(F.xxhash64("vec", "id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    matrix = lambda vecs, dim: np.frombuffer(b"".join(vecs), "<i8").reshape(len(vecs), dim)
     by_dim: dict[int, tuple] = {}
     some = found.orderBy(F.xxhash64("id", "vec", F.lit(5))).limit(SAMPLE).collect()  # at most SAMPLE rows
     for dim in {r["dim"] for r in some}:
