@@ -414,13 +414,14 @@ def beams(path: str) -> list[tuple[float, float, float]]:
     for u in units:
         if str(u.header.get("EXTNAME", "")).strip() == "BEAMS":
             layout = {n: (letter, at) for n, letter, _, at, _ in table_layout(u.header)[0]}
-            factor = {i: 1 / 3600 if str(u.header.get(f"TUNIT{i}", "arcsec")).strip() == "arcsec" else 1.0 for i in range(1, u.header["TFIELDS"] + 1)}
+            unit = {str(u.header.get(f"TTYPE{i}", "")).strip(): str(u.header.get(f"TUNIT{i}", "arcsec")).strip() for i in range(1, u.header["TFIELDS"] + 1)}
+            factor = lambda n: 1 / 3600 if unit[n] == "arcsec" else 1.0  # noqa: E731, B023
             width, rows = u.header["NAXIS1"], u.header["NAXIS2"]
             with _open(path) as f:
                 f.seek(u.data_at)
                 raw = np.frombuffer(f.read(width * rows), np.uint8).reshape(rows, width)
             cell = lambda n: np.ascontiguousarray(raw[:, layout[n][1] : layout[n][1] + np.dtype(COLUMNS[layout[n][0]][0]).itemsize]).view(COLUMNS[layout[n][0]][0])[:, 0]  # noqa: E731, B023
-            return [(float(a) * factor[1], float(b) * factor[2], float(c)) for a, b, c in zip(cell("BMAJ"), cell("BMIN"), cell("BPA"), strict=True)]
+            return [(float(a) * factor("BMAJ"), float(b) * factor("BMIN"), float(c)) for a, b, c in zip(cell("BMAJ"), cell("BMIN"), cell("BPA"), strict=True)]
     number = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
     for u in units:
         for line in reversed(u.history):
