@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule; DataFrame functions only.
 
-Slot j of the mix gets the point frac((j + 1/2) / golden ratio); the source whose stretch of the cumulative targets
-holds that point fills the slot, and slots are ranked per source. A source's documents, in the order of a hash, form one
-stream of words that is read as often as its target asks, to the word. What is read is cut into as many blocks of equal
-length as the source has slots: the slot of rank r holds block r. Targets and slots are in proportion, so blocks are of
-about one length in all sources; a source too small to be hit gets one slot behind the others. Nothing here needs a
-source in one task: ranks and stream offsets are running totals over slices of the hash order.
+A source's documents, in the order of a hash, form one stream of words that is read as often as its target asks, to the
+word. The stream is cut at every `block` words into blocks, wherever in a document that falls; only the block at a
+stream's end may be shorter. Slot j of the mix gets the point frac((j + 1/2) / golden ratio); the source whose stretch
+of the cumulative weights (its share of all blocks) holds that point fills the slot. Slots are ranked per source, a
+source's blocks are shuffled, and the slot of rank r holds the r-th of the shuffled blocks. A source gets as many slots
+as it has blocks: points beyond that stay unused, and the few that the sequence lacks come behind the others. What is
+taken of a document is the sum of its words in the joined blocks. Nothing here needs a source in one task: ranks,
+shuffled blocks and stream offsets are running totals over slices of a hash order.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import running_total, stored
+from .common import free_name, running_total, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
 #: Words of a block: at most BLOCK, fewer in small mixes so that these have SLOTS slots.
-BLOCK, SLOTS = 64, 1 << 16
+BLOCK, SLOTS = 512, 1 << 10
 #: Up to so many sources, the table of sources is broadcast (some 100 bytes each).
 BROADCAST_SOURCES = 50_000
 #: Rows of a source that one task puts in order.
@@ -53,31 +55,34 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), ceiling: int = 3) -> Dat
 
 
 def _schedule(spark, targets: DataFrame, slots: int, n_sources: int) -> DataFrame:
-    """slot, number (the source's), rank (per source): what fills the mix, in order."""
+    """slot, number (the source's), rank (per source), block: what fills the mix, in order. targets: number, blocks (how many), ..."""
     cells = max(1024, 4 * n_sources)
-    total = F.sum("target").over(Window.partitionBy())
+    used = targets.where("blocks > 0").select("number", "blocks")
     upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("target") > 0, F.col("number"))).over(Window.partitionBy())
-    shares = (
-        targets.withColumn("high", F.sum("target").over(upto) / total)
-        .withColumn("last", last)
-        .where("target > 0")
-        .withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("number")), F.lit(0.0)))
-        .withColumn("high", F.when(F.col("number") == F.col("last"), F.lit(2.0)).otherwise(F.col("high")))
-    )
+    high = F.sum("blocks").over(upto)
+    shares = used.withColumn("low", (high - F.col("blocks")) / slots).withColumn("high", F.when(high == slots, F.lit(2.0)).otherwise(high / slots))
     cell = lambda c: F.least(F.floor(c * cells), F.lit(cells - 1))
-    pieces = shares.select("number", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    stretches = shares.select("number", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
     turn = (F.col("id") + 0.5) * GOLDEN
     points = spark.range(slots).select(F.col("id").alias("slot"), (turn - F.floor(turn)).alias("point")).withColumn("cell", cell(F.col("point")))
-    filled = points.join(pieces, "cell").where("low <= point and point < high").select("slot", "number")
-    missed = targets.where("goal > 0").select("number").join(filled.select("number").distinct(), "number", "left_anti")
-    filled = filled.unionByName(missed.select((F.col("number") + slots).cast("long").alias("slot"), "number"))
-    return running_total(filled, ["number"], [], F.col("slot") * (2**62 // max(1, slots + n_sources)), F.lit(1), slots, "rank", SLICE)
+    filled = points.join(stretches, "cell").where("low <= point and point < high").select("slot", "number", "blocks")
+    ranked = stored(running_total(filled, ["number"], [], F.col("slot") * (2**62 // max(1, slots)), F.lit(1), slots, "rank", SLICE), "slots")
+    got = used.join(ranked.groupBy("number").agg(F.count("*").alias("got")), "number", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    rest = got.where("got < blocks").select("number", "got", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("rank"))
+    behind = rest.select((slots + (F.col("rank") - F.col("got")) * n_sources + F.col("number")).cast("long").alias("slot"), "number", "rank")
+    fitting = ranked.where("rank < blocks").select("slot", "number", "rank").unionByName(behind)
+    return running_total(fitting, ["number"], [F.col("rank")], stream_order(F.col("rank")) * 4, F.lit(1), slots, "block", SLICE)
 
 
-def stream_order(id_col: Column) -> Column:
-    """A long in [0, 2**60) by which a source's documents are put in order."""
-    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def stream_order(key: Column) -> Column:
+    """A long in [0, 2**60) by which a source's documents, or its blocks, are put in order."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of whole rows: rows of the same keys are equal in every column that can be hashed (all but maps)."""
+    fields = [F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(F.lit(k), *fields) for k in (1, 2)]
 
 
 class Mix:
@@ -85,39 +90,44 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
         spark = docs.sparkSession
-        key = [F.xxhash64(F.lit(k), id_col, text_col).alias(c) for k, c in ((1, "p"), (2, "q"))]
-        sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *key), "sizes")
-        self.targets = stored(source_targets(sizes, weights, ceiling), "targets")
-        got = self.targets.agg(F.sum("source_size"), F.count("*")).first()
-        words, n_sources = int(got[0] or 0), got[1]
-        self.slots = -(-words // max(1, min(BLOCK, words // SLOTS)))
+        p, q = _row_keys(docs)
+        sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), p.alias("p"), q.alias("q")), "sizes")
+        targets = source_targets(sizes, weights, ceiling)
+        words = int(sizes.agg(F.sum("size")).first()[0] or 0)
+        #: Words of every block but the last of a source.
+        self.block = max(1, min(BLOCK, words // SLOTS))
+        self.targets = stored(targets.withColumn("blocks", F.ceil(F.col("goal") / self.block).cast("long")), "targets")
+        got = self.targets.agg(F.sum("blocks"), F.count("*")).first()
+        self.slots, n_sources = int(got[0] or 0), got[1]
         self.schedule = stored(_schedule(spark, self.targets, self.slots, n_sources), "schedule")
         small = F.broadcast(self.targets) if n_sources <= BROADCAST_SOURCES else self.targets
-        known = sizes.join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight")
+        known = sizes.join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight", "blocks")
         self.empty = known.where("size = 0")
         rows = known.where("size > 0").withColumn("order", stream_order(F.col("id")))
         self.documents = running_total(rows, ["number"], [F.col("id"), F.col("size"), F.col("p"), F.col("q")], F.col("order") * 4, F.col("size"), sizes.count(), "start", SLICE)
 
     @property
     def pieces(self) -> DataFrame:
-        """The columns of documents, with slot and words for each time that the schedule takes the document, and no slot for one that it leaves out.
+        """The columns of documents, with block, slot, skip and words: the part of a document in a block, and the slot that holds it.
 
-        A document is read whole each time, but for the one at which a source reaches its goal.
+        The part has `words` words behind the first `skip` ones. Documents that are not read have one row without a block.
         """
-        share = self.schedule.groupBy("number").agg(F.count("*").alias("n_slots"))
-        passes = F.sequence(F.lit(0), F.greatest(F.ceil((F.col("goal") - F.col("start")) / F.col("source_size")).cast("int") - 1, F.lit(0)))
-        first = F.col("pass") * F.col("source_size") + F.col("start")
-        read = self.documents.join(share, "number", "left").withColumn("pass", F.explode(passes)).withColumn("first", first)
-        read = read.withColumn("words", F.greatest(F.least(F.col("size"), F.col("goal") - F.col("first")), F.lit(0)))
-        block = F.least(F.floor(F.col("first").cast("double") / F.col("goal") * F.col("n_slots")), F.col("n_slots") - 1)
-        read = read.withColumn("rank", F.when(F.col("words") > 0, block).cast("long"))
-        return read.join(self.schedule, ["number", "rank"], "left")
+        each = F.lit(self.block)
+        last = F.ceil((F.col("goal") - F.col("start")) / F.col("source_size")).cast("long") - 1
+        passes = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last))
+        read = self.documents.withColumn("pass", F.explode_outer(passes)).withColumn("first", F.col("pass") * F.col("source_size") + F.col("start"))
+        read = read.withColumn("end", F.least(F.col("first") + F.col("size"), F.col("goal")))
+        read = read.withColumn("block", F.explode_outer(F.sequence(F.expr(f"first div {self.block}"), F.expr(f"(end - 1) div {self.block}"))))
+        begins, ends = F.greatest(F.col("block") * each, F.col("first")), F.least((F.col("block") + 1) * each, F.col("end"))
+        read = read.withColumn("skip", begins - F.col("first")).withColumn("words", ends - begins).drop("end")
+        return read.join(self.schedule.select("number", "block", "slot"), ["number", "block"], "left")
 
     @property
     def taken(self) -> DataFrame:
-        """id, source, size, source_size, target, taken, first_slot: the words the mix takes of each document, repeats counted."""
+        """id, source, size, source_size, target, taken, first_slot: the words of each document in the blocks that slots hold."""
         keys = ["id", "source", "size", "source_size", "target"]
-        taken = self.pieces.groupBy(*keys, "number", "start").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot")).drop("number", "start")
+        words = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long")
+        taken = self.pieces.groupBy(*keys, "number", "start").agg(words.alias("taken"), F.min("slot").alias("first_slot")).drop("number", "start")
         return taken.unionByName(self.empty.select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot")))
 
 
@@ -133,15 +143,25 @@ def mix(docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc
 
 
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), ceiling: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time that the schedule takes a document, in the order of its slots.
+    """The mix itself, block by block in the order of its slots, with the columns of docs: a row for each part of a document in a block.
 
-    A document comes whole and unchanged, but for the one at which its source reaches its target: there, its first words,
-    joined by one space. Rows repeated with one id and text stand for each other, whatever their other columns hold. Null
-    and empty texts are left out. Partitions hold stretches of the schedule, each in its order.
+    The text of a row is the part as it stands, from its first word to the next part's first word, with all white space;
+    the first part starts where the text does. So a document that lies in one block comes unchanged, and the parts of one
+    that was read whole make it up again. Rows of two sources stay apart whatever else they share; rows repeated with equal
+    columns stand for each other. Null and empty texts are left out; an empty table gives an empty result. Parts of a very
+    long text are cut from one list of its words. Columns may have any names. Partitions hold stretches of the schedule.
     """
-    pieces = Mix(docs, weights, ceiling, id_col, text_col, source_col).pieces.where("words > 0").select(F.col("p").alias("__p"), F.col("q").alias("__q"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("slot").alias("__slot"))
-    rows = docs.select(F.xxhash64(F.lit(1), id_col, text_col).alias("__p"), F.xxhash64(F.lit(2), id_col, text_col).alias("__q"), F.struct(*docs.columns).alias("__row")).groupBy("__p", "__q").agg(F.first("__row").alias("__row"))
-    words = F.regexp_extract_all(F.col(f"__row.{text_col}"), F.lit(f"({WORD})"), F.lit(1))
-    text = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), " ")).otherwise(F.col(f"__row.{text_col}"))
-    found = pieces.join(rows, ["__p", "__q"]).select("__slot", *[text.alias(c) if c == text_col else F.col(f"__row.{c}").alias(c) for c in docs.columns])
-    return found.repartitionByRange("__slot").sortWithinPartitions("__slot").drop("__slot")
+    slot, skip, p, q, row, parts = (free_name(docs, f"mix_{c}") for c in ("slot", "skip", "p", "q", "row", "parts"))
+    part = F.struct(F.col("slot"), F.col("skip").cast("int").alias("skip"), F.col("words").cast("int").alias("words"))
+    read = Mix(docs, weights, ceiling, id_col, text_col, source_col).pieces.where("slot is not null")
+    read = read.groupBy("number", "start", F.col("p").alias(p), F.col("q").alias(q)).agg(F.collect_list(part).alias(parts)).drop("number", "start")
+    one, two = _row_keys(docs)
+    rows = docs.select(one.alias(p), two.alias(q), F.struct(*docs.columns).alias(row)).groupBy(p, q).agg(F.first(row).alias(row))
+    text = F.col(row)[text_col]
+    words = F.regexp_extract_all(text, F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
+    lead = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
+    cut = lambda of: F.transform(parts, lambda x: F.struct(x["slot"].alias("slot"), x["skip"].alias("skip"), F.concat(F.when(x["skip"] == 0, lead).otherwise(""), F.array_join(F.slice(of, x["skip"] + 1, x["words"]), "")).alias("text")))
+    listed = read.join(rows, [p, q]).withColumn(q, words)
+    found = listed.select(row, F.explode(cut(F.col(q))).alias(parts))
+    found = found.select(F.col(parts)["slot"].alias(slot), F.col(parts)["skip"].alias(skip), *[(F.col(parts)["text"] if c == text_col else F.col(row)[c]).alias(c) for c in docs.columns])
+    return found.repartitionByRange(slot).sortWithinPartitions(slot, id_col, skip).drop(slot, skip)

@@ -307,25 +307,73 @@ def test_mixing_gives_small_sources_their_targets(spark):
     texts = {i: t.split() for i, t, _ in rows}
     got = Counter()
     for r in mixing.mixed_documents(docs).collect():
-        words = r["text"].split()
-        assert words == texts[r["doc_id"]][: len(words)]
+        words, whole = r["text"].split(), texts[r["doc_id"]]
+        assert whole.index(words[0]) + len(words) <= len(whole) and words == whole[whole.index(words[0]) :][: len(words)]
         got[r["source"]] += len(words)
     assert got == taken
 
 
 def test_the_mix_follows_its_schedule(spark):
-    """Brute force: the words of a source in stream order, cut into its slots' blocks; a document stands at its first word's slot."""
-    rows = [(i, "w " * (5 + i % 11), "abc"[i % 3] if i % 10 else "z") for i in range(300)]
+    """Brute force: the words of a source in stream order, cut at every `block` words; slots hold shuffled blocks of equal length."""
+    rows = [(i, " " * (i % 2) + "".join(f"w{i}.{j}" + " \t\n"[j % 3] for j in range(5 + i % 11)), "abc"[i % 3] if i % 10 else "z") for i in range(300)]
     m = mixing.Mix(make(spark, rows))
-    slots, goals = defaultdict(dict), {r["number"]: (r["goal"], r["source"]) for r in m.targets.collect()}
+    targets = {r["number"]: r for r in m.targets.collect()}
+    texts = {i: t for i, t, _ in rows}
+    streams = defaultdict(list)
+    for r in sorted(m.documents.collect(), key=lambda r: r["start"]):
+        assert r["start"] == len(streams[r["number"]])
+        streams[r["number"]] += texts[r["id"]].split()
+    held = {}
     for r in m.schedule.collect():
-        slots[r["number"]][r["rank"]] = r["slot"]
-    seen = Counter()
-    for r in m.pieces.where("words > 0").collect():
-        goal = goals[r["number"]][0]
-        assert r["slot"] == slots[r["number"]][min(len(slots[r["number"]]) - 1, int(r["first"] / goal * len(slots[r["number"]])))]
-        seen[r["number"]] += r["words"]
-    assert seen == {n: g for n, (g, _) in goals.items()}
+        assert r["slot"] not in held
+        t = targets[r["number"]]
+        read = (streams[r["number"]] * 3)[: t["goal"]]
+        held[r["slot"]] = read[r["block"] * m.block : (r["block"] + 1) * m.block]
+    for n, t in targets.items():
+        mine = [r for r in m.schedule.collect() if r["number"] == n]
+        assert sorted(r["rank"] for r in mine) == sorted(r["block"] for r in mine) == list(range(t["blocks"]))
+        assert t["blocks"] < 9 or [r["block"] for r in sorted(mine, key=lambda r: r["rank"])] != list(range(t["blocks"]))
+    lengths = Counter(map(len, held.values()))
+    assert sum(k != m.block for k in lengths.elements()) <= len(targets)
+    got = defaultdict(list)
+    for r in m.pieces.where("slot is not null").collect():
+        got[r["slot"]].append((r["block"] * m.block if r["first"] + r["skip"] < r["block"] * m.block else r["first"] + r["skip"], texts[r["id"]].split()[r["skip"] : r["skip"] + r["words"]]))
+    assert {k: sum((w for _, w in sorted(v)), []) for k, v in got.items()} == held
+    mixed = [r["text"].split() for r in mixing.mixed_documents(make(spark, rows)).collect()]
+    assert Counter(sum(mixed, [])) == Counter(sum(held.values(), []))
+
+
+def test_an_empty_schedule_takes_nothing(spark):
+    m = mixing.Mix(make(spark, [(i, "w " * 9, "ab"[i % 2]) for i in range(20)]))
+    m.schedule = m.schedule.limit(0)
+    assert {(r["taken"], r["first_slot"]) for r in m.taken.collect()} == {(0, None)}
+
+
+def test_parts_of_documents_make_up_their_texts(spark):
+    long = "  head\r\n" + " \x0b".join(f"t{j}\u00a0x" for j in range(5000)) + "\t\t"
+    docs = make(spark, [(1, long, "a"), (2, "one  two\n", "a"), (3, " \n", "a")]).withColumns({"mix_slot": F.lit(7), "mix_parts": F.lit("kept"), "size": F.lit(None).cast("int")})
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    rows = [r.asDict() for r in out.collect()]
+    assert {(r["mix_slot"], r["mix_parts"], r["size"]) for r in rows} == {(7, "kept", None)}
+    assert "".join(r["text"] for r in rows if r["doc_id"] == 2) == "one  two\n" and not any(r["doc_id"] == 3 for r in rows)
+    parts = {r["text"].split(" \x0b")[0]: r["text"] for r in rows if r["doc_id"] == 1}
+    rebuilt, left = "", long
+    while left:
+        (part,) = [t for t in parts.values() if left.startswith(t)]
+        rebuilt, left = rebuilt + part, left[len(part) :]
+    assert rebuilt == long and len(parts) > 50
+
+
+def test_mix_keeps_rows_of_two_sources_apart(spark):
+    docs = make(spark, [(1, "a b c", "a"), (1, "a b c", "b"), (2, "d e f", "a")])
+    taken = Counter({r["source"]: 0 for r in docs.collect()})
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] += r["taken"]
+    got = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert got == taken and got["b"] > 0
 
 
 def test_schedule_is_spread_evenly(spark):
