@@ -7,13 +7,14 @@ each distinct text once, and joins the findings back to all paths that hold the
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_groups, stored
+from .common import join_groups, shared_dir, stored
 
 
 @dataclass(frozen=True)
@@ -72,22 +73,42 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows for rows of (blob, text): one per blob with rule versions that the ledger lacks for it.
+    """New ledger rows for rows of (blob, pick, text): one per blob with rule versions that the ledger lacks for it.
 
-    Identical texts are combined before the shuffle, so a text held by many paths moves and is scanned once.
+    pick: a long that tells the copies of a blob apart, such as a hash of their path; without that column all are alike.
+    Hashes alone decide which copy of a blob is scanned, that of least pick. Texts are dealt by blob and pick, so copies
+    of one blob never meet in a task; rows of equal blob and pick are combined before they move.
     """
+    if "pick" not in versions.columns:
+        versions = versions.withColumn("pick", F.lit(0).cast("long"))
     keys = F.array(*[F.lit(r.key) for r in rules])
+    chosen = versions.groupBy("blob").agg(F.min("pick").alias("pick"))
     if ledger is None:
-        todo = versions.groupBy("blob").agg(F.first("text").alias("text")).withColumn("rules", keys)
+        todo = chosen.withColumn("rules", keys)
     else:
         seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        lacking = versions.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules"))
-        lacking = stored(lacking.where(F.size("rules") > 0), "unseen")
-        todo = versions.join(lacking, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text")).join(lacking, "blob")
-    todo = todo.withColumn("text", F.coalesce("text", F.lit("")))
-    scanned = lacking if ledger is not None else versions.select("blob").distinct().withColumn("rules", keys)
-    found = scan(todo, rules)
-    return scanned.join(found, "blob", "left").select("blob", "rules", F.coalesce("spans", F.array().cast("array<struct<rule: string, start: int, end: int>>")).alias("spans"))
+        todo = chosen.join(seen, "blob", "left").select("blob", "pick", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+    todo = stored(todo, "unseen")
+    texts = versions.groupBy("blob", "pick").agg(F.coalesce(F.first("text"), F.lit("")).alias("text"))
+    found = scan(texts.join(todo, ["blob", "pick"]).select("blob", "text", "rules"), rules)
+    return todo.join(found, "blob", "left").select("blob", "rules", F.coalesce("spans", F.array().cast("array<struct<rule: string, start: int, end: int>>")).alias("spans"))
+
+
+def _run(versions: DataFrame, path_col: str, text_col: str, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings, new ledger rows, whole ledger."""
+    blob = blob_id(F.col(text_col)).alias("blob")
+    paths = stored(versions.select(F.col(path_col).alias("path"), blob), "paths")
+    texts = versions.select(blob, F.xxhash64(path_col).alias("pick"), F.col(text_col).alias("text"))
+    new = stored(update_ledger(texts, ledger, rules), "ledger")
+    whole = new if ledger is None else ledger.unionByName(new)
+    number = F.array_position(F.array(*[F.lit(r.key) for r in rules]), F.col("span.rule")).cast("int") - 1
+    span = F.struct(F.col("span.start").alias("start"), number.alias("kind"), F.col("span.end").alias("end"))
+    # A ledger that two writers filled at once may hold a blob's spans twice.
+    spans = whole.select("blob", F.explode("spans").alias("span")).where(number >= 0).groupBy("blob").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    blobs = paths.groupBy("blob").agg(F.count("*").alias("n_paths")).join(spans, "blob", "left")
+    none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
+    found = join_groups(paths, blobs, "blob", F.col("n_paths"), paths.count()).select(F.col("path").alias(path_col), "blob", F.coalesce("spans", none).alias("spans"))
+    return found, new, whole
 
 
 def find_secrets(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -96,21 +117,27 @@ def find_secrets(versions: DataFrame, path_col: str = "doc_id", text_col: str =
     findings: path, blob, spans (array of kind number in `rules`, start, end; by start, then kind; code points, end
     exclusive). Null text counts as empty. Repeated rows each get their row; other columns are ignored. Whole texts are
     scanned, however long. Empty tables give empty results. The ledger may be None (nothing scanned yet) or what an earlier
-    call returned, for the same rules or others: write it to a table to keep it between runs.
+    call returned, for the same rules or others; `scan_into` keeps it in a table.
     """
-    paths = stored(versions.select(F.col(path_col).alias("path"), blob_id(F.col(text_col)).alias("blob")), "paths")
-    texts = versions.select(blob_id(F.col(text_col)).alias("blob"), F.col(text_col).alias("text"))
-    new = stored(update_ledger(texts, ledger, rules), "ledger")
-    whole = new if ledger is None else ledger.unionByName(new)
-    number = F.array_position(F.array(*[F.lit(r.key) for r in rules]), F.col("span.rule")).cast("int") - 1
-    span = F.struct(F.col("span.start").alias("start"), number.alias("kind"), F.col("span.end").alias("end"))
-    spans = whole.select("blob", F.explode("spans").alias("span")).where(number >= 0).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    blobs = paths.groupBy("blob").agg(F.count("*").alias("n_paths")).join(spans, "blob", "left")
-    none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
-    found = join_groups(paths, blobs, "blob", F.col("n_paths"), paths.count()).select(F.col("path").alias(path_col), "blob", F.coalesce("spans", none).alias("spans"))
+    found, _, whole = _run(versions, path_col, text_col, ledger, rules)
     return found, whole
 
 
+def scan_into(ledger_path: str, versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of find_secrets, with the ledger taken from and left in the Parquet table at `ledger_path`.
+
+    The table is made by the first run and appended to by later ones, only with what they scanned themselves; a run that
+    failed before it appended is simply run again. Any folder of a Hadoop file system that all executors share will do.
+    """
+    spark = versions.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    ledger = stored(spark.read.schema(LEDGER).parquet(ledger_path), "before") if known else None
+    found, new, _ = _run(versions, path_col, text_col, ledger, rules)
+    new.write.mode("append").parquet(ledger_path)
+    return found
+
+
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
@@ -120,10 +147,11 @@ def secret_digests(versions: DataFrame, path_col: str = "doc_id", text_col: str
     """Counts of the base kinds, a hash of their spans, and all spans as text, for every row.
 
     Runs twice, as a scanner of a growing repository does: about half of the paths (by a hash) are taken as its earlier
-    state and fill the ledger; the run over all rows then scans the blobs that the ledger lacks and finds the others in it.
+    state and fill a ledger of this call; the run over all rows then scans the blobs that the ledger lacks and finds the others in it.
     """
-    _, ledger = find_secrets(versions.where(F.xxhash64(path_col) < 0), path_col, text_col)
-    found, _ = find_secrets(versions, path_col, text_col, stored(ledger, "ledger"))
+    ledger_path = f"{shared_dir(versions.sparkSession)}/stored/secrets-{uuid.uuid4().hex}"
+    scan_into(ledger_path, versions.where(F.xxhash64(path_col) < 0), path_col, text_col)
+    found = scan_into(ledger_path, versions, path_col, text_col)
     count = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return found.select(path_col, *[count(n).alias(f"n_{r.kind}") for n, r in enumerate(BASE)], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))

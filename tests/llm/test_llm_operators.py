@@ -589,6 +589,21 @@ def test_secrets(spark):
     assert secrets.secret_digests(df.limit(0)).count() == 0
 
 
+def test_ledger_in_a_table(spark, tmp_path):
+    """Runs take the ledger from a folder and leave it there; of the copies of a blob one is scanned, whatever its path."""
+    where = str(tmp_path / "ledger")
+    blobs = lambda: [r["blob"] for r in spark.read.schema(secrets.LEDGER).parquet(where).collect()]
+    assert secrets.scan_into(where, spark.createDataFrame([], "doc_id long, text string")).count() == 0 and blobs() == []
+    rows = [*SECRETS[2:8], *[(100 + i, SECRETS[4][1]) for i in range(20)], (None, SECRETS[4][1]), (None, SECRETS[4][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {t for _, t in rows}
+    for more in (df.limit(3), df, df):
+        found = secrets.scan_into(where, more)
+        got = [[(s["start"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] < 3] for r in found.collect()]
+        assert sorted(got) == sorted(brute_secrets(t) for t in (r["text"] for r in more.collect()))
+    assert len(blobs()) == len(set(blobs())) == len(texts)
+
+
 def test_ledger_scans_only_what_it_lacks(spark):
     df = spark.createDataFrame(SECRETS[2:8], "doc_id long, text string")
     first, ledger = secrets.find_secrets(df)
