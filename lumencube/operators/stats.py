@@ -14,7 +14,8 @@ BUFFER, BINS, BROADCAST_ROWS = 1 << 18, 1024, 100_000
 BASIC = ("num_pixels", "sum", "sum_sq", "min", "max", "mean", "sigma", "rms")
 
 
-def _partials() -> list[Column]:
+def partials() -> list[Column]:
+    """The aggregates of finite pixels from which all basic statistics follow, and which merge."""
     v = only_finite(F.col("v"))
     d = v.cast("double")
     return [F.count(v).alias("num_pixels"), F.sum(d).alias("sum"), F.sum(d * d).alias("sum_sq"), F.min(v).alias("min"), F.max(v).alias("max")]
@@ -40,12 +41,12 @@ def derived(df: DataFrame) -> DataFrame:
 
 def basic_stats(cube: DataFrame, *by: str) -> DataFrame:
     """The eight basic statistics over finite pixels, per group."""
-    return derived(cube.groupBy(*by).agg(*_partials()))
+    return derived(cube.groupBy(*by).agg(*partials()))
 
 
 def partial_stats(cube: DataFrame, *by: str) -> DataFrame:
     """Mergeable partial aggregates, to be kept in a table and merged later."""
-    return cube.groupBy(*by).agg(*_partials())
+    return cube.groupBy(*by).agg(*partials())
 
 
 def merge_stats(partials: DataFrame, *by: str) -> DataFrame:
