@@ -18,7 +18,7 @@ from ..functions import exprs, text
 from ..operators import catalog, fit, moments, polarization, profiles, regions, resample, stats, world
 from ..operators.regions import Region
 from ..scratch import shared_folder
-from ..sources import files, fits, region_text, votable
+from ..sources import files, fits, region_text, tiled, votable
 from ..sources.cubes import cube_of_events, cube_of_lineitem, image_of_embeddings, table
 from .registry import CEV, CLI, DERIVED, EMB, STATS, _polygon_sql, _stats, query, rounded
 
@@ -94,6 +94,22 @@ def fits_image_gz(spark, d) -> DataFrame:
     return _read(spark, path + ".gz").where("stokes = 1")
 
 
+@query("fits_tiled_rows", f"WITH {CEV} SELECT stokes, z, y, x, round(CAST(v AS DOUBLE) * 100) AS cents FROM ev")
+def fits_tiled_rows(spark, d) -> DataFrame:
+    """The cube in hundredths, Rice-coded row by row by tasks, and read back by ranges of tiles."""
+    path = os.path.join(shared_folder(spark, "image"), "events.fits.fz")
+    tiled.save_tiled(cube_of_events(spark, d), path, step=0.01)
+    return _read(spark, path).select("stokes", "z", "y", "x", F.when(F.isnan("v"), F.lit(exprs.NAN)).otherwise(F.round(F.col("v") * 100)).alias("cents"))
+
+
+@query("fits_tiled_lossless", f"WITH {CLI} SELECT z, y, x, CAST(v AS DOUBLE) AS v FROM li")
+def fits_tiled_lossless(spark, d) -> DataFrame:
+    """Floating-point pixels as they are, byte-shuffled and compressed row by row."""
+    path = os.path.join(shared_folder(spark, "image"), "lineitem.fits.fz")
+    tiled.save_tiled(cube_of_lineitem(spark, d), path)
+    return _read(spark, path).drop("stokes")
+
+
 @query("fits_export_channels", f"WITH {CEV} SELECT CAST((z - 0) // 2 AS INTEGER) AS z, y, x, CAST(v AS DOUBLE) AS v FROM ev WHERE stokes = 2 AND z IN (0, 2, 4)")
 def fits_export_channels(spark, d) -> DataFrame:
     """Every second channel of one polarization, written as an image of its own."""

@@ -3,7 +3,7 @@
     spark.dataSource.register(FitsImage); spark.read.format("fits_image").load(path)
 
 Pixels are converted to float32; BSCALE, BZERO and BLANK are applied. Every partition reads its own stretch of planes or
-rows. Files ending in .gz are read by one partition each.
+rows. Files ending in .gz are read by one partition each. Tile-compressed images (.fz) are read by ranges of tiles.
 """
 
 from __future__ import annotations
@@ -68,19 +68,33 @@ class Hdu:
     data_at: int
     history: list[str] = field(default_factory=list)
 
+    @property
+    def is_tiled(self) -> bool:
+        """Whether a table holds a compressed image."""
+        return self.header.get("ZIMAGE") is True and str(self.header.get("XTENSION", "")).strip() == "BINTABLE"
+
+    @property
+    def image(self) -> dict:
+        """The header of the image, for a compressed one too."""
+        if not self.is_tiled:
+            return self.header
+        kept = {k: v for k, v in self.header.items() if not re.match(r"Z|T(TYPE|FORM|FIELDS|HEAP)|NAXIS|BITPIX|[PG]COUNT|XTENSION", k)}
+        return {"BITPIX": self.header["ZBITPIX"], "NAXIS": self.header["ZNAXIS"], **{f"NAXIS{i + 1}": self.header[f"ZNAXIS{i + 1}"] for i in range(self.header["ZNAXIS"])}, **kept}
+
     @property
     def shape(self) -> list[int]:
-        return [self.header.get(f"NAXIS{i + 1}", 0) for i in range(self.header.get("NAXIS", 0))]
+        return [self.image.get(f"NAXIS{i + 1}", 0) for i in range(self.image.get("NAXIS", 0))]
 
     @property
     def size(self) -> int:
-        n = math.prod(self.shape) if self.shape else 0
+        """Bytes of the data as stored."""
+        n = math.prod(self.header.get(f"NAXIS{i + 1}", 0) for i in range(self.header["NAXIS"])) if self.header.get("NAXIS") else 0
         return abs(self.header.get("BITPIX", 8)) // 8 * (n + self.header.get("PCOUNT", 0)) * self.header.get("GCOUNT", 1) if n else 0
 
     @property
     def is_image(self) -> bool:
         kind = self.header.get("XTENSION", "IMAGE" if self.header.get("SIMPLE") else "")
-        return str(kind).strip() == "IMAGE" and self.header.get("BITPIX") in BITPIX and self.header.get("NAXIS", 0) >= 2
+        return self.is_tiled and self.header["ZNAXIS"] >= 2 or str(kind).strip() == "IMAGE" and self.header.get("BITPIX") in BITPIX and self.header.get("NAXIS", 0) >= 2
 
 
 def hdus(path: str) -> list[Hdu]:
@@ -120,7 +134,7 @@ def file_info(spark, path: str, hdu: int = -1) -> DataFrame:
     units = hdus(path)
     number = hdu if hdu >= 0 else next(i for i, u in enumerate(units) if u.is_image)
     unit = units[number]
-    h, roles = unit.header, axis_roles(unit.header)
+    h, roles = unit.image, axis_roles(unit.image)
     size = lambda r: unit.shape[roles[r]] if roles[r] >= 0 else 1
     scaled = h.get("BITPIX", 0) > 0 and (h.get("BSCALE", 1) != 1 or h.get("BZERO", 0) != 0)
     computed = {
@@ -218,7 +232,12 @@ class FitsImage(DataSource):
         return "stokes int, z int, y int, x int, v float"
 
     def reader(self, schema):
-        return _ImageReader(self.options)
+        plain = _ImageReader(self.options)
+        if plain._unit().is_tiled:
+            from .tiled import TiledReader
+
+            return TiledReader(plain.path, plain._unit())
+        return plain
 
 
 def table_layout(header: dict) -> tuple[list[tuple[str, str, str, int, int]], list[str]]:
@@ -254,7 +273,7 @@ class _TableReader(DataSourceReader):
 
     def _unit(self) -> Hdu:
         if self.unit is None:
-            self.unit = next(h for h in hdus(self.path) if str(h.header.get("XTENSION", "")).strip() == "BINTABLE")
+            self.unit = next(h for h in hdus(self.path) if str(h.header.get("XTENSION", "")).strip() == "BINTABLE" and not h.is_tiled)
         return self.unit
 
     def partitions(self):
