@@ -23,11 +23,12 @@ def test_against_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    got = sorted(tuple(r[c] for c in columns) for r in df.collect())
+    nulls_first = lambda row: [(v is not None, v) for v in row]
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=nulls_first)
     cur = con.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == columns
-    assert got == sorted(tuple(r[names.index(c)] for c in columns) for r in cur.fetchall())
+    assert got == sorted((tuple(r[names.index(c)] for c in columns) for r in cur.fetchall()), key=nulls_first)
 
 
 def test_all_operators_have_a_query():
