@@ -142,3 +142,32 @@ def record(region: Region) -> tuple[str, list[tuple[float, float]]]:
         swap = b > a
         return "ellipsoid", [centre, (max(a, b), min(a, b)), ((region.rotation + 90 * (not swap)) % 360, 0.0)]
     return region.kind, list(region.points)
+
+
+# Tables of regions: rows of (kind, points array<struct<x double, y double>>, rotation double), worked on as columns.
+
+
+def accepted(kind: Column, points: Column) -> Column:
+    """Whether a region of a table is one that Region.check() accepts; null kinds and points are not."""
+    n = F.size(points)
+    sizes = F.try_element_at(points, F.lit(2))
+    right = F.when(kind == "point", n == 1).when(kind == "line", n == 2).when(kind == "polyline", n.between(2, 10**6)).when(kind == "polygon", n.between(3, 10**6)).when(kind.isin("rectangle", "ellipse"), (n == 2) & (sizes["x"] > 0) & (sizes["y"] > 0)).otherwise(False)
+    number = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.coalesce(right & F.forall(points, lambda p: number(p["x"]) & number(p["y"])), F.lit(False))
+
+
+def corner_points(kind: Column, points: Column, rotation: Column) -> Column:
+    """The vertices of rectangles and polygons of a table, null for other regions."""
+    a, c, s = F.radians(rotation), F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(2))
+    turned = lambda i, j: F.struct((c["x"] + F.cos(a) * s["x"] * i / 2 - F.sin(a) * s["y"] * j / 2).alias("x"), (c["y"] + F.sin(a) * s["x"] * i / 2 + F.cos(a) * s["y"] * j / 2).alias("y"))
+    return F.when(kind == "rectangle", F.array(*[turned(i, j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])).when(kind == "polygon", points)
+
+
+def records(kind: Column, points: Column, rotation: Column) -> Column:
+    """struct(shape, points) as record() gives it, for the accepted regions of a table; null for others."""
+    c, s = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(2))
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    turn = F.pmod(rotation + F.when(s["y"] > s["x"], 0.0).otherwise(90.0), F.lit(360.0))
+    shape = F.when(kind == "point", "box").when(kind.isin("rectangle", "polygon"), "polygon").when(kind == "ellipse", "ellipsoid").otherwise(kind)
+    held = F.when(kind == "point", F.array(c, c)).when(kind.isin("rectangle", "polygon"), corner_points(kind, points, rotation)).when(kind == "ellipse", F.array(c, pair(F.greatest(s["x"], s["y"]), F.least(s["x"], s["y"])), pair(turn, F.lit(0.0)))).otherwise(points)
+    return F.when(accepted(kind, points), F.struct(shape.alias("shape"), held.alias("points")))

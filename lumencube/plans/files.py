@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import gzip
 import html
-import math
 import os
 
 from pyspark.sql import DataFrame
@@ -19,8 +18,8 @@ from ..operators import catalog, fit, moments, polarization, profiles, regions,
 from ..operators.regions import Region
 from ..scratch import shared_folder
 from ..sources import files, fits, region_text, tiled, votable
-from ..sources.cubes import cube_of_events, cube_of_lineitem, image_of_embeddings, table
-from .registry import CEV, CLI, DERIVED, EMB, STATS, _polygon_sql, _stats, query, rounded
+from ..sources.cubes import EV, cube_of_events, cube_of_lineitem, image_of_embeddings, table
+from .registry import CEV, CLI, DERIVED, EMB, EMPTY_SAFE, STATS, _polygon_sql, _stats, query, rounded
 
 _SUPPLIER_FIELDS = '<FIELD name="s_suppkey" ID="c0" datatype="long" ucd="meta.id"/><FIELD name="s_name" ID="c1" datatype="char" arraysize="*"/><FIELD name="s_nationkey" ID="c2" datatype="int"/><FIELD name="s_acctbal" ID="c3" datatype="double" unit="USD"/><FIELD name="rich" ID="c4" datatype="boolean"/><FIELD name="pair" ID="c5" datatype="float" arraysize="2"/>'
 
@@ -188,9 +187,15 @@ def units(spark, d) -> DataFrame:
     return spark.createDataFrame([(u, files.normal_unit(u)) for u in ("JY/BEAM", "Jy beam-1", " jansky ", "KELVIN", "km s**-1", "furlong")], "spelling string, unit string")
 
 
-@query("angles", "SELECT CAST(degrees AS DOUBLE) AS degrees, hours, dms FROM (VALUES (10.5, '00:42:00.0000', '+10:30:00.000'), (-0.25, '-00:01:00.0000', '-00:15:00.000'), (359.999999, '23:59:59.9998', '+359:59:59.996')) t(degrees, hours, dms)")
+@query(
+    "angles",
+    """WITH t AS (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) / 30 AS v FROM supplier), u AS (SELECT *, CAST(round(abs(v) * 3600 * 1000) AS BIGINT) AS a, CAST(round(abs(v) / 15 * 3600 * 10000) AS BIGINT) AS b FROM t)
+SELECT s_suppkey, (CASE WHEN v < 0 THEN '-' ELSE '+' END) || lpad(CAST(a // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST(a // 3600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(a // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(a % 1000 AS VARCHAR), 3, '0') AS dms,
+(CASE WHEN v < 0 THEN '-' ELSE '' END) || lpad(CAST(b // 36000000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(b // 600000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(b // 10000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(b % 10000 AS VARCHAR), 4, '0') AS hours FROM u""",
+)
 def angles(spark, d) -> DataFrame:
-    return spark.createDataFrame([(a, files.sexagesimal(a, True), files.sexagesimal(a)) for a in (10.5, -0.25, 359.999999)], "degrees double, hours string, dms string")
+    v = F.col("s_acctbal").cast("double") / 30
+    return table(spark, d, "supplier").select("s_suppkey", files.sexagesimal_column(v).alias("dms"), files.sexagesimal_column(v, True).alias("hours"))
 
 
 @query("cutout_address", "SELECT 'https://h/x?hips=CDS%2FP&width=100&height=50&fov=1.5&projection=TAN&coordsys=icrs&rotation_angle=0.0&ra=10.0&dec=-5.0&format=fits' AS address")
@@ -227,11 +232,14 @@ def region_stats_rotated(spark, d) -> DataFrame:
     return _stats(regions.region_stats(cube_of_lineitem(spark, d), _TURNED, "z"))
 
 
-@query("region_spectral_stats", f"WITH {CEV}, t AS (SELECT z, {STATS} FROM ev WHERE stokes = 0 AND NOT isnan(v) AND x BETWEEN 2 AND 9 AND y BETWEEN 4 AND 12 GROUP BY z) SELECT z, {DERIVED} FROM t")
+@query(
+    "region_spectral_stats",
+    f"""WITH {CEV}, t AS (SELECT z, {STATS} FROM ev WHERE stokes = 0 AND NOT isnan(v) AND x BETWEEN 2 AND 9 AND y BETWEEN 4 AND 12 GROUP BY z)
+SELECT z, {EMPTY_SAFE} FROM (SELECT CAST(k AS INTEGER) AS z FROM range(7) r(k)) LEFT JOIN t USING (z)""",
+)
 def region_spectral_stats(spark, d) -> DataFrame:
-    """All basic statistics per channel."""
-    got = regions.spectral_profile(cube_of_events(spark, d).where("stokes = 0"), Region("rectangle", ((5.5, 8.0), (8.0, 9.0))), 5)
-    return _stats(got.where("num_pixels > 0"))
+    """All basic statistics per channel, channels without pixels included; the last two have none."""
+    return _stats(regions.spectral_profile(cube_of_events(spark, d).where("stokes = 0"), Region("rectangle", ((5.5, 8.0), (8.0, 9.0))), EV[2] + 2))
 
 
 @query("stats_requested", f"WITH {CLI}, f AS (SELECT * FROM li WHERE NOT isnan(v)), t AS (SELECT z, {STATS} FROM f GROUP BY z), n AS (SELECT z, count(*) FILTER (isnan(v)) AS nan_count FROM li GROUP BY z) SELECT z, {DERIVED}, nan_count, round(s / 9.0, 6) AS flux_density, CAST(CASE WHEN abs(lo) > abs(hi) THEN lo ELSE hi END AS DOUBLE) AS extrema FROM t JOIN n USING (z)")
@@ -242,28 +250,46 @@ def stats_requested(spark, d) -> DataFrame:
     return rounded(_stats(basic).join(stats.nan_count(cube, "z").drop("total"), "z"), "flux_density")
 
 
-@query("region_checks", "SELECT * FROM (VALUES ('circle of no size', false), ('line of one point', false), ('triangle', true), ('annotation', false), ('endless point', false)) t(what, accepted)")
-def region_checks(spark, d) -> DataFrame:
-    cases = {"circle of no size": Region("ellipse", ((1.0, 1.0), (0.0, 0.0))), "line of one point": Region("line", ((1.0, 1.0),)), "triangle": _SHAPES[3], "annotation": Region("ann_rectangle", ((1.0, 1.0), (2.0, 2.0))), "endless point": Region("point", ((math.inf, 1.0),))}
+def _regions_of(spark, d) -> DataFrame:
+    """s_suppkey, kind, points, rotation: a region of each supplier; some have no size, some are annotations."""
+    t = table(spark, d, "supplier")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    k, cx, cy, w, h = F.col("s_suppkey") % 6, F.col("s_suppkey") % 32, F.col("s_nationkey"), F.col("s_acctbal") / 1000, 1 + F.col("s_suppkey") % 5
+    kind = F.element_at(F.array(*[F.lit(n) for n in ("rectangle", "ellipse", "polygon", "point", "line", "ann_rectangle")]), (k + 1).cast("int"))
+    centre, size, far = point(cx, cy), point(w, h), point(cx + w, cy + h)
+    points = F.when(k == 2, F.array(centre, far, point(cx, cy + h))).when(k == 3, F.array(centre)).when(k == 4, F.array(centre, far)).otherwise(F.array(centre, size))
+    return t.select("s_suppkey", kind.alias("kind"), points.alias("points"), (F.col("s_nationkey") * 10.0).alias("rotation"))
 
-    def ok(r: Region) -> bool:
-        try:
-            r.check()
-        except ValueError:
-            return False
-        return True
 
-    return spark.createDataFrame([(n, ok(r)) for n, r in cases.items()], "what string, accepted boolean")
+_OWN = """s AS (SELECT s_suppkey, s_suppkey % 6 AS k, CAST(s_suppkey % 32 AS DOUBLE) AS cx, CAST(s_nationkey AS DOUBLE) AS cy, CAST(s_acctbal AS DOUBLE) / 1000 AS w, CAST(1 + s_suppkey % 5 AS DOUBLE) AS h, s_nationkey * 10.0::DOUBLE AS rot FROM supplier)"""
+
+
+@query("region_checks", f"WITH {_OWN} SELECT s_suppkey, k <> 5 AND (k > 1 OR w > 0) AS accepted FROM s")
+def region_checks(spark, d) -> DataFrame:
+    return _regions_of(spark, d).select("s_suppkey", regions.accepted(F.col("kind"), F.col("points")).alias("accepted"))
 
 
-@query("region_corners", "SELECT i, round(5 + dx * cos(radians(30)) - dy * sin(radians(30)), 6) AS x, round(5 + dx * sin(radians(30)) + dy * cos(radians(30)), 6) AS y FROM (VALUES (0, -2.0, -1.5), (1, 2.0, -1.5), (2, 2.0, 1.5), (3, -2.0, 1.5)) t(i, dx, dy)")
+@query(
+    "region_corners",
+    f"""WITH {_OWN}, c AS (SELECT * FROM (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) v(i, a, b))
+SELECT s_suppkey, i, round(cx + cos(radians(rot)) * w * a / 2 - sin(radians(rot)) * h * b / 2, 6) AS x, round(cy + sin(radians(rot)) * w * a / 2 + cos(radians(rot)) * h * b / 2, 6) AS y FROM s, c WHERE k = 0 AND w > 0
+UNION ALL SELECT s_suppkey, 0, cx, cy FROM s WHERE k = 2 UNION ALL SELECT s_suppkey, 1, round(cx + w, 6), cy + h FROM s WHERE k = 2 UNION ALL SELECT s_suppkey, 2, cx, cy + h FROM s WHERE k = 2""",
+)
 def region_corners(spark, d) -> DataFrame:
-    return rounded(spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(_SHAPES[1].corners())], "i int, x double, y double"), "x", "y")
+    r = _regions_of(spark, d).where(regions.accepted(F.col("kind"), F.col("points")))
+    corners = r.select("s_suppkey", F.posexplode(regions.corner_points(F.col("kind"), F.col("points"), F.col("rotation"))).alias("i", "p"))
+    return rounded(corners.select("s_suppkey", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "x", "y")
 
 
-@query("region_records", "SELECT * FROM (VALUES ('rectangle', 'polygon', 4), ('rectangle', 'polygon', 4), ('ellipse', 'ellipsoid', 3), ('polygon', 'polygon', 3), ('point', 'box', 2), ('line', 'line', 2)) t(kind, shape, points)")
+@query(
+    "region_records",
+    f"""WITH {_OWN} SELECT s_suppkey, CASE k WHEN 0 THEN 'polygon' WHEN 1 THEN 'ellipsoid' WHEN 2 THEN 'polygon' WHEN 3 THEN 'box' ELSE 'line' END AS shape, CASE k WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE 2 END AS points,
+CASE WHEN k = 1 THEN round(greatest(w, h), 6) END AS longer, CASE WHEN k = 1 THEN (rot + CASE WHEN h > w THEN 0 ELSE 90 END) % 360 END AS angle FROM s WHERE k <> 5 AND (k > 1 OR w > 0)""",
+)
 def region_records(spark, d) -> DataFrame:
-    return spark.createDataFrame([(r.kind, *(lambda s: (s[0], len(s[1])))(regions.record(r))) for r in _SHAPES], "kind string, shape string, points int")
+    r = _regions_of(spark, d).select("s_suppkey", regions.records(F.col("kind"), F.col("points"), F.col("rotation")).alias("r")).where("r is not null")
+    at = lambda i, c: F.when(F.col("r.shape") == "ellipsoid", F.col("r.points")[i][c])
+    return r.select("s_suppkey", "r.shape", F.size("r.points").alias("points"), F.round(at(1, "x"), 6).alias("longer"), at(2, "x").alias("angle"))
 
 
 # --- world coordinates --------------------------------------------------------------------------------------------

@@ -10,14 +10,12 @@ from ..operators.regions import Region
 from ..operators.store import Store, write_store
 from ..scratch import shared_location
 from ..sources.cubes import EV, LI, cube_of_events, cube_of_lineitem
-from .registry import _NAN, CEV, CLI, STATS, query, rounded
+from .registry import _NAN, CEV, CLI, EMPTY_SAFE, STATS, query, rounded
 
 RANKS = (0.1, 0.5, 0.9)
 TRIANGLE = Region("polygon", ((3, 2), (20, 5), (9, 27)))
 #: The triangle's three half-planes.
 INSIDE = "17 * (y - 2) - 3 * (x - 3) >= 0 AND -11 * (y - 5) - 22 * (x - 20) >= 0 AND -6 * (y - 27) + 25 * (x - 9) >= 0"
-EMPTY_SAFE = f"""coalesce(num_pixels, 0) AS num_pixels, coalesce(round(s, 6), {_NAN}) AS sum, coalesce(round(q, 6), {_NAN}) AS sum_sq, coalesce(CAST(lo AS DOUBLE), {_NAN}) AS min, coalesce(CAST(hi AS DOUBLE), {_NAN}) AS max,
-coalesce(round(s / num_pixels, 6), {_NAN}) AS mean, CASE WHEN num_pixels > 1 THEN round(sqrt(greatest((q - s * s / num_pixels) / (num_pixels - 1), 0)), 6) ELSE {_NAN} END AS sigma, coalesce(round(sqrt(q / num_pixels), 6), {_NAN}) AS rms"""
 
 
 def _folder(spark) -> str:

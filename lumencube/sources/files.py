@@ -126,3 +126,12 @@ def sexagesimal(degrees: float, hours: bool = False) -> str:
     total = round(value * 3600, digits)
     h, m = int(total // 3600), int(total % 3600 // 60)
     return f"{'-' if degrees < 0 else '' if hours else '+'}{h:02d}:{m:02d}:{total - h * 3600 - m * 60:0{3 + digits}.{digits}f}"
+
+
+def sexagesimal_column(degrees: Column, hours: bool = False) -> Column:
+    """sexagesimal() of a column, from whole units of the last digit; null and NaN give null."""
+    unit = 10_000 if hours else 1000
+    total = F.round(F.abs(degrees) / (15 if hours else 1) * 3600 * unit).cast("long")
+    sign = F.when(degrees < 0, "-").otherwise("" if hours else "+")
+    text = F.format_string(f"%s%02d:%02d:%02d.%0{4 if hours else 3}d", sign, F.floor(total / (3600 * unit)), F.floor(total / (60 * unit)) % 60, F.floor(total / unit) % 60, total % unit)
+    return F.when(degrees.isNotNull() & ~F.isnan(degrees), text)
