@@ -378,7 +378,7 @@ def moments_guarded(spark, d) -> DataFrame:
     return rounded(got.drop("stokes"), "average", "maximum")
 
 
-@query("gaussian_model", f"""WITH {CLI} SELECT z, x, y, round(CAST(v AS DOUBLE) - 2.0 - 10 * exp(-4 * ln(2) * (power((x - 8) / 6.0, 2) + power((y - 7) / 4.0, 2))) - 5 * exp(-4 * ln(2) * (power((x - 20) / 3.0, 2) + power((y - 21) / 9.0, 2))), 6) AS v FROM li WHERE NOT isnan(v)""")
+@query("gaussian_model", f"""WITH {CLI} SELECT z, x, y, round(CAST(v AS DOUBLE) - 2.0 - 10 * exp(-4 * ln(2) * (power((x - 8) / 6.0, 2) + power((y - 7) / 4.0, 2))) - 5 * exp(-4 * ln(2) * (power((x - 20) / 3.0, 2) + power((y - 21) / 9.0, 2))), 6) + 0.0 AS v FROM li WHERE NOT isnan(v)""")
 def gaussian_model(spark, d) -> DataFrame:
     """A cube less a model of two components, one along x and one along y."""
     parts = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(fit.PARAMS, c, strict=True)]) for c in ((8, 7, 10, 6, 4, 90), (20, 21, 5, 9, 3, 0))])
