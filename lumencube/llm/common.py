@@ -119,7 +119,7 @@ def share(spark: SparkSession, value):
 
 
 def lean(run):
-    """A mapInArrow or applyInArrow function after which the worker gives freed memory back to the system.
+    """A mapInArrow or applyInArrow function (of a group or a cogroup, without the key) after which the worker gives freed memory back to the system.
 
     Workers are reused and wait idle between stages; without this each of them keeps the most that it has ever used.
     """
@@ -148,7 +148,13 @@ def lean(run):
         finally:
             give_back()
 
-    return group_then_back
+    def cogroup_then_back(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return cogroup_then_back if len(inspect.signature(run).parameters) == 2 else group_then_back
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -4,7 +4,8 @@ Documents with the same set become one node. Shingles have one order for all: th
 those of several, then those of very many, each by their hash. Of n shingles, two sets of similarity t share one of the
 first n - ceil(t * n) + 1; these make the tiles. A tile holds the nodes that have a shingle among their first ones, cut
 into bands of like size and these into pieces of bounded size; a piece meets the pieces of its own band and of those whose
-sizes leave room. Within such a pair of pieces hashed bitmaps of some bits per shingle are compared: the bits in which
+sizes leave room. Pairs of pieces with one least component mostly hold the same nodes: they are dealt together, so that
+a task gets the bitmap of a node once, however many tiles it is in. Within a pair of pieces hashed bitmaps of some bits per shingle are compared: the bits in which
 two bitmaps differ bound the overlap from above, and most pairs end there. Pairs that pass are settled by intersecting
 the sorted arrays of both, of 128 bits a shingle. No link is missed: order, bands and bitmaps only leave out what cannot
 be one.
@@ -36,6 +37,8 @@ from .words import both_hashes, bucket_of, filter_of, in_filter, mix, spread, wi
 WORDS, PERCENT, KEYS = 5, 75, 6
 #: Nodes and shingles of a piece of a tile, and nodes of it that are compared at once; the ratio of sizes within a band.
 TILE, TILE_SHINGLES, ROWS, BAND = 1024, 1 << 20, 256, 1.1
+#: Rows of the pairs of pieces that are dealt together, about.
+DEALT = 2 * TILE
 #: Bits of a bitmap per shingle at least; bytes of bitmaps or arrays that one task takes at a time, about.
 SPARE, PART_BYTES = 4, 24_000_000
 #: Documents per bucket of shingles; bits of a filter per bucket and in all (both are sent to every executor).
@@ -259,15 +262,28 @@ def _by_tile(t: pa.Table):
         yield (here[~two], here[two]) if two.any() else (here, here)
 
 
+def _places(t: pa.Table, nodes: pa.Table) -> list[int]:
+    """For each row of t, the row of `nodes` that its node has."""
+    ids = nodes.column("id").to_numpy()
+    order = np.argsort(ids)
+    return order[np.searchsorted(ids[order], t.column("node").to_numpy())].tolist()
+
+
+def _of_rows(t: pa.Table, nodes: pa.Table, column: str) -> list:
+    """A column of `nodes` for each row of t; rows of one node share the value."""
+    known = nodes.column(column).to_pylist()
+    return [known[k] for k in _places(t, nodes)]
+
+
 def _candidates(percent: int):
-    """Rows of pairs of pieces with bitmaps: those rows that are in a pair whose bitmaps leave room.
+    """Rows of pairs of pieces, and the bitmaps of their nodes: those rows that are in a pair whose bitmaps leave room.
 
     A pair counts in the first tile only that it shares: that of the least of its common first shingles.
     """
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, nodes: pa.Table) -> pa.Table:
         comps, sizes, keys = (t.column(c).to_numpy() for c in ("comp", "n", "key"))
-        maps, firsts = t.column("map").to_pylist(), t.column("first").to_pylist()
+        maps, firsts = _of_rows(t, nodes, "map"), _of_rows(t, nodes, "first")
         wanted = np.zeros(t.num_rows, bool)
         for left, right in _by_tile(t):
             i, j, _ = _compare(comps, sizes, maps, left, right, percent)
@@ -276,22 +292,25 @@ def _candidates(percent: int):
             for p, q in zip(i.tolist(), j.tolist(), strict=True):
                 if not (wanted[p] and wanted[q]) and before[p].isdisjoint(before[q]):
                     wanted[p] = wanted[q] = True
-        return t.select(["tile", "side", "node", "comp", "n"]).filter(pa.array(wanted))
+        return t.select(["tile", "side", "node", "comp", "n", "deal"]).filter(pa.array(wanted))
 
     return run
 
 
 def _linked(percent: int):
-    """Rows of pairs of pieces with sorted arrays: links enough to connect whatever of them is connected.
+    """Rows of pairs of pieces, and the sorted arrays of their nodes: links enough to connect whatever of them is connected.
 
     Likely pairs come first; a pair whose components have met by then is not intersected.
     """
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, arrays: pa.Table) -> pa.Table:
         nodes, comps = t.column("node").to_numpy(), t.column("comp").to_numpy()
-        sets = [unpacked(x) for x in t.column("set").to_pylist()]
+        known = [unpacked(x) for x in arrays.column("set").to_pylist()]
+        at = _places(t, arrays)
+        sets = [known[k] for k in at]
         sizes = np.array([x.shape[1] for x in sets], np.int64)
-        maps = [bitmap(x[0]) for x in sets]
+        drawn = [bitmap(x[0]) for x in known]
+        maps = [drawn[k] for k in at]
         found = []
         parent: dict[int, int] = {}
 
@@ -404,32 +423,46 @@ class JaccardJoin:
         return stored(cut.select("key", "band", F.pmod(F.xxhash64("comp", F.when(F.col("cuts") > 1, F.col("node"))), F.col("cuts")).alias("piece"), "node", "comp", "n"), "pieces")
 
     def _met(self, rows: DataFrame) -> DataFrame:
-        """Rows of pieces for each pair of pieces that may hold a link: tile (the pair's), side, key, node, comp, n."""
-        pieces = rows.groupBy("key", "band", "piece").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+        """Rows of pieces for each pair of pieces that may hold a link: tile (the pair's), side, key, node, comp, n, deal.
+
+        Pairs with one least component have one deal, or several, each of about DEALT rows.
+        """
+        pieces = rows.groupBy("key", "band", "piece").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.count("*").alias("many"))
         pieces = stored(pieces, "piece_sizes")
         reach = math.ceil(math.log(100 / self.percent) / math.log(BAND)) + 1 if self.percent else 0
         near = pieces.withColumn("own", F.col("band")).withColumn("band", F.explode(F.sequence(F.col("band"), F.col("band") + reach)))
-        others = pieces.select("key", "band", *[F.col(c).alias(f"{c}_") for c in ("band", "piece", "c0", "c1", "n0", "n1")])
+        others = pieces.select("key", "band", *[F.col(c).alias(f"{c}_") for c in ("band", "piece", "c0", "c1", "n0", "n1", "many")])
         room = (100 * F.col("n1") >= self.percent * F.col("n0_")) & (100 * F.col("n1_") >= self.percent * F.col("n0"))
         one = (F.col("c0") == F.col("c1")) & (F.col("c0_") == F.col("c1_")) & (F.col("c0") == F.col("c0_"))
         before = (F.col("own") < F.col("band_")) | (F.col("piece") <= F.col("piece_"))
         met = near.join(others, ["key", "band"]).where(before & ~one & room)
         met = met.withColumn("same", (F.col("own") == F.col("band_")) & (F.col("piece") == F.col("piece_")))
         met = met.withColumn("tile", F.xxhash64("key", "own", "piece", "band_", "piece_"))
-        first = met.select("key", F.col("own").alias("band"), "piece", "tile", F.lit(1).alias("side"))
-        second = met.where(~F.col("same")).select("key", F.col("band_").alias("band"), F.col("piece_").alias("piece"), "tile", F.lit(2).alias("side"))
-        return stored(rows.join(first.unionByName(second), ["key", "band", "piece"]).select("tile", "side", "key", "node", "comp", "n"), "met")
+        met = met.withColumn("low", F.least("c0", "c0_")).withColumn("many", F.col("many") + F.when(F.col("same"), 0).otherwise(F.col("many_")))
+        met = stored(met.select("key", "own", "piece", "band_", "piece_", "same", "tile", "low", "many"), "meetings")
+        lows = met.groupBy("low").agg(F.count("*").alias("meetings"), F.ceil(F.sum("many") / DEALT).alias("cuts"))
+        met = join_groups(met, stored(lows, "lows"), "low", F.col("meetings"), met.count()).withColumn("deal", F.xxhash64("low", F.pmod("tile", "cuts")))
+        first = met.select("key", F.col("own").alias("band"), "piece", "tile", "deal", F.lit(1).alias("side"))
+        second = met.where(~F.col("same")).select("key", F.col("band_").alias("band"), F.col("piece_").alias("piece"), "tile", "deal", F.lit(2).alias("side"))
+        return stored(rows.join(first.unionByName(second), ["key", "band", "piece"]).select("tile", "side", "key", "node", "comp", "n", "deal"), "met")
 
     def _tile_links(self, labels: DataFrame | None) -> DataFrame:
         """Links between nodes of different components that share a tile."""
         met = self._met(self._pieces(labels))
-        parts = lambda df, each: max(8, int((df.agg(F.sum("n")).first()[0] or 0) * each // PART_BYTES))
-        rows = met.join(self.nodes.select("node", "map", "first"), "node").withColumn("part", F.pmod("tile", F.lit(parts(met, 4)))).groupBy("part")
-        near = stored(rows.applyInArrow(lean(_candidates(self.percent)), "tile long, side int, node long, comp long, n long"), "candidates")
+
+        def by_part(df: DataFrame, each: int):
+            """df by part, and once for each part the nodes that it has there; parts for `each` bytes a shingle of every row."""
+            parts = max(8, int((df.agg(F.sum("n")).first()[0] or 0) * each // PART_BYTES))
+            dealt = df.withColumn("part", F.pmod("deal", F.lit(parts)))
+            return dealt.groupBy("part"), dealt.select(F.col("part").alias("at"), F.col("node").alias("id")).distinct()
+
+        rows, there = by_part(met, 4)
+        maps = there.join(self.nodes.select(F.col("node").alias("id"), "map", "first"), "id").groupBy("at")
+        near = stored(rows.cogroup(maps).applyInArrow(lean(_candidates(self.percent)), "tile long, side int, node long, comp long, n long, deal long"), "candidates")
         arrays = self.arrays(near.select(F.col("node").alias("id")).distinct())
-        part = F.pmod("tile", F.lit(parts(near, 16))).alias("part")
-        full = near.join(arrays, F.col("node") == F.col("id")).select("tile", "side", "node", "comp", "set", part)
-        return stored(full.groupBy("part").applyInArrow(lean(_linked(self.percent)), "a long, b long").distinct(), "links")
+        rows, there = by_part(near, 16)
+        sets = there.join(arrays, "id").groupBy("at")
+        return stored(rows.cogroup(sets).applyInArrow(lean(_linked(self.percent)), "a long, b long").distinct(), "links")
 
     def links(self) -> tuple[DataFrame, DataFrame | None]:
         """Verified pairs of nodes (a, b), enough to connect whatever is connected, and the labels (node, label)."""

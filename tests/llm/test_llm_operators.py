@@ -461,6 +461,41 @@ def test_jaccard_does_not_depend_on_its_hash(spark, rows, monkeypatch, bits):
     assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(small)
 
 
+def shuffled_after(spark, stage):
+    """(last stage, bytes that the stages after the given one wrote for shuffles)."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    known = sc.statusStore().stageList(None, False, False, none, None)
+    found = [(s.stageId(), s.shuffleWriteBytes()) for s in (known.apply(i) for i in range(known.size()))]
+    return max((i for i, _ in found), default=-1), sum(b for i, b in found if i > stage)
+
+
+def test_jaccard_sends_a_bitmap_once_however_many_tiles_hold_its_node(spark, monkeypatch):
+    """Pairs of texts just below the threshold share dozens of first shingles, so each is in dozens of tiles."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(30):
+        w = words_of(rng, 1000, 10**6).split()
+        other = w[:830] + words_of(rng, 170, 10**6).split()
+        rows += [(2 * i, " ".join(w), "a"), (2 * i + 1, " ".join(other), "a")]
+    made, written, plain = {}, {}, jaccard.stored
+
+    def noted(df, label):
+        last, _ = shuffled_after(spark, -1)
+        made[label] = plain(df, label)
+        written[label] = shuffled_after(spark, last)[1]
+        return made[label]
+
+    monkeypatch.setattr(jaccard, "stored", noted)
+    monkeypatch.setattr(jaccard, "DEALT", 64)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(make(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    n_rows = made["met"].count()
+    assert n_rows > 30 * 60
+    assert written["candidates"] < 100 * n_rows  # 50 a row, and 209 with a bitmap and first shingles in every row
+
+
 def thue_morse_words(n):
     """Two words that every polynomial hash modulo 2**64 takes for one."""
     w = "a"
