@@ -11,10 +11,10 @@ import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import exprs, text
 from ..operators import catalog, fit, moments, polarization, profiles, regions, resample, stats, world
+from ..operators.numbering import numbered
 from ..operators.regions import Region
 from ..scratch import shared_folder
 from ..sources import files, fits, region_text, tiled, votable
@@ -40,8 +40,7 @@ def votable_rows(spark, d) -> DataFrame:
     """Rows of a VOTable; the file holds them in the order of the table's key."""
     spark.dataSource.register(votable.VoTable)
     rows = spark.read.format("votable").load(_votable(spark, d))
-    place = F.rank().over(Window.orderBy("s_suppkey")) - 1
-    return rows.withColumn("row_id", place.cast("long"))
+    return numbered(rows.drop("row_id"), ["s_suppkey"]).select(rows.columns)
 
 
 @query("votable_header", """SELECT * FROM (VALUES (0, 's_suppkey', 'long', '', true), (1, 's_name', 'char', '', true), (2, 's_nationkey', 'int', '', true), (3, 's_acctbal', 'double', 'USD', true), (4, 'rich', 'boolean', '', true), (5, 'pair', 'float', '', false)) t(i, name, datatype, unit, supported)""")
@@ -62,8 +61,8 @@ def fits_table_rows(spark, d) -> DataFrame:
     """orders through a binary table: written by tasks at their places, read by row ranges."""
     path = os.path.join(shared_folder(spark, "table"), "orders.fits")
     o = table(spark, d, "orders")
-    rows = o.select((F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long").alias("row_id"), F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("int").alias("c"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_totalprice").cast("float").alias("price4"), (F.col("o_custkey") % 100).cast("smallint").alias("small"), (F.col("o_totalprice") > 100000).alias("large"))
-    fits.save_table(rows, path)
+    rows = o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("int").alias("c"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_totalprice").cast("float").alias("price4"), (F.col("o_custkey") % 100).cast("smallint").alias("small"), (F.col("o_totalprice") > 100000).alias("large"))
+    fits.save_table(numbered(rows, ["k"]), path)
     spark.dataSource.register(fits.FitsTable)
     return spark.read.format("fits_table").load(path).drop("row_id")
 

@@ -27,8 +27,8 @@ COLUMNS = {"L": ("S1", "boolean"), "B": (">u1", "smallint"), "S": (">i1", "tinyi
 SKIPPED = {"X": 1 / 8, "C": 8, "M": 16, "P": 8, "Q": 16}
 #: Pixels and rows that a partition reads.
 PIXELS, ROWS = 4_000_000, 1_000_000
-#: Pixels that a task writes at a time.
-WRITTEN = 1_000_000
+#: Pixels that a task writes at a time, and rows of a table that it sorts and writes, about.
+WRITTEN, SORTED = 1_000_000, 250_000
 
 
 def _open(path: str):
@@ -420,7 +420,7 @@ def save_table(df: DataFrame, path: str, row_id: str = "row_id", overwrite: bool
                     f.write(rows[lo:hi].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["written"])
 
-    ordered = df.repartitionByRange(row_id).sortWithinPartitions(row_id)
+    ordered = df.repartitionByRange(max(1, -(-n // SORTED)), row_id).sortWithinPartitions(row_id)
     return ordered.mapInArrow(write, "written long").agg(F.sum("written")).first()[0]
 
 
